@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import bpe, line_dedup, media, mixing, pii, toxicity
+from ledgerflow.llm import bpe, chat, line_dedup, media, mixing, pii, toxicity
 from ledgerflow.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.unionByName(spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string")))
+
+
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_mix_sources": op7_mix_sources,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_chat_trees": op9_chat_trees,
         "op10_telephony_audio": op10_telephony_audio,
     }
 
