@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import bpe, chat, html_text, line_dedup, media, mixing, pii, topk, toxicity
+from ledgerflow.llm import bpe, chat, html_text, line_dedup, media, mixing, near_dup, pii, topk, toxicity
 from ledgerflow.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_html_text": op3_html_text,
         "op4_pii": op4_pii,
         "op5_exact_topk": op5_exact_topk,
