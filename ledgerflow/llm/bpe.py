@@ -1,13 +1,14 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Documents are cut into pre-tokens by the vocabulary's pattern. A task gathers its documents in
-batches of at most ``BATCH_TOKENS`` pre-tokens (one longer document makes a batch of its own); a
-batch keeps each document as positions into the batch's list of distinct pre-tokens, most frequent
-first. The lists are exploded and shuffled by pre-token, so that each distinct one is merged once;
-its ids go back to every batch that holds it, where documents are reassembled by position.
+batches of about ``BATCH_TOKENS`` pre-tokens (one longer document makes a batch of its own); a
+batch keeps its documents as positions into its own distinct pre-tokens. Those are dealt by hash to
+``WORD_PARTS`` parts and shuffled by part, so that each distinct one is merged once; the ids go back
+to every batch that asked, where documents are reassembled by position.
 
-No key is hot: a pre-token has one row a batch at most, however often it occurs. Batches are
-written before they are used twice, as their numbers are drawn at random.
+Pre-tokens travel in compressed blocks, one a batch and part: a row a pre-token would move several
+times the input. No key is hot, as a pre-token occurs once a batch at most. Batches are written
+before they are used twice, as their numbers are drawn at random.
 
 Nulls are read as empty texts; an empty text has no ids. Rows with the same id each give a row.
 """
@@ -17,16 +18,21 @@ from __future__ import annotations
 import base64
 import functools
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import staged
 
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 2_000_000
+WORD_PARTS = 256
+#: Distinct pre-tokens whose ids a task remembers; beyond them it starts anew.
+REMEMBERED = 2_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,20 +56,25 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Three byte planes: codes are ranked by frequency, so the upper planes are mostly zero and compress away."""
-    low = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return low[:, 0].tobytes() + low[:, 1].tobytes() + low[:, 2].tobytes() + low[:, 3].tobytes()
+def _press(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as four byte planes, compressed: small numbers leave the upper planes empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpress(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-PACKED = pa.schema([("batch", pa.int64()), ("id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+PACKED = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary()), ("parts", pa.binary())])
 
 
-def _pack(pattern: str, batch_tokens: int):
+def _pack(pattern: str, batch_tokens: int, parts: int):
+    """Documents to batches: one row with all documents' positions, and one a part with its words.
+
+    A word's position is its rank by frequency in the batch. ``parts`` has each position's part; in a
+    part, words are in order of position."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -74,22 +85,30 @@ def _pack(pattern: str, batch_tokens: int):
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            counts = np.zeros(len(seen), dtype=np.int64)
-            for codes in docs:
-                counts += np.bincount(codes, minlength=len(seen)) if len(codes) > len(seen) // 8 else 0
-                if len(codes) <= len(seen) // 8:
-                    np.add.at(counts, codes, 1)
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(seen), dtype=np.uint32)
-            rank[order] = np.arange(len(seen), dtype=np.uint32)
-            words = list(seen)
+            met = np.concatenate(docs)
+            by_rank = np.argsort(-np.bincount(met, minlength=len(seen)), kind="stable")
+            position = np.empty(len(seen), dtype=np.int64)
+            position[by_rank] = np.arange(len(seen))
+            words = [x.encode() for x in seen]
+            words = [words[i] for i in by_rank]
+            part = np.array([zlib.crc32(x) % parts for x in words], dtype=np.int64)
+            order = np.argsort(part, kind="stable")
+            starts = np.searchsorted(part[order], np.arange(parts + 1))
+            used = np.flatnonzero(np.diff(starts))
+            sizes, data = [_press(np.array([len(x) for x in docs]))], [_press(position[met])]
+            for k in used:
+                own = [words[i] for i in order[starts[k] : starts[k + 1]]]
+                sizes.append(_press(np.array([len(x) for x in own])))
+                data.append(zstandard.ZstdCompressor(level=1).compress(b"".join(own)))
             number = random.SystemRandom().getrandbits(62)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number] * (len(docs) + 1), pa.int64()),
-                    pa.array([*ids, None], pa.int64()),
-                    pa.array([*(_planes(rank[x]) for x in docs), None], pa.binary()),
-                    pa.array([*[None] * len(docs), [words[i] for i in order]], pa.list_(pa.string())),
+                    pa.array([number] * (len(used) + 1), pa.int64()),
+                    pa.array([None, *used.tolist()], pa.int32()),
+                    pa.array([ids, *[None] * len(used)], pa.list_(pa.int64())),
+                    pa.array(sizes, pa.binary()),
+                    pa.array(data, pa.binary()),
+                    pa.array([_press(part), *[None] * len(used)], pa.binary()),
                 ],
                 schema=PACKED,
             )
@@ -110,18 +129,28 @@ def _pack(pattern: str, batch_tokens: int):
 
 
 def _merge(path: str, pattern: str):
-    """Rows sorted by word: each distinct one is merged once, however many batches ask for it."""
+    """Each distinct word of a part is merged once, however many batches ask for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = _encoding(path, pattern)._encode_single_piece
-        last, ids = None, b""
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(merge(word.encode()), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("at"), pa.array(out, pa.binary())], names=["batch", "at", "ids"])
+            sizes, data = [], []
+            for lengths, joined in zip(batch.column("sizes"), batch.column("data"), strict=True):
+                text, at, found = zstandard.ZstdDecompressor().decompress(joined.as_py()), 0, []
+                for n in _unpress(lengths.as_py()).tolist():
+                    word = text[at : at + n]
+                    at += n
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        ids = known[word] = merge(word)
+                    found.append(ids)
+                sizes.append(_press(np.array([len(x) for x in found])))
+                data.append(_press(np.array([i for x in found for i in x])))
+            columns = [batch.column("batch"), batch.column("part"), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "sizes", "data"])
 
     return run
 
@@ -132,56 +161,65 @@ def _gather(lengths: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(words.column("at").to_numpy())
-    parts = words.column("ids").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
-    lengths = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-    flat, starts = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(lengths) - lengths
-    ids = []
-    for data in docs.column("codes"):
-        codes = _unplanes(data.as_py())
-        ids.append(_gather(lengths[codes], starts[codes], flat).astype(np.int32) if len(codes) else np.zeros(0, np.int32))
-    ends = np.cumsum([len(x) for x in ids])
-    values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32), pa.int32()), values)
-    return pa.table({"id": docs.column("id"), "ids": lists})
+def _reassemble(parts: int):
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        merged = {p: (_unpress(n), _unpress(x)) for p, n, x in zip(*(words.column(c).to_pylist() for c in ("part", "sizes", "data")), strict=True)}
+        # A batch has one row of documents; its words were dealt to parts in order of position.
+        part = _unpress(docs.column("parts")[0].as_py())
+        order = np.argsort(part, kind="stable")
+        lengths, starts, flat = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.zeros(0, np.int32)
+        if len(part):
+            every = [merged[p] for p in np.unique(part).tolist()]
+            n = np.concatenate([x for x, _ in every]).astype(np.int64)
+            lengths[order], starts[order] = n, np.cumsum(n) - n
+            flat = np.concatenate([x for _, x in every]).astype(np.int32)
+        names, out = [], []
+        for ids, sizes, data in zip(*(docs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
+            codes = _unpress(data)
+            names += ids
+            for end, n in zip(np.cumsum(size := _unpress(sizes).astype(np.int64)).tolist(), size.tolist(), strict=True):
+                own = codes[end - n : end]
+                out.append(_gather(lengths[own], starts[own], flat))
+        ends = np.cumsum([0, *(len(x) for x in out)])
+        values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+        return pa.table({"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32()), values)})
+
+    return run
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, parts: int = WORD_PARTS) -> DataFrame:
     """Every row's token ids: (id_col, ids array<int>), one row a row of ``df``."""
-    name = "batch bigint, id bigint, codes binary, words array<string>"
-    packed = staged(df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_pack(pattern, batch_tokens), name))
-    words = packed.where("words IS NOT NULL").select("batch", F.posexplode("words").alias("at", "word"))
-    merged = words.repartition("word").sortWithinPartitions("word").mapInArrow(_merge(path, pattern), "batch bigint, at int, ids binary")
-    docs = packed.where("words IS NULL").select("batch", "id", "codes")
-    out = docs.groupBy("batch").cogroup(merged.groupBy("batch")).applyInArrow(_reassemble, "id bigint, ids array<int>")
+    name = "batch bigint, part int, ids array<bigint>, sizes binary, data binary, parts binary"
+    packed = staged(df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_pack(pattern, batch_tokens, parts), name), bucket_by="batch")
+    words = packed.where("part IS NOT NULL").select("batch", "part", "sizes", "data")
+    merged = words.repartition("part").mapInArrow(_merge(path, pattern), "batch bigint, part int, sizes binary, data binary")
+    docs = packed.where("part IS NULL").select("batch", "ids", "sizes", "data", "parts")
+    out = docs.groupBy("batch").cogroup(merged.groupBy("batch")).applyInArrow(_reassemble(parts), "id bigint, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Each row's ids and the bytes they stand for: (id_col, ids, decoded binary).
+def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``df`` without its ids, and with the bytes that they stand for: ``decoded`` binary.
 
     The token-byte table has one entry a token of the vocabulary (about 50 thousand, under 1 MB,
     whatever the input), so every task joins it by position."""
+    rest = [c for c in df.columns if c != ids_col]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields] + ["decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, lengths = _token_bytes(path)
         for batch in batches:
             out = []
-            for row in batch.column(1):
+            for row in batch.column(len(rest)):
                 ids = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
                 out.append(_gather(lengths[ids], starts[ids], flat).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(ids_col).alias("ids")).mapInArrow(run, f"{id_col} bigint, ids array<int>, decoded binary")
+    return df.select(*rest, ids_col).mapInArrow(run, schema)
 
 
 def digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode the whole texts, decode the ids, and keep counts and digests of both."""
-    both = decode(encode(df, path, pattern), path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    encoded = encode(df, path, pattern)
+    ids = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "ids")
+    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
