@@ -36,7 +36,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _grams(lines: DataFrame) -> DataFrame:
-    """One row a selected gram: (g, id, th, at, h, p, left); h and p are the lines around, left of them before it."""
+    """(g, id, th, at): one row a selected gram, with its hash and its first line's number among ``lines``."""
     gram = (
         f"transform(sequence(1, size(lines)), s -> aggregate(slice(lines, s, {GRAM}), named_struct('w', 0, 'g', 42L), "
         f"(a, l) -> CASE WHEN a.w >= {GRAM} THEN a ELSE named_struct('w', a.w + l.w, 'g', xxhash64(a.g, l.h)) END, "
@@ -48,13 +48,8 @@ def _grams(lines: DataFrame) -> DataFrame:
         f"(a, y) -> CASE WHEN a.w >= {SPAN} THEN a WHEN y.g IS NOT NULL AND (a.g IS NULL OR y.g <= a.g) THEN named_struct('w', a.w + y.w, 'g', y.g, 's', y.s) "
         "ELSE named_struct('w', a.w + y.w, 'g', a.g, 's', a.s) END, a -> named_struct('g', a.g, 's', a.s))), f -> f.g IS NOT NULL))"
     )
-    selected = lines.withColumn("grams", F.expr(gram)).withColumn("found", F.explode(F.expr(least)))
-    around = f"slice(lines, greatest(found.s - {REACH}, 1), {2 * REACH + GRAM})"
-    return selected.select(
-        F.col("found.g").alias("g"), "id", "th", F.col("found.s").alias("at"),
-        F.expr(f"transform({around}, l -> l.h)").alias("h"), F.expr(f"transform({around}, l -> l.p)").alias("p"),
-        F.expr(f"found.s - greatest(found.s - {REACH}, 1)").alias("left"),
-    )
+    found = lines.withColumn("grams", F.expr(gram)).withColumn("found", F.explode(F.expr(least)))
+    return found.select(F.col("found.g").alias("g"), "id", "th", F.col("found.s").alias("at"))
 
 
 def _same(a: str, b: str) -> str:
@@ -64,16 +59,23 @@ def _same(a: str, b: str) -> str:
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, runs): for each document with later repeated runs, their merged (first, last) lines."""
-    lines = staged(_lines(df, id_col, text_col))
+    lines = staged(_lines(df, id_col, text_col).dropDuplicates(["id", "th"]))
     grams = _grams(lines)
     place = F.struct("id", "th", "at")
     first = staged(grams.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    # Only fingerprints that occur more than once; their contexts are read for the join below.
-    source = staged(grams.join(first, "g").where(place.eqNullSafe(F.col("first"))).dropDuplicates(["g"]).select("g", "first", F.col("h").alias("fh"), F.col("left").alias("fleft")))
-    pairs = grams.join(source, "g").where(~place.eqNullSafe(F.col("first")))
+    pairs = staged(grams.join(first, "g").where(~place.eqNullSafe(F.col("first"))).select("id", "th", "at", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.at").alias("fat")))
+    # The lines around both places: REACH before, and REACH behind the gram.
+    around = lambda at: f"slice(lines, greatest({at} - {REACH}, 1), {2 * REACH + GRAM})"
+    before = lambda at: f"{at} - greatest({at} - {REACH}, 1)"
+    key = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    own = lines.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "lines")
+    here = pairs.join(own, key).select("id", "th", "fid", "fth", "fat", F.expr(f"transform({around('at')}, l -> l.h)").alias("h"), F.expr(f"transform({around('at')}, l -> l.p)").alias("p"), F.expr(before("at")).alias("left"))
+    # Many places may have the same first one: a join that is split where it is skewed.
+    key = F.col("fid").eqNullSafe(F.col("__id")) & (F.col("fth") == F.col("__th"))
+    both = here.join(own, key).select("id", "th", "h", "p", "left", F.expr(f"transform({around('fat')}, l -> l.h)").alias("fh"), F.expr(before("fat")).alias("fleft"))
     right = _same("slice(h, left + 1, size(h))", "slice(fh, fleft + 1, size(fh))")
     back = _same("reverse(slice(h, 1, left))", "reverse(slice(fh, 1, fleft))")
-    runs = pairs.select("id", "th", "p", "left", F.expr(right).alias("ahead"), F.expr(back).alias("behind"))
+    runs = both.select("id", "th", "p", "left", F.expr(right).alias("ahead"), F.expr(back).alias("behind"))
     runs = runs.select("id", "th", F.expr("named_struct('a', p[left - behind], 'b', p[left + ahead - 1])").alias("run"))
     merged = (
         "aggregate(array_sort(runs), cast(array() as array<struct<a: int, b: int>>), (m, r) -> CASE WHEN size(m) > 0 AND r.a <= element_at(m, -1).b + 1 "
