@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(id, size, source_size, target, taken), and with ``keep`` the input's columns as well."""
+    """(id, size, source_size, target, taken); with ``keep`` the input's columns and copies, how often
+    each row is taken."""
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
     narrow = staged(df.select(F.col(source_col).alias("src"), hash_of(F.col(id_col)).alias("h"), size.alias("size"), F.col(id_col).alias("id")))
     goal = targets(narrow.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -101,9 +102,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         side(goal.select(F.col("src").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("low").alias("__low"))),
         F.col(source_col).eqNullSafe(F.col("__src")),
     )
-    taken = F.col("__size") * (F.col("__whole") + F.when(F.col("__h") < F.col("__low"), F.lit(1)).otherwise(F.lit(0)))
-    kept = [c for c in (df.columns if keep else [id_col]) if not keep or c not in ("size", "source_size", "target", "taken")]
-    return met.select(*kept, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("bigint").alias("taken"))
+    copies = F.col("__whole") + F.when(F.col("__h") < F.col("__low"), F.lit(1)).otherwise(F.lit(0))
+    made = ("size", "source_size", "target", "taken", "copies")
+    facts = [F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * copies).cast("bigint").alias("taken")]
+    if not keep:
+        return met.select(id_col, *facts)
+    return met.select(*(F.col(f"`{c}`") for c in df.columns if c not in made), *facts, copies.cast("int").alias("copies"))
 
 
 def _targets_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> str:
