@@ -31,7 +31,7 @@ BITS = 20
 SHORTEST, LONGEST = 3, 8
 KEPT = 1 << 14
 #: The most labelled rows of either class that training reads.
-TOXIC, CLEAN = 4_000, 8_000
+TOXIC, CLEAN = 2_000, 4_000
 REJECT = 0.7
 
 # Odd multipliers of the hash.
@@ -129,7 +129,7 @@ def _fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.
 def train(docs: DataFrame, labels: DataFrame, kept: int = KEPT, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
     """Counts and log-count ratios come from a Spark aggregation; what the driver gets is bounded by
     ``kept`` features and the sample's rows of them."""
-    rows = sample(docs, labels, toxic, clean).repartition(32)
+    rows = sample(docs, labels, toxic, clean).repartition(8)
     counts = rows.mapInArrow(_count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = staged(counts)
     texts = counts.where("feature = -1").first()
