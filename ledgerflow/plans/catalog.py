@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import scalar
-from ledgerflow.operators import admin, changelog, cluster, cron, dlq, jobs, lifecycle, settle, workflow
+from ledgerflow.operators import admin, admission, changelog, cluster, cron, dlq, jobs, lifecycle, settle, workflow
 from ledgerflow.plans.views_sql import AS_OF as NOW
 from ledgerflow.plans.views_sql import over
 from ledgerflow.schema import JOB_STATES
@@ -791,6 +791,37 @@ def queue_concurrency_timeline(spark, d):
     return jobs.concurrency(e.jobs(spark, d), e.at("2002-01-01 00:00:00"))
 
 
+def _requests(spark, d):
+    rows = e.jobs(spark, d).where("started_at IS NOT NULL AND completed_at IS NOT NULL")
+    begin = rows.select("queue", F.col("scope_org_id").alias("tenant"), F.col("started_at").alias("ts"), F.lit("acquire").alias("kind"), "id")
+    end = rows.select("queue", F.col("scope_org_id").alias("tenant"), F.col("completed_at").alias("ts"), F.lit("release").alias("kind"), "id")
+    return begin.unionByName(end)
+
+
+@query("", "")
+def queue_admission(spark, d):
+    """Token buckets and concurrency over a queue's whole history; an ordered fold, so rows only."""
+    limits = {"default": admission.Limit(0.001, 2, 3), "critical": admission.Limit(0, 0, 5), "bulk": admission.Limit(0.0005, 5, 0)}
+    return admission.admit(_requests(spark, d), limits, {("critical", "org_1"): admission.Limit(0, 0, 1)})
+
+
+@query("crons", "")
+def cron_next(spark, d):
+    """The next time of every schedule, general ones included."""
+    from ledgerflow.functions.cron import next_run
+
+    return e.crons(spark, d).select("id", "schedule", next_run(F.col("schedule"), F.col("next_run_at")).alias("next_at"))
+
+
+@query("jobs", "")
+def handler_execution(spark, d):
+    """Handlers run over a claimed batch; times differ between runs."""
+    from ledgerflow.operators import handlers
+
+    claimed = jobs.claim(e.jobs(spark, d), None, 500, AT).withColumn("payload", F.to_json(F.struct("priority")))
+    return handlers.execute(claimed, {f"handler_{i}": (lambda p: p["priority"] * 2) for i in range(7)}, handlers.recover).drop("elapsed_ms")
+
+
 # --- lifecycle --------------------------------------------------------------
 
 
