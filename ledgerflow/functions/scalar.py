@@ -120,7 +120,7 @@ def parse_int_param(text: Column | str, default: int) -> Column:
 def truncate_bytes(text: Column | str, most: int) -> Column:
     """Text of more than ``most`` bytes is cut there and gets dots. Bytes of a cut character stay away."""
     t = _col(text)
-    head = F.decode(F.substring(t.cast("binary"), 1, most), "UTF-8")
+    head = F.make_valid_utf8(F.substring(t.cast("binary"), 1, most).cast("string"))
     return F.when(F.octet_length(t) > most, F.concat(F.regexp_replace(head, "�+$", ""), F.lit("..."))).otherwise(t)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.changelog import change, latest
-from ledgerflow.operators.jobs import NULL_TS
+from ledgerflow.operators.jobs import null_ts
 from ledgerflow.schema import WORKER_STATES
 from ledgerflow.sources.entities import plus
 
@@ -38,7 +38,7 @@ def acquire_leadership(workers: DataFrame, worker: str, as_of: Column, ttl: floa
     other = workers.agg(F.coalesce(F.bool_or(F.col("is_leader") & (F.col("leader_until") >= as_of) & (F.col("id") != worker)), F.lit(False)).alias("__taken"))
     joined = workers.crossJoin(F.broadcast(other))
     mine = F.col("id") == worker
-    until = F.when(mine, plus(as_of, ttl)).otherwise(NULL_TS)
+    until = F.when(mine, plus(as_of, ttl)).otherwise(null_ts())
     return change(joined, ~F.col("__taken"), is_leader=mine, leader_until=until).select(*workers.columns)
 
 

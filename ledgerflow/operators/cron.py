@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.cron import next_run
 from ledgerflow.operators.changelog import change, insert, page
-from ledgerflow.operators.jobs import NULL_TS, search
+from ledgerflow.operators.jobs import null_ts, search
 from ledgerflow.sources.entities import plus
 
 
@@ -44,7 +44,7 @@ def acquire_locks(crons: DataFrame, claims: DataFrame, as_of: Column, ttl: float
 
 
 def release_locks(crons: DataFrame, worker: str) -> DataFrame:
-    return change(crons, F.col("locked_by") == worker, locked_by=F.lit(None).cast("string"), locked_until=NULL_TS)
+    return change(crons, F.col("locked_by") == worker, locked_by=F.lit(None).cast("string"), locked_until=null_ts())
 
 
 def toggle(crons: DataFrame, ids: Column, enabled: bool) -> DataFrame:

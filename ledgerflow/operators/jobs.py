@@ -11,7 +11,9 @@ from ledgerflow.operators.changelog import change, page
 from ledgerflow.schema import CLAIMABLE, JOB_STATES
 from ledgerflow.sources.entities import plus
 
-NULL_TS = F.lit(None).cast("timestamp_ntz")
+
+def null_ts() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
 
 
 def eligible(jobs: DataFrame, queues: Sequence[str] | None, as_of: Column) -> DataFrame:
@@ -115,7 +117,7 @@ def cancel_any(jobs: DataFrame, ids: Column) -> DataFrame:
 
 def retry(jobs: DataFrame, ids: Column) -> DataFrame:
     """Failed jobs start anew."""
-    return change(jobs, ids & (F.col("state") == "failed"), state=F.lit("pending"), retry_count=F.lit(0), started_at=NULL_TS, completed_at=NULL_TS)
+    return change(jobs, ids & (F.col("state") == "failed"), state=F.lit("pending"), retry_count=F.lit(0), started_at=null_ts(), completed_at=null_ts())
 
 
 def heartbeat(jobs: DataFrame, beats: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions import scalar
 from ledgerflow.operators.changelog import change
-from ledgerflow.operators.jobs import NULL_TS, stale
+from ledgerflow.operators.jobs import null_ts, stale
 from ledgerflow.sources.entities import plus
 
 
@@ -40,7 +40,7 @@ def give_up(done: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     jobs = change(spent, F.lit(True), state=F.lit("failed"), completed_at=as_of).drop("ok", "error")
     letters = spent.select(
         F.concat(F.lit("dlq_"), F.substring_index("id", "_", -1)).alias("id"), F.col("id").alias("job_id"), F.col("name").alias("job_name"),
-        "queue", "error", "retry_count", "max_retries", "scope_org_id", as_of.alias("failed_at"), NULL_TS.alias("replayed_at"),
+        "queue", "error", "retry_count", "max_retries", "scope_org_id", as_of.alias("failed_at"), null_ts().alias("replayed_at"),
     )
     return jobs, letters
 
@@ -52,12 +52,12 @@ def refuse(jobs: DataFrame, which: Column, as_of: Column, poll: float = 1.0) ->
 
 def hand_back(jobs: DataFrame, which: Column, as_of: Column) -> DataFrame:
     """Claimed jobs that no worker took are due at once."""
-    return change(jobs, which, state=F.lit("pending"), run_at=as_of, started_at=NULL_TS)
+    return change(jobs, which, state=F.lit("pending"), run_at=as_of, started_at=null_ts())
 
 
 def reap(jobs: DataFrame, threshold: float, as_of: Column) -> DataFrame:
     """Stale jobs as pending ones, with no retry counted."""
-    return change(stale(jobs, threshold, as_of), F.lit(True), state=F.lit("pending"), run_at=as_of, heartbeat_at=NULL_TS, started_at=NULL_TS)
+    return change(stale(jobs, threshold, as_of), F.lit(True), state=F.lit("pending"), run_at=as_of, heartbeat_at=null_ts(), started_at=null_ts())
 
 
 def metrics(done: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.changelog import change, latest
-from ledgerflow.operators.jobs import NULL_TS
+from ledgerflow.operators.jobs import null_ts
 from ledgerflow.sources.entities import plus
 
 
@@ -125,7 +125,7 @@ def resume_set(runs: DataFrame, registry: DataFrame) -> DataFrame:
 
 def restart(runs: DataFrame, which: Column, version: Column) -> DataFrame:
     """Runs set back to running on a version; checkpoints stay."""
-    return change(runs, which, state=F.lit("running"), version=version, completed_at=NULL_TS)
+    return change(runs, which, state=F.lit("running"), version=version, completed_at=null_ts())
 
 
 def replay_from(runs: DataFrame, checkpoints: DataFrame, step: str, versions: DataFrame) -> tuple[DataFrame, DataFrame]:

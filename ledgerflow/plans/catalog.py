@@ -19,10 +19,13 @@ from ledgerflow.sources import entities as e
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-AT = e.at(e.AS_OF)
 TIES = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
 
+def _now():
+    return e.at(e.AS_OF)
+
+
 def query(views: str, sql: str) -> Callable:
     """Registers a query under its function's name; the SQL starts behind the views' expressions."""
 
@@ -53,12 +56,12 @@ _READY = f"state IN ('pending', 'retrying') AND run_at <= {NOW}"
 
 @query("jobs", f"SELECT {_job_columns(state=chr(39) + 'running' + chr(39), started_at=NOW)} FROM (SELECT * FROM jobs WHERE {_READY} AND queue IN ('default', 'critical') {_CLAIM} LIMIT 50)")
 def job_claim_topk(spark, d):
-    return jobs.claim(e.jobs(spark, d), ["default", "critical"], 50, AT)
+    return jobs.claim(e.jobs(spark, d), ["default", "critical"], 50, _now())
 
 
 @query("jobs", f"SELECT {_job_columns(state=chr(39) + 'running' + chr(39), started_at=NOW)} FROM (SELECT * FROM jobs WHERE {_READY} {_CLAIM} LIMIT 200)")
 def job_claim_all_queues(spark, d):
-    return jobs.claim(e.jobs(spark, d), None, 200, AT)
+    return jobs.claim(e.jobs(spark, d), None, 200, _now())
 
 
 @query("jobs", "SELECT * FROM jobs WHERE state = 'completed' AND queue = 'bulk' ORDER BY created_at, id LIMIT 20 OFFSET 40")
@@ -73,7 +76,7 @@ def job_get(spark, d):
 
 @query("jobs", f"SELECT * FROM jobs WHERE state = 'running' AND coalesce(heartbeat_at, started_at) < {NOW} - to_seconds(30)")
 def job_reap_stale(spark, d):
-    return jobs.stale(e.jobs(spark, d), 30, AT)
+    return jobs.stale(e.jobs(spark, d), 30, _now())
 
 
 @query("jobs", "SELECT count(*) AS n FROM jobs WHERE queue = 'default' AND state = 'pending'")
@@ -150,26 +153,29 @@ def job_enqueue_defaults(spark, d):
         "id", "name", F.when(F.col("priority") == 5, F.col("queue")).alias("queue"), F.when(F.col("priority") == 4, 7).alias("max_retries"), F.lit(None).cast("bigint").alias("timeout_ms"),
         F.when(F.col("priority") > 2, F.col("priority")).alias("priority"), F.when(F.col("priority") == 1, F.col("run_at")).alias("run_at"),
     )
-    return jobs.with_defaults(raw, AT)
+    return jobs.with_defaults(raw, _now())
 
 
 _PICK = "CAST(substr(id, 5) AS BIGINT) % 11 = 0"
-PICK = F.substring("id", 5, 10).cast("bigint") % 11 == 0
+
+
+def _pick():
+    return F.substring("id", 5, 10).cast("bigint") % 11 == 0
 
 
 @query("jobs", "SELECT " + _case(f"{_PICK} AND state IN ('pending', 'retrying')", state="'cancelled'", completed_at=NOW) + " FROM jobs")
 def job_cancel_http(spark, d):
-    return jobs.cancel(e.jobs(spark, d), PICK, AT)
+    return jobs.cancel(e.jobs(spark, d), _pick(), _now())
 
 
 @query("jobs", "SELECT " + _case(_PICK, state="'cancelled'") + " FROM jobs")
 def job_cancel_wire(spark, d):
-    return jobs.cancel_any(e.jobs(spark, d), PICK)
+    return jobs.cancel_any(e.jobs(spark, d), _pick())
 
 
 @query("jobs", "SELECT " + _case(f"{_PICK} AND state = 'failed'", state="'pending'", retry_count="0", started_at="NULL", completed_at="NULL") + " FROM jobs")
 def job_manual_retry(spark, d):
-    return jobs.retry(e.jobs(spark, d), PICK)
+    return jobs.retry(e.jobs(spark, d), _pick())
 
 
 @query("jobs", f"SELECT {_job_columns(heartbeat_at='coalesce(b.ts, heartbeat_at)')} FROM jobs LEFT JOIN (SELECT 'job_' || lpad(CAST(user_id AS VARCHAR), 10, '0') AS bid, max(ts) AS ts FROM events GROUP BY 1) b ON id = bid")
@@ -203,7 +209,7 @@ def job_update(spark, d):
 @query("jobs", f"SELECT * FROM jobs WHERE NOT ({_PICK})")
 def job_delete(spark, d):
     all_ = e.jobs(spark, d)
-    return changelog.delete(all_, all_.where(PICK).select("id"))
+    return changelog.delete(all_, all_.where(_pick()).select("id"))
 
 
 # --- settling ---------------------------------------------------------------
@@ -219,7 +225,7 @@ _DONE = "done AS (SELECT *, CAST(substr(id, 5) AS BIGINT) % 2 = 0 AS ok, CASE WH
 
 @query("jobs", f", {_DONE} SELECT {_job_columns(state=chr(39) + 'completed' + chr(39), completed_at=NOW)} FROM done WHERE ok")
 def settle_success(spark, d):
-    return settle.succeed(_done(spark, d), AT)
+    return settle.succeed(_done(spark, d), _now())
 
 
 _JITTER = "CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) / 4294967296.0 * least(pow(2, retry_count), 60)"
@@ -228,32 +234,32 @@ _JITTER = "CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) / 4294967296.0 * least(
 @query("jobs", f", {_DONE} SELECT {_job_columns(state=chr(39) + 'retrying' + chr(39), retry_count='retry_count + 1', run_at=f'{NOW} + to_microseconds(CAST(floor(CAST({_JITTER} AS DOUBLE) * 1000) AS BIGINT) * 1000)')} FROM done WHERE NOT ok AND retry_count + 1 <= max_retries")
 def settle_retry(spark, d):
     delay = F.floor(scalar.backoff_jitter("retry_count", "id") * 1000) / 1000
-    return settle.schedule_retries(_done(spark, d), AT, delay.cast("decimal(18,6)"))
+    return settle.schedule_retries(_done(spark, d), _now(), delay.cast("decimal(18,6)"))
 
 
 @query("jobs", f", {_DONE} SELECT {_job_columns(state=chr(39) + 'failed' + chr(39), retry_count='retry_count + 1', completed_at=NOW)} FROM done WHERE NOT ok AND retry_count + 1 > max_retries")
 def settle_failed(spark, d):
-    return settle.give_up(_done(spark, d), AT)[0]
+    return settle.give_up(_done(spark, d), _now())[0]
 
 
 @query("jobs", f", {_DONE} SELECT 'dlq_' || substr(id, 5) AS id, id AS job_id, name AS job_name, queue, error, retry_count + 1 AS retry_count, max_retries, scope_org_id, {NOW} AS failed_at, CAST(NULL AS TIMESTAMP) AS replayed_at FROM done WHERE NOT ok AND retry_count + 1 > max_retries")
 def settle_dlq(spark, d):
-    return settle.give_up(_done(spark, d), AT)[1]
+    return settle.give_up(_done(spark, d), _now())[1]
 
 
 @query("jobs", "SELECT " + _case(f"{_PICK} AND state = 'running'", state="'pending'", run_at=f"{NOW} + to_seconds(1)") + " FROM jobs")
 def requeue_rate_limited(spark, d):
-    return settle.refuse(e.jobs(spark, d), PICK & (F.col("state") == "running"), AT)
+    return settle.refuse(e.jobs(spark, d), _pick() & (F.col("state") == "running"), _now())
 
 
 @query("jobs", "SELECT " + _case(f"{_PICK} AND state = 'running'", state="'pending'", run_at=NOW, started_at="NULL") + " FROM jobs")
 def requeue_undispatched(spark, d):
-    return settle.hand_back(e.jobs(spark, d), PICK & (F.col("state") == "running"), AT)
+    return settle.hand_back(e.jobs(spark, d), _pick() & (F.col("state") == "running"), _now())
 
 
 @query("jobs", f"SELECT {_job_columns(state=chr(39) + 'pending' + chr(39), run_at=NOW, heartbeat_at='CAST(NULL AS TIMESTAMP)', started_at='CAST(NULL AS TIMESTAMP)')} FROM jobs WHERE state = 'running' AND coalesce(heartbeat_at, started_at) < {NOW} - to_seconds(30)")
 def reap_reset(spark, d):
-    return settle.reap(e.jobs(spark, d), 30, AT)
+    return settle.reap(e.jobs(spark, d), 30, _now())
 
 
 @query("lifecycle", "SELECT type AS name, count(*) AS executions, count(*) FILTER (elapsed_ms % 7 = 0) AS failures, quantile_cont(elapsed_ms, 0.95) AS p95_ms, max(elapsed_ms) AS max_ms FROM lifecycle GROUP BY type")
@@ -264,7 +270,7 @@ def execution_metrics(spark, d):
 # --- scalars ----------------------------------------------------------------
 
 
-@query("jobs", "SELECT id, 2.0 AS seconds FROM jobs WHERE state = 'retrying'")
+@query("jobs", "SELECT id, CAST(2 AS DOUBLE) AS seconds FROM jobs WHERE state = 'retrying'")
 def backoff_constant(spark, d):
     return e.jobs(spark, d).where("state = 'retrying'").select("id", scalar.backoff_constant(2).alias("seconds"))
 
@@ -318,8 +324,8 @@ def _amount(unit: int, one: str, many: str) -> str:
  FROM (SELECT id, CAST(epoch({NOW}) - epoch(next_run_at) AS BIGINT) * (CAST(substr(id, 6) AS BIGINT) % 40) AS s FROM crons))""")
 def relative_time(spark, d):
     shift = F.substring("id", 6, 10).cast("bigint") % 40
-    gap = F.timestamp_diff("SECOND", F.col("next_run_at"), AT) * shift
-    return e.crons(spark, d).select("id", scalar.relative_time(e.plus(AT, -gap), AT).alias("phrase"))
+    gap = F.timestamp_diff("SECOND", F.col("next_run_at"), _now()) * shift
+    return e.crons(spark, d).select("id", scalar.relative_time(e.plus(_now(), -gap), _now()).alias("phrase"))
 
 
 @query("jobs", "SELECT queue, CASE WHEN f * 100.0 / n < 5 THEN 'Healthy' WHEN f * 100.0 / n < 20 THEN 'Degraded' ELSE 'Unhealthy' END AS health FROM (SELECT queue, count(*) AS n, count(*) FILTER (state = 'failed') * 2 AS f FROM jobs GROUP BY queue)")
@@ -490,13 +496,13 @@ def run_replay_state(spark, d):
 @query("runs", f"SELECT id, name, version, CASE WHEN state <> 'running' THEN state WHEN version = 2 THEN 'completed' ELSE 'failed' END AS state, parent_run_id, started_at, created_at, CASE WHEN state = 'running' THEN {NOW} ELSE completed_at END AS completed_at FROM runs")
 def run_finish(spark, d):
     all_ = e.runs(spark, d)
-    return workflow.finish(all_, all_.where("state = 'running'").select("id", (F.col("version") == 2).alias("ok")), AT)
+    return workflow.finish(all_, all_.where("state = 'running'").select("id", (F.col("version") == 2).alias("ok")), _now())
 
 
 @query("runs", f"SELECT r.id || '_next' AS id, r.name, v.version, 'running' AS state, {NOW} AS started_at, {NOW} AS created_at FROM runs r JOIN (SELECT name, max(version) AS version FROM runs GROUP BY name) v ON r.name = v.name WHERE r.state = 'failed'")
 def run_start(spark, d):
     requests = e.runs(spark, d).where("state = 'failed'").select(F.concat("id", F.lit("_next")).alias("id"), "name")
-    return workflow.start(requests, workflow.newest_versions(_registry(spark, d)), AT)
+    return workflow.start(requests, workflow.newest_versions(_registry(spark, d)), _now())
 
 
 _PLANNED = ", planned AS (SELECT id AS run_id, 'step-' || s AS step_name, s AS seq FROM runs, (SELECT unnest([1, 2, 3]) AS s) WHERE state = 'running')"
@@ -567,7 +573,7 @@ def wait_match(spark, d):
 @query("runs", f"SELECT id AS run_id, started_at AS since, version * 86400 AS seconds, started_at + to_seconds(version * 86400) AS wake_at FROM runs WHERE state = 'running' AND started_at + to_seconds(version * 86400) <= {NOW}")
 def sleep_due(spark, d):
     sleeps = e.runs(spark, d).where("state = 'running'").select(F.col("id").alias("run_id"), F.col("started_at").alias("since"), (F.col("version") * 86400).alias("seconds"))
-    return workflow.due_sleeps(sleeps, AT)
+    return workflow.due_sleeps(sleeps, _now())
 
 
 # --- schedules --------------------------------------------------------------
@@ -575,14 +581,14 @@ def sleep_due(spark, d):
 
 @query("crons", f"SELECT * FROM crons WHERE enabled AND next_run_at <= {NOW}")
 def cron_due(spark, d):
-    return cron.due(e.crons(spark, d), AT)
+    return cron.due(e.crons(spark, d), _now())
 
 
 @query("crons", f"SELECT id, {NOW} + to_seconds(30) AS next_at FROM crons WHERE schedule LIKE '@every%'")
 def cron_next_every(spark, d):
     from ledgerflow.functions.cron import next_run
 
-    return e.crons(spark, d).where("schedule LIKE '@every%'").select("id", next_run(F.col("schedule"), AT).alias("next_at"))
+    return e.crons(spark, d).where("schedule LIKE '@every%'").select("id", next_run(F.col("schedule"), _now()).alias("next_at"))
 
 
 _NEXT = f"""CASE schedule WHEN '*/5 * * * *' THEN {NOW} + to_seconds(300) WHEN '0 * * * *' THEN {NOW} + to_seconds(3600) WHEN '0 2 * * *' THEN {NOW} + to_seconds(7200)
@@ -592,24 +598,24 @@ _NEXT = f"""CASE schedule WHEN '*/5 * * * *' THEN {NOW} + to_seconds(300) WHEN '
 
 @query("crons", f"SELECT id, name, job_name, schedule, enabled, CASE WHEN enabled AND next_run_at <= {NOW} THEN {_NEXT} ELSE next_run_at END AS next_run_at FROM crons")
 def cron_fire_state(spark, d):
-    return cron.fire(e.crons(spark, d), AT)[0]
+    return cron.fire(e.crons(spark, d), _now())[0]
 
 
 @query("crons", f"SELECT 'job_' || substr(id, 6) AS id, job_name AS name, 'default' AS queue, 'pending' AS state, {NOW} AS run_at, {NOW} AS created_at FROM crons WHERE enabled AND next_run_at <= {NOW}")
 def cron_fire_jobs(spark, d):
-    return cron.fire(e.crons(spark, d), AT)[1]
+    return cron.fire(e.crons(spark, d), _now())[1]
 
 
 @query("crons", f"SELECT id, name, job_name, schedule, enabled, next_run_at FROM crons WHERE CAST(substr(id, 6) AS BIGINT) % 2 = 0 UNION ALL SELECT id, name, job_name, schedule, TRUE, {_NEXT} FROM crons WHERE CAST(substr(id, 6) AS BIGINT) % 2 = 1 AND CAST(substr(id, 6) AS BIGINT) % 5 = 0")
 def cron_register(spark, d):
     all_ = e.crons(spark, d)
     key = F.substring("id", 6, 10).cast("bigint")
-    return cron.register(all_.where(key % 2 == 0), all_.where(key % 5 == 0).drop("next_run_at", "enabled"), AT)
+    return cron.register(all_.where(key % 2 == 0), all_.where(key % 5 == 0).drop("next_run_at", "enabled"), _now())
 
 
 def _locked(spark, d):
     k = F.substring("id", 6, 10).cast("bigint")
-    return e.crons(spark, d).select("id", F.when(k % 3 == 0, "w1").when(k % 3 == 1, "w2").alias("locked_by"), F.when(k % 3 != 2, e.plus(AT, (k % 5 - 2) * 10)).alias("locked_until"))
+    return e.crons(spark, d).select("id", F.when(k % 3 == 0, "w1").when(k % 3 == 1, "w2").alias("locked_by"), F.when(k % 3 != 2, e.plus(_now(), (k % 5 - 2) * 10)).alias("locked_until"))
 
 
 _LOCKED = f", locked AS (SELECT id, CAST(substr(id, 6) AS BIGINT) AS k, CASE CAST(substr(id, 6) AS BIGINT) % 3 WHEN 0 THEN 'w1' WHEN 1 THEN 'w2' END AS locked_by, CASE WHEN CAST(substr(id, 6) AS BIGINT) % 3 <> 2 THEN {NOW} + to_seconds((CAST(substr(id, 6) AS BIGINT) % 5 - 2) * 10) END AS locked_until FROM crons)"
@@ -619,7 +625,7 @@ _LOCKED = f", locked AS (SELECT id, CAST(substr(id, 6) AS BIGINT) AS k, CASE CAS
 def cron_lock(spark, d):
     all_ = _locked(spark, d)
     claims = all_.where(F.substring("id", 6, 10).cast("bigint") % 2 == 0).select(F.col("id").alias("cron_id"), F.explode(F.array(F.lit("w2"), F.lit("w3"))).alias("worker_id"))
-    return cron.acquire_locks(all_, claims.withColumn("claimed_at", AT), AT)
+    return cron.acquire_locks(all_, claims.withColumn("claimed_at", _now()), _now())
 
 
 @query("crons", f"{_LOCKED} SELECT id, CASE WHEN locked_by = 'w1' THEN NULL ELSE locked_by END AS locked_by, CASE WHEN locked_by = 'w1' THEN NULL ELSE locked_until END AS locked_until FROM locked")
@@ -672,17 +678,17 @@ _REPLAYED = f"SELECT 'job_' || md5(id || '|2000-01-01 00:00:00') AS id, job_name
 
 @query("dlq", f"{_REPLAYED} FROM dlq WHERE queue = 'bulk'")
 def dlq_replay(spark, d):
-    return dlq.replay(e.dlq(spark, d), F.col("queue") == "bulk", AT)[1]
+    return dlq.replay(e.dlq(spark, d), F.col("queue") == "bulk", _now())[1]
 
 
 @query("dlq", f"SELECT id, job_id, job_name, queue, retry_count, max_retries, scope_org_id, failed_at, CASE WHEN queue = 'bulk' THEN {NOW} ELSE replayed_at END AS replayed_at FROM dlq")
 def dlq_replay_marks(spark, d):
-    return dlq.replay(e.dlq(spark, d), F.col("queue") == "bulk", AT)[0]
+    return dlq.replay(e.dlq(spark, d), F.col("queue") == "bulk", _now())[0]
 
 
 @query("dlq", f"{_REPLAYED} FROM (SELECT * FROM dlq ORDER BY failed_at, id LIMIT 1000) WHERE replayed_at IS NULL")
 def dlq_replay_all(spark, d):
-    return dlq.replay_all(e.dlq(spark, d), AT)
+    return dlq.replay_all(e.dlq(spark, d), _now())
 
 
 @query("dlq", "SELECT * FROM dlq WHERE failed_at >= TIMESTAMP '1998-01-01 00:00:00'")
@@ -722,17 +728,17 @@ def event_ack(spark, d):
 @query("bus_events", f"SELECT * FROM bus_events UNION ALL SELECT id || 'x', name, payload, scope_org_id, FALSE, {NOW} FROM bus_events WHERE name = 'signup'")
 def event_publish(spark, d):
     all_ = e.bus_events(spark, d)
-    return cluster.publish(all_, all_.where("name = 'signup'").withColumn("id", F.concat("id", F.lit("x"))), AT)
+    return cluster.publish(all_, all_.where("name = 'signup'").withColumn("id", F.concat("id", F.lit("x"))), _now())
 
 
 @query("workers", f"SELECT * FROM workers WHERE last_seen < {NOW} - to_seconds(60)")
 def worker_reap(spark, d):
-    return cluster.dead(e.workers(spark, d), 60, AT)
+    return cluster.dead(e.workers(spark, d), 60, _now())
 
 
 @query("workers", f"SELECT * FROM workers WHERE NOT last_seen < {NOW} - to_seconds(60)")
 def worker_delete_stale(spark, d):
-    return cluster.without_dead(e.workers(spark, d), 60, AT)
+    return cluster.without_dead(e.workers(spark, d), 60, _now())
 
 
 @query("workers", f"SELECT id, CASE WHEN k % 4 = 0 THEN 'moved' ELSE hostname END AS hostname, queues, concurrency, CASE WHEN k % 4 = 0 THEN 'active' ELSE state END AS state, is_leader, leader_until, last_seen FROM (SELECT *, CAST(substr(id, 5) AS BIGINT) AS k FROM workers)")
@@ -749,17 +755,17 @@ def worker_states(spark, d):
 
 @query("workers", f"SELECT * FROM workers WHERE is_leader AND leader_until >= {NOW}")
 def worker_leader(spark, d):
-    return cluster.leader(e.workers(spark, d), AT)
+    return cluster.leader(e.workers(spark, d), _now())
 
 
 @query("workers", f"SELECT id, hostname, queues, concurrency, state, id = 'wkr_0000000005' AS is_leader, CASE WHEN id = 'wkr_0000000005' THEN {NOW} + to_seconds(120 + 60) END AS leader_until, last_seen FROM workers")
 def leader_takeover(spark, d):
-    return cluster.acquire_leadership(e.workers(spark, d), "wkr_0000000005", e.plus(AT, 120))
+    return cluster.acquire_leadership(e.workers(spark, d), "wkr_0000000005", e.plus(_now(), 120))
 
 
 @query("workers", f"SELECT id, hostname, queues, concurrency, state, is_leader, CASE WHEN id = 'wkr_0000000002' THEN {NOW} + to_seconds(90) ELSE leader_until END AS leader_until, last_seen FROM workers")
 def leader_renew(spark, d):
-    return cluster.renew_leadership(e.workers(spark, d), "wkr_0000000002", e.plus(AT, 30))
+    return cluster.renew_leadership(e.workers(spark, d), "wkr_0000000002", e.plus(_now(), 30))
 
 
 @query("workers", "SELECT queue, count(*) AS workers, CAST(sum(concurrency) AS BIGINT) AS slots FROM (SELECT unnest(queues) AS queue, concurrency FROM workers WHERE state = 'active') GROUP BY queue")
@@ -769,7 +775,7 @@ def worker_queue_capacity(spark, d):
 
 @query("workers", f"SELECT id, last_seen >= {NOW} - to_seconds(45) AS connected FROM workers")
 def peer_health(spark, d):
-    return cluster.peer_health(e.workers(spark, d).select("id", "last_seen"), AT).select("id", "connected")
+    return cluster.peer_health(e.workers(spark, d).select("id", "last_seen"), _now()).select("id", "connected")
 
 
 # --- queues -----------------------------------------------------------------
@@ -818,7 +824,7 @@ def handler_execution(spark, d):
     """Handlers run over a claimed batch; times differ between runs."""
     from ledgerflow.operators import handlers
 
-    claimed = jobs.claim(e.jobs(spark, d), None, 500, AT).withColumn("payload", F.to_json(F.struct("priority")))
+    claimed = jobs.claim(e.jobs(spark, d), None, 500, _now()).withColumn("payload", F.to_json(F.struct("priority")))
     return handlers.execute(claimed, {f"handler_{i}": (lambda p: p["priority"] * 2) for i in range(7)}, handlers.recover).drop("elapsed_ms")
 
 
