@@ -26,7 +26,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     kept = cut.where((F.col("n_lines_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_lines_cut") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
-    mixed = mixing.mix(docs, keep=True)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixed = mixing.mix(docs, keep=True).where(f"{mixing.MIX}.copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(f"{mixing.MIX}.copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

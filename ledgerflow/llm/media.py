@@ -202,8 +202,8 @@ def store(df: DataFrame, id_col: str = "doc_id", bytes_col: str = "text", codecs
 
 def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_pcm: bool = True) -> DataFrame:
     """``df`` with payload facts, a feature string and (keep_pcm) a PCM file of the resampled audio."""
-    rest = [c for c in df.columns if c != media_col]
     fields = ["payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "feature string"] + ["pcm binary"] * keep_pcm
+    rest = [c for c in df.columns if c != media_col and c not in {f.split()[0] for f in fields}]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields] + fields)
 
     def group(media: list[bytes]) -> list[tuple]:

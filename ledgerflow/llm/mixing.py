@@ -22,6 +22,7 @@ HASH_BITS, LEVEL_BITS = 60, 10
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+MIX = "__mix"
 #: So many sources may be broadcast with their thresholds, at under 100 bytes each.
 SMALL = 50_000
 
@@ -56,8 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(id, size, source_size, target, taken); with ``keep`` the input's columns and copies, how often
-    each row is taken."""
+    """(id, size, source_size, target, taken); with ``keep`` the input's columns and a struct MIX of
+    these and copies, how often each row is taken."""
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
     narrow = staged(df.select(F.col(source_col).alias("src"), hash_of(F.col(id_col)).alias("h"), size.alias("size"), F.col(id_col).alias("id")))
     goal = targets(narrow.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -103,11 +104,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.col(source_col).eqNullSafe(F.col("__src")),
     )
     copies = F.col("__whole") + F.when(F.col("__h") < F.col("__low"), F.lit(1)).otherwise(F.lit(0))
-    made = ("size", "source_size", "target", "taken", "copies")
     facts = [F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * copies).cast("bigint").alias("taken")]
     if not keep:
         return met.select(id_col, *facts)
-    return met.select(*(F.col(f"`{c}`") for c in df.columns if c not in made), *facts, copies.cast("int").alias("copies"))
+    return met.select(*(F.col(f"`{c}`") for c in df.columns if c != MIX), F.struct(*facts, copies.cast("int").alias("copies")).alias(MIX))
 
 
 def _targets_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> str:
