@@ -103,7 +103,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         side(goal.select(F.col("src").alias("__src"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("low").alias("__low"))),
         F.col(source_col).eqNullSafe(F.col("__src")),
     )
-    copies = F.col("__whole") + F.when(F.col("__h") < F.col("__low"), F.lit(1)).otherwise(F.lit(0))
+    # A document without words may lie below the threshold of a source that is owed all its repeats.
+    copies = F.least(F.col("__whole") + F.when(F.col("__h") < F.col("__low"), F.lit(1)).otherwise(F.lit(0)), F.lit(most))
     facts = [F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * copies).cast("bigint").alias("taken")]
     if not keep:
         return met.select(id_col, *facts)

@@ -12,8 +12,8 @@ vectors are dealt to blocks in turn, so copies of one vector spread.
 
 Defined results: a null vector, or one with a null or non-finite component, or a null id, takes no
 part; only vectors of equal length are compared; rows with the query's id are its own; equal scores
-go to the smaller id; repeated rows of a query are one query, those of others count each. Components
-from 2**26 in size on, whose products could overflow, take no part either.
+go to the smaller id; repeated rows of a query are one query, those of others count each. A vector whose
+products could overflow a long (in 64 dimensions, scaled components from 2**28.5 on) takes no part either.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 CELLS = 64
 DATA_BLOCK, QUERY_BLOCK = 4096, 4096
 SCALE = 256
-LARGEST = float(1 << 26)
 #: Vectors read exactly at a time.
 STEP = 32
 
@@ -49,8 +48,8 @@ class ApproximationFile:
         ceiling = floor + self.width - 1
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
         lower, upper = plus @ floor.T + minus @ ceiling.T, plus @ ceiling.T + minus @ floor.T
-        # Sums beyond 2**53 are rounded.
-        slack = 1e-9 * np.maximum(np.abs(lower), np.abs(upper))
+        # Sums beyond 2**53 are rounded, in proportion to what they add up.
+        slack = 1e-12 * (np.abs(queries) @ np.maximum(np.abs(floor.min(axis=0)), np.abs(ceiling.max(axis=0))))[:, None]
         return lower - slack, upper + slack
 
 
@@ -94,7 +93,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     """(query_id, rank, vec_id, score): the k best of each row whose id is divisible by ``every``."""
     whole = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"), F.col(vector_col).alias("x"))
     # A null component makes forall() null, which where() drops.
-    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST))
+    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < F.sqrt(F.lit(2.0**63) / F.size("x")) - 1))
     whole = whole.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & finite).drop("x").withColumn("dim", F.size("v"))
     asked = whole.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"])
     n_data, n_asked = whole.count(), asked.count()
