@@ -6,11 +6,12 @@ as a fingerprint. So any passage of whole lines with at least ``GRAM + SPAN`` wo
 selected gram, and holds the same one wherever it occurs: the guarantee of winnowing.
 
 Each fingerprint's occurrences are joined with its first one in corpus order (id, then text hash,
-then line). From there the match is extended line by line both ways, and the later run goes. An
-extension of ``REACH`` lines is enough: what a longer run has beyond them holds a fingerprint of its
-own. Comparing with first occurrences only keeps the work in proportion to the number of lines,
-however often a passage repeats, and loses nothing: an occurrence of a fingerprint that is not
-the first is always deleted, so the guarantee holds for every later copy.
+then line). From there the match is extended line by line both ways, and the later run goes. The
+first occurrence may stand among other lines than the run does; so a fingerprint has further keys,
+for itself with the 1, 2, ... lines before it and with those behind it, up to ``GRAM + SPAN`` words,
+and each key is joined with its own first occurrence. Beyond those words a run holds another
+fingerprint. So every later run of at least ``GRAM + SPAN`` words is deleted whole, while each row is
+joined with one other only: the work follows the number of lines, however often a passage repeats.
 
 Defined results: blank lines count for nothing and go only inside a deleted run; a null text stays
 null, an empty one empty; passages below ``GRAM`` words stay; rows with equal id and equal text
@@ -36,20 +37,30 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _grams(lines: DataFrame) -> DataFrame:
-    """(g, id, th, at): one row a selected gram, with its hash and its first line's number among ``lines``."""
+    """(id, th, at, g): the keys of each selected gram, and its first line's number among ``lines``."""
     gram = (
-        f"transform(sequence(1, size(lines)), s -> aggregate(slice(lines, s, {GRAM}), named_struct('w', 0, 'g', 42L), "
-        f"(a, l) -> CASE WHEN a.w >= {GRAM} THEN a ELSE named_struct('w', a.w + l.w, 'g', xxhash64(a.g, l.h)) END, "
-        f"a -> named_struct('s', s, 'w', lines[s - 1].w, 'g', CASE WHEN a.w >= {GRAM} THEN a.g END)))"
+        f"transform(sequence(1, size(lines)), s -> aggregate(slice(lines, s, {GRAM}), named_struct('w', 0, 'n', 0, 'g', 42L), "
+        f"(a, l) -> CASE WHEN a.w >= {GRAM} THEN a ELSE named_struct('w', a.w + l.w, 'n', a.n + 1, 'g', xxhash64(a.g, l.h)) END, "
+        f"a -> named_struct('s', s, 'w', lines[s - 1].w, 'n', a.n, 'g', CASE WHEN a.w >= {GRAM} THEN a.g END)))"
     )
     # The last grams of a text are too short and have no hash; a later equal hash wins, as in robust winnowing.
     least = (
-        f"array_distinct(filter(transform(grams, x -> aggregate(slice(grams, x.s, {SPAN}), named_struct('w', 0, 'g', cast(null as bigint), 's', 0), "
-        f"(a, y) -> CASE WHEN a.w >= {SPAN} THEN a WHEN y.g IS NOT NULL AND (a.g IS NULL OR y.g <= a.g) THEN named_struct('w', a.w + y.w, 'g', y.g, 's', y.s) "
-        "ELSE named_struct('w', a.w + y.w, 'g', a.g, 's', a.s) END, a -> named_struct('g', a.g, 's', a.s))), f -> f.g IS NOT NULL))"
+        f"array_distinct(filter(transform(grams, x -> aggregate(slice(grams, x.s, {SPAN}), named_struct('w', 0, 'g', cast(null as bigint), 's', 0, 'n', 0), "
+        f"(a, y) -> CASE WHEN a.w >= {SPAN} THEN a WHEN y.g IS NOT NULL AND (a.g IS NULL OR y.g <= a.g) THEN named_struct('w', a.w + y.w, 'g', y.g, 's', y.s, 'n', y.n) "
+        "ELSE named_struct('w', a.w + y.w, 'g', a.g, 's', a.s, 'n', a.n) END, a -> named_struct('g', a.g, 's', a.s, 'n', a.n))), f -> f.g IS NOT NULL))"
     )
     found = lines.withColumn("grams", F.expr(gram)).withColumn("found", F.explode(F.expr(least)))
-    return found.select(F.col("found.g").alias("g"), "id", "th", F.col("found.s").alias("at"))
+
+    def around(side: int, beside: str) -> str:
+        """The keys with ever more lines on one side; ``beside``: those lines, nearest first."""
+        return (
+            f"aggregate(slice({beside}, 1, {REACH}), named_struct('w', 0, 'h', xxhash64(found.g, {side}), 'keys', cast(array() as array<bigint>)), (a, l) -> "
+            f"CASE WHEN a.w >= {REACH} THEN a ELSE named_struct('w', a.w + l.w, 'h', xxhash64(a.h, l.h), 'keys', concat(a.keys, array(xxhash64(a.h, l.h)))) END, a -> a.keys)"
+        )
+
+    before, behind = "reverse(slice(lines, greatest(found.s - {0}, 1), least(found.s - 1, {0})))".format(REACH), "slice(lines, found.s + found.n, size(lines))"
+    keys = f"concat(array(found.g), {around(1, before)}, {around(2, behind)})"
+    return found.select("id", "th", F.col("found.s").alias("at"), F.explode(F.expr(keys)).alias("g"))
 
 
 def _same(a: str, b: str) -> str:
@@ -63,7 +74,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grams = _grams(lines)
     place = F.struct("id", "th", "at")
     first = staged(grams.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    pairs = staged(grams.join(first, "g").where(~place.eqNullSafe(F.col("first"))).select("id", "th", "at", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.at").alias("fat")))
+    pairs = staged(grams.join(first, "g").where(~place.eqNullSafe(F.col("first"))).select("id", "th", "at", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.at").alias("fat")).distinct())
     # The lines around both places: REACH before, and REACH behind the gram.
     around = lambda at: f"slice(lines, greatest({at} - {REACH}, 1), {2 * REACH + GRAM})"
     before = lambda at: f"{at} - greatest({at} - {REACH}, 1)"
@@ -87,10 +98,10 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later repeated runs cut out of ``text_col``, and n_lines_cut: the lines gone (0 for most)."""
-    runs = repeated_runs(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "runs")
+    runs = repeated_runs(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     joined = df.join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__th")), "left")
-    kept = "filter(split(__t, '\\n'), (x, p) -> NOT exists(runs, r -> p BETWEEN r.a AND r.b))"
-    text = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join({kept.replace('__t', f'`{text_col}`')}, '\\n')"))
-    cut = F.coalesce(F.expr("aggregate(runs, 0, (n, r) -> n + r.b - r.a + 1)"), F.lit(0)).cast("bigint")
+    kept = "filter(split(__t, '\\n'), (x, p) -> NOT exists(__runs, r -> p BETWEEN r.a AND r.b))"
+    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join({kept.replace('__t', f'`{text_col}`')}, '\\n')"))
+    cut = F.coalesce(F.expr("aggregate(__runs, 0, (n, r) -> n + r.b - r.a + 1)"), F.lit(0)).cast("bigint")
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (text_col, "n_lines_cut")]
     return joined.select(*rest, text.alias(text_col), cut.alias("n_lines_cut"))
