@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import staged
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 WORD_PARTS = 256
-#: Distinct pre-tokens whose ids a task remembers; beyond them it starts anew.
-REMEMBERED = 2_000_000
+#: Rows decoded together.
+DECODE_ROWS = 500
+
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,22 +130,24 @@ def _pack(pattern: str, batch_tokens: int, parts: int):
 
 
 def _merge(path: str, pattern: str):
-    """Each distinct word of a part is merged once, however many batches ask for it."""
+    """Each distinct word of a part is merged once, however many batches ask for it. Rows come sorted by
+    part, so only one part's words are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = _encoding(path, pattern)._encode_single_piece
         known: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
             sizes, data = [], []
-            for lengths, joined in zip(batch.column("sizes"), batch.column("data"), strict=True):
+            for part, lengths, joined in zip(batch.column("part").to_pylist(), batch.column("sizes"), batch.column("data"), strict=True):
+                if part != last:
+                    last, known = part, {}
                 text, at, found = zstandard.ZstdDecompressor().decompress(joined.as_py()), 0, []
                 for n in _unpress(lengths.as_py()).tolist():
                     word = text[at : at + n]
                     at += n
                     ids = known.get(word)
                     if ids is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
                         ids = known[word] = merge(word)
                     found.append(ids)
                 sizes.append(_press(np.array([len(x) for x in found])))
@@ -192,7 +195,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     name = "batch bigint, part int, ids array<bigint>, sizes binary, data binary, parts binary"
     packed = staged(df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_pack(pattern, batch_tokens, parts), name), bucket_by="batch")
     words = packed.where("part IS NOT NULL").select("batch", "part", "sizes", "data")
-    merged = words.repartition("part").mapInArrow(_merge(path, pattern), "batch bigint, part int, sizes binary, data binary")
+    merged = words.repartition("part").sortWithinPartitions("part").mapInArrow(_merge(path, pattern), "batch bigint, part int, sizes binary, data binary")
     docs = packed.where("part IS NULL").select("batch", "ids", "sizes", "data", "parts")
     out = docs.groupBy("batch").cogroup(merged.groupBy("batch")).applyInArrow(_reassemble(parts), "id bigint, ids array<int>")
     return out.withColumnRenamed("id", id_col)
@@ -203,17 +206,18 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     The token-byte table has one entry a token of the vocabulary (about 50 thousand, under 1 MB,
     whatever the input), so every task joins it by position."""
-    rest = [c for c in df.columns if c != ids_col]
+    rest = [c for c in df.columns if c not in (ids_col, "decoded")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields] + ["decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, lengths = _token_bytes(path)
-        for batch in batches:
-            out = []
-            for row in batch.column(len(rest)):
-                ids = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
-                out.append(_gather(lengths[ids], starts[ids], flat).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(out, pa.binary())], names=[*rest, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                batch, out = whole.slice(at, DECODE_ROWS), []
+                for row in batch.column(len(rest)):
+                    ids = row.values.to_numpy() if row.is_valid else np.zeros(0, np.int32)
+                    out.append(_gather(lengths[ids], starts[ids], flat).tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
     return df.select(*rest, ids_col).mapInArrow(run, schema)
 

@@ -49,7 +49,9 @@ def staged(df: DataFrame, bucket_by: str | None = None) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    back = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files stay, and the frame knows their buckets
+    return back
 
 
 def text_of(column: str = "text"):
