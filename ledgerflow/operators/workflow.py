@@ -81,16 +81,29 @@ def fan_out(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id").agg(F.when(F.count("result") == F.count("*"), rows).alias("results"))
 
 
+def _seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.unix_date(F.to_date(ts)) * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+
+
 def first_event(waits: DataFrame, events: DataFrame) -> DataFrame:
     """``waits`` (wait_id, name, since, timeout_s) with the oldest unacknowledged event of the name in
     time, null where there is none. It isn't claimed: two waits may see one event, and
     acknowledgements apply when the batch ends.
 
-    Events are narrowed to their names' oldest in the waits' windows by a join and min_by, not by a rank over all events."""
-    open_ = events.where("NOT acked").select(F.col("name").alias("__name"), F.col("id").alias("event_id"), F.col("created_at").alias("event_at"))
+    The join is one of equal names and equal time buckets. A wait's buckets are a power of two of seconds,
+    longer than its timeout, so it looks into two of them; events are there once for each length in use."""
+    width = F.pow(F.lit(2), F.ceil(F.log2(F.col("timeout_s") + 1))).cast("bigint")
     until = plus(F.col("since"), F.col("timeout_s"))
-    joined = waits.join(open_, (F.col("name") == F.col("__name")) & (F.col("event_at") >= F.col("since")) & (F.col("event_at") <= until), "left")
-    return joined.groupBy("wait_id", "name").agg(F.min(F.struct("event_at", "event_id")).alias("e")).select("wait_id", "name", F.col("e.event_id").alias("event_id"), F.col("e.event_at").alias("event_at"))
+    first, last = F.floor(_seconds(F.col("since")) / F.col("__width")), F.floor(_seconds(until) / F.col("__width"))
+    looking = waits.select("wait_id", "name", "since", "timeout_s", width.alias("__width"))
+    looking = looking.withColumn("__bucket", F.explode_outer(F.sequence(first, F.greatest(first, last))))
+    widths = waits.select(width.alias("__w")).where("__w IS NOT NULL").distinct()
+    open_ = events.where("NOT acked").select(F.col("name").alias("__name"), F.col("id").alias("event_id"), F.col("created_at").alias("event_at"))
+    open_ = open_.crossJoin(F.broadcast(widths)).withColumn("__b", F.floor(_seconds(F.col("event_at")) / F.col("__w")))
+    same = (F.col("name") == F.col("__name")) & (F.col("__width") == F.col("__w")) & (F.col("__bucket") == F.col("__b"))
+    joined = looking.join(open_, same & (F.col("event_at") >= F.col("since")) & (F.col("event_at") <= until), "left")
+    return joined.groupBy("wait_id", "name").agg(F.min(F.when(F.col("event_id").isNotNull(), F.struct("event_at", "event_id"))).alias("e")).select("wait_id", "name", F.col("e.event_id").alias("event_id"), F.col("e.event_at").alias("event_at"))
 
 
 def wait_all(found: DataFrame, groups: list[str]) -> DataFrame:

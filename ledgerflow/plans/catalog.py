@@ -543,8 +543,8 @@ _WAITS = ", waits AS (SELECT id AS wait_id, k AS name, DATE '2024-01-01'::TIMEST
 _FOUND = f"{_WAITS}, found AS (SELECT wait_id, w.name, min(struct_pack(t := created_at, i := id)) FILTER (id IS NOT NULL) AS e FROM waits w LEFT JOIN bus_events b ON b.name = w.name AND NOT acked AND created_at >= since AND created_at <= since + to_seconds(timeout_s) GROUP BY 1, 2)"
 
 
-def _found(spark, d):
-    waits = e.runs(spark, d).select(F.col("id").alias("wait_id"), F.substring("id", 7, 10).cast("bigint").alias("k")).where("k % 50 = 0")
+def _found(spark, d, every=False):
+    waits = e.runs(spark, d).select(F.col("id").alias("wait_id"), F.substring("id", 7, 10).cast("bigint").alias("k")).where("TRUE" if every else "k % 50 = 0")
     waits = waits.select("wait_id", F.explode(F.array(F.lit("error"), F.lit("purchase"))).alias("name"), e.plus(e.at("2024-01-01 00:00:00"), F.col("k") * 120).alias("since"), F.lit(1800).alias("timeout_s"))
     return workflow.first_event(waits, e.bus_events(spark, d))
 
@@ -564,6 +564,29 @@ def wait_any(spark, d):
     return workflow.wait_any(_found(spark, d), ["wait_id"])
 
 
+# The same over the waits of every run. The SQL is an as-of join, as DuckDB's range join is too slow for so many.
+_EVERY = _WAITS.replace(" WHERE CAST(substr(id, 7) AS BIGINT) % 50 = 0", "")
+_EVERY_FOUND = (
+    f"{_EVERY}, opened AS (SELECT name AS n, created_at AS t, min(id) AS i FROM bus_events WHERE NOT acked GROUP BY 1, 2), found AS (SELECT wait_id, w.name, "
+    "CASE WHEN t <= since + to_seconds(timeout_s) THEN struct_pack(t := t, i := i) END AS e FROM waits w ASOF LEFT JOIN opened o ON w.name = o.n AND w.since <= o.t)"
+)
+
+
+@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, name, e.i AS event_id, e.t AS event_at FROM found")
+def wait_event_every_run(spark, d):
+    return _found(spark, d, every=True)
+
+
+@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, count(*) AS wanted, count(e.i) AS arrived, count(e.i) = count(*) AS complete, CASE WHEN count(e.i) = count(*) THEN max(e.t) END AS complete_at FROM found GROUP BY wait_id")
+def wait_all_every_run(spark, d):
+    return workflow.wait_all(_found(spark, d, every=True), ["wait_id"])
+
+
+@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, x.i AS event_id, x.n AS name FROM (SELECT wait_id, min(struct_pack(t := e.t, i := e.i, n := name)) FILTER (e.i IS NOT NULL) AS x FROM found GROUP BY wait_id)")
+def wait_any_every_run(spark, d):
+    return workflow.wait_any(_found(spark, d, every=True), ["wait_id"])
+
+
 @query("bus_events", "SELECT name, min(struct_pack(t := created_at, i := id)).i AS event_id FROM bus_events WHERE NOT acked AND CAST(json_extract(payload, '$.k') AS BIGINT) > 50 GROUP BY name")
 def wait_match(spark, d):
     matching = e.bus_events(spark, d).where(F.get_json_object("payload", "$.k").cast("bigint") > 50)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,8 @@ from ledgerflow import schema
 from ledgerflow.operators import admission, changelog, cluster, cron, dlq, handlers, jobs, settle, workflow
 from ledgerflow.functions import scalar
 from ledgerflow.functions.cron import next_time, parse
+from ledgerflow.plans import catalog
+from ledgerflow.sources import entities as e
 from ledgerflow.sources.entities import at
 from tests.conftest import values
 
@@ -173,6 +176,22 @@ def test_waits(spark):
     assert values(workflow.wait_any(found, ["wait_id"]), "wait_id", "event_id") == [("w1", "e2"), ("w2", None)]
 
 
+def test_waits_equal_brute_force(spark):
+    r = random.Random(5)
+    some = lambda k: T0 + timedelta(milliseconds=r.randrange(k))
+    waits = [(f"w{i}", r.choice("ab"), some(9_000_000), r.choice([0, 1, 59, 1800, 1800, 7200, -5])) for i in range(200)] + [("n", "a", T0, None)]
+    events = [(f"e{i}", r.choice("abc"), some(12_000_000).replace(microsecond=0), r.random() < 0.3) for i in range(300)]
+    found = workflow.first_event(spark.createDataFrame(waits, "wait_id string, name string, since timestamp_ntz, timeout_s int"), spark.createDataFrame(events, "id string, name string, created_at timestamp_ntz, acked boolean"))
+    want = [(w, *min(((t, i) for i, m, t, acked in events if m == n and not acked and s is not None and o is not None and s <= t <= s + timedelta(seconds=o)), default=(None, None))[::-1]) for w, n, s, o in waits]
+    assert values(found, "wait_id", "event_id", "event_at") == sorted(want, key=repr)
+
+
+def test_waits_of_every_run(spark, data):
+    n = e.runs(spark, data).count()
+    got = {name: catalog.QUERIES[name](spark, data).count() for name in ("wait_event_every_run", "wait_all_every_run", "wait_any_every_run")}
+    assert got == {"wait_event_every_run": 2 * n, "wait_all_every_run": n, "wait_any_every_run": n}
+
+
 def test_run_tree_is_deep(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("z", None)], "id string, parent_run_id string")
     assert values(workflow.run_tree(rows)) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("z", "z", 0)]
