@@ -21,11 +21,12 @@ def list_letters(dlq: DataFrame, queue: str | None = None, limit: int = 0, offse
 
 
 def as_jobs(letters: DataFrame, as_of: Column) -> DataFrame:
-    """New pending jobs from letters, with no retries counted; the id is derived from the letter's and the time."""
+    """New pending jobs from letters, with no retries counted, and payload and scopes where letters have them;
+    the id is derived from the letter's and the time."""
     key = F.md5(F.concat_ws("|", F.col("id"), as_of.cast("string")).cast("binary"))
     return letters.select(
         F.concat(F.lit("job_"), key).alias("id"), F.col("job_name").alias("name"), "queue", F.lit("pending").alias("state"), F.lit(0).alias("retry_count"),
-        "max_retries", "scope_org_id", as_of.alias("run_at"), as_of.alias("created_at"),
+        "max_retries", "scope_org_id", as_of.alias("run_at"), as_of.alias("created_at"), *(c for c in ("payload", "scope_app_id") if c in letters.columns),
     )
 
 

@@ -35,12 +35,12 @@ def schedule_retries(done: DataFrame, as_of: Column, delay: Column | None = None
 
 
 def give_up(done: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Failed jobs without retries left, and their dead letters."""
+    """Failed jobs without retries left, and their dead letters: copies, with payload and scopes where jobs have them."""
     spent = failed(done).where("retry_count > max_retries")
     jobs = change(spent, F.lit(True), state=F.lit("failed"), completed_at=as_of).drop("ok", "error")
     letters = spent.select(
         F.concat(F.lit("dlq_"), F.substring_index("id", "_", -1)).alias("id"), F.col("id").alias("job_id"), F.col("name").alias("job_name"),
-        "queue", "error", "retry_count", "max_retries", "scope_org_id", as_of.alias("failed_at"), null_ts().alias("replayed_at"),
+        "queue", "error", "retry_count", "max_retries", "scope_org_id", as_of.alias("failed_at"), null_ts().alias("replayed_at"), *(c for c in ("payload", "scope_app_id") if c in spent.columns),
     )
     return jobs, letters
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,85 @@ def pending_steps(planned: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return planned.join(done, (F.col("run_id") == F.col("__run")) & (F.col("step_name") == F.col("__step")), "left_anti")
 
 
+def _with_checkpoints(planned: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """``planned`` with ``cached`` and ``saved`` of the steps' current checkpoints; the data may be null."""
+    done = current_checkpoints(checkpoints).select(F.col("run_id").alias("__run"), F.col("step_name").alias("__step"), F.col("data").alias("saved"), F.lit(True).alias("__ok"))
+    joined = planned.join(done, (F.col("run_id") == F.col("__run")) & (F.col("step_name") == F.col("__step")), "left")
+    return joined.withColumn("cached", F.coalesce("__ok", F.lit(False))).drop("__run", "__step", "__ok")
+
+
+def run_steps(planned: DataFrame, checkpoints: DataFrame, handlers: dict[str, Callable[[object, dict], object]]) -> DataFrame:
+    """(run_id, step_name, seq, cached, ok, error, data) of planned steps (run_id, step_name, seq, handler, input as JSON).
+
+    A step with a checkpoint gives back its data and doesn't run. The others run their handler in order,
+    on their input and the results by name of the run's steps before; the first to fail ends its run's steps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, results = [], {}
+        for step in pdf.sort_values(["seq", "step_name"]).itertuples(index=False):
+            data, error = step.saved, None
+            if not step.cached:
+                try:
+                    if step.handler not in handlers:
+                        raise LookupError(f"no handler for {step.handler}")
+                    data = json.dumps(handlers[step.handler](json.loads(step.input or "null"), dict(results)))
+                except Exception as e:  # noqa: BLE001  a handler may raise anything
+                    data, error = None, str(e)
+            rows.append((step.run_id, step.step_name, step.seq, step.cached, error is None, error, data))
+            if error is not None:
+                break
+            results[step.step_name] = json.loads(data or "null")
+        return pd.DataFrame(rows, columns=["run_id", "step_name", "seq", "cached", "ok", "error", "data"])
+
+    joined = _with_checkpoints(planned.select("run_id", "step_name", F.col("seq").cast("bigint"), "handler", "input"), checkpoints)
+    return joined.groupBy("run_id").applyInPandas(run, "run_id string, step_name string, seq bigint, cached boolean, ok boolean, error string, data string")
+
+
+def new_checkpoints(results: DataFrame, as_of: Column) -> DataFrame:
+    """Checkpoints of the good results that came from no checkpoint."""
+    return results.where("ok AND NOT cached").select(_derived("ckpt").alias("id"), "run_id", "step_name", "data", as_of.alias("created_at"))
+
+
+def _derived(prefix: str) -> Column:
+    """An id that follows from a step's run and name."""
+    return F.concat(F.lit(prefix + "_"), F.md5(F.concat_ws("|", F.length("run_id").cast("string"), "run_id", "step_name").cast("binary")))
+
+
+def start_children(planned: DataFrame, checkpoints: DataFrame, runs: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
+    """New runs, linked to their parents, for planned child steps (run_id, step_name, name, input) that have
+    neither a checkpoint nor a child yet. Unknown names are left out; child_results() fails their steps."""
+    wanted = pending_steps(planned, checkpoints).select(_derived("wfrun").alias("id"), "name", F.col("run_id").alias("parent_run_id"), "input")
+    fresh = wanted.join(runs.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti")
+    newest = versions.select(F.col("name").alias("__name"), "version")
+    return fresh.join(newest, F.col("name") == F.col("__name")).select(
+        "id", "name", "version", F.lit("running").alias("state"), "input", "parent_run_id", as_of.alias("started_at"), as_of.alias("created_at")
+    )
+
+
+def child_results(planned: DataFrame, checkpoints: DataFrame, runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """(run_id, step_name, cached, ok, error, data) of planned ``child:`` steps: the checkpoint's data, or the
+    child's output when it is completed. A failed child fails the step; ``ok`` is null while the child runs."""
+    child = runs.select(F.col("id").alias("__child"), F.col("state").alias("__state"), F.col("output").alias("__output"), F.col("error").alias("__error"))
+    known = versions.select(F.col("name").alias("__known")).distinct()
+    joined = _with_checkpoints(planned.withColumn("__id", _derived("wfrun")), checkpoints)
+    joined = joined.join(child, F.col("__id") == F.col("__child"), "left").join(known, F.col("name") == F.col("__known"), "left")
+    failed = F.when(F.col("__state") == "failed", F.concat(F.lit('child workflow "'), "name", F.lit('" failed: '), F.coalesce("__error", F.lit(""))))
+    lost = F.when(F.col("__child").isNull() & F.col("__known").isNull(), F.concat(F.lit('no workflow "'), "name", F.lit('"')))
+    error = F.when(~F.col("cached"), F.coalesce(failed, lost))
+    ok = F.when(F.col("cached") | (F.col("__state") == "completed"), True).when(error.isNotNull(), False)
+    data = F.when(F.col("cached"), F.col("saved")).when(F.col("__state") == "completed", F.coalesce("__output", F.lit("null")))
+    return joined.select("run_id", "step_name", "cached", ok.alias("ok"), error.alias("error"), data.alias("data"))
+
+
+def spawn_results(planned: DataFrame, checkpoints: DataFrame, versions: DataFrame) -> DataFrame:
+    """As child_results() for ``spawn:`` steps, which don't wait: their data are the child's id."""
+    known = versions.select(F.col("name").alias("__known")).distinct()
+    joined = _with_checkpoints(planned, checkpoints).join(known, F.col("name") == F.col("__known"), "left")
+    ok = F.col("cached") | F.col("__known").isNotNull()
+    data = F.when(F.col("cached"), F.col("saved")).when(ok, _derived("wfrun"))
+    return joined.select("run_id", "step_name", "cached", ok.alias("ok"), F.when(~ok, F.concat(F.lit('no workflow "'), "name", F.lit('"'))).alias("error"), data.alias("data"))
+
+
 def group_status(members: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(run_id, members, done, complete) of parallel groups: complete when every member has its checkpoint."""
     done = checkpoints.select(F.col("run_id").alias("__run"), F.col("step_name").alias("__step"), F.lit(True).alias("__ok")).distinct()
