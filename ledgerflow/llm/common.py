@@ -36,17 +36,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, bucket_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, bucket_by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
     costs a re-read only. Parquet rather than checkpoint(), which computes its input twice and
-    writes it uncompressed. With ``bucket_by``, a later grouping by that column needs no shuffle.
-    The folder goes when the driver's Python ends."""
+    writes it uncompressed. With ``bucket_by``, a later grouping by that column needs no shuffle;
+    without it, ``options`` are the writer's. The folder goes when the driver's Python ends."""
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
     path = f"{shared_root(spark)}/{name}"
     atexit.register(_drop, spark, path)
     if bucket_by is None:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).option("path", path).saveAsTable(name)
     back = spark.table(name)

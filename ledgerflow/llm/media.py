@@ -2,7 +2,8 @@
 
 Companded samples are expanded by a table of 256 entries. ADPCM blocks start from their own header,
 so numpy decodes all blocks of a batch of files side by side, one nibble step at a time. Decoded
-audio is resampled by whole or rational factors and can be stored as 16-bit PCM.
+audio is resampled by whole or rational factors and stored as 16-bit PCM. digest() writes both files to
+the shared folder and takes its columns from what it reads back.
 
 A null or empty payload gives a file of one unit of silence padding (see ``pad``); a file that is
 not one of ours raises ValueError. There is no shuffle: a row depends on itself only.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.common import staged
+
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 NAMES = {PCM: "pcm16", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima-adpcm"}
 #: Payload bytes in an ADPCM block, behind its header of four bytes.
@@ -231,6 +235,34 @@ def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_p
     return df.select(*rest, media_col).mapInArrow(run, schema)
 
 
+#: How the stored files are written. Snappy, the default, takes about twice the room.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+
+
+def stored_pcm(df: DataFrame) -> DataFrame:
+    """expand() of the telephony files, as written to the shared folder and read back: with the PCM files."""
+    return staged(expand(staged(store(df), **STORED)), **STORED)
+
+
+def measured(df: DataFrame, pcm_col: str = "pcm") -> DataFrame:
+    """``df`` with its feature string taken from the PCM file, which goes; the codec is the telephony file's."""
+    rest = [c for c in df.columns if c not in (pcm_col, "feature")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest, "feature").schema.fields)
+    codes = {name: codec for codec, name in NAMES.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for said, file in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                codec, rate, data = read_wav(file.as_py())
+                if codec != PCM:
+                    raise ValueError("not a PCM file")
+                found.append(features(np.frombuffer(data, dtype="<i2"), codes[re.match("codec=([^;]*)", said.as_py())[1]], rate))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(found, pa.string())], names=[*rest, "feature"])
+
+    return df.select(*rest, "feature", pcm_col).mapInArrow(run, schema)
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """Each text's bytes through a stored file and back, with features of the resampled audio."""
-    return expand(store(df), keep_pcm=False)
+    """Each text's bytes through a stored file and back, with features of the stored PCM."""
+    return measured(stored_pcm(df))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, chat, graph, html_text, line_dedup, media, mixing, near_dup, pii, registry, topk, toxicity
+from ledgerflow.llm import bpe, chat, common, graph, html_text, line_dedup, media, mixing, near_dup, pii, registry, topk, toxicity
 from tests.compare import rows_of_duckdb, rows_of_spark
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -498,6 +498,18 @@ def test_media_round_trip(spark):
     assert codec == media.PCM and rate == 16000 and f"samples={len(pcm) // 2}" in row.feature
 
 
+def test_media_are_stored(spark, monkeypatch):
+    texts, kept = [*AWKWARD, *(vocabulary_text(i, 60) for i in range(20))], []
+    monkeypatch.setattr(media, "staged", lambda df, **options: (kept.append(common.staged(df, **options)), kept[-1])[1])
+    got = {r.doc_id: r for r in media.digest(docs(spark, texts)).collect()}
+    files, pcm = ({r.doc_id: r for r in x.collect()} for x in kept)
+    assert all(x.inputFiles() for x in kept) and files.keys() == pcm.keys() == got.keys()
+    for i, row in got.items():
+        assert hashlib.sha256(files[i].media).hexdigest() == row.media_sha256 and len(files[i].media) == row.media_bytes
+        codec, rate, data = media.read_wav(pcm[i].pcm)
+        assert codec == media.PCM and rate == 16000 and row.feature == pcm[i].feature and f";samples={len(data) // 2};" in row.feature
+
+
 def test_media_decoders_equal_plain_ones():
     # Known values of both companding tables.
     assert [int(media._MULAW[x]) for x in (0x00, 0x7F, 0x80, 0xFF)] == [-32124, 0, 32124, 0]
