@@ -196,6 +196,21 @@ def test_html_main_text(spark):
     assert html_text.digest(frame.limit(0)).count() == 0
 
 
+def test_html_copies_are_cut_by_another_page(spark):
+    rows = [(i, f"http://c.example/{p}", page(f"<p>{t}</p>")) for i, (p, t) in enumerate([("x/1", "Equal"), ("x/1", "Equal"), ("x/2", "Equal"), ("x/3", "Other"), ("y/1", "Equal"), ("y/2", "Equal")])]
+    rows += [(10 + i, "http://e.example/", page(f"<p>{t}</p>")) for i, t in enumerate(["Same"] * 3)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).repartition(3).collect()}
+    whole = "Home About\n\nSite of examples\n\nSame\n\nWrite to us"
+    assert got == {0: "Equal", 1: "Equal", 2: "Equal", 3: "Other", 4: "Equal", 5: "Equal", 10: whole, 11: whole, 12: whole}
+
+
+def test_html_keeps_the_words_of_a_marked_article():
+    kept = "<h2 id='related-work'>A</h2><section id='social-history'><p class='share-price'>B</p></section><section class='ad-hoc'>C</section><div class='notice-period'>D</div><h3 class='comments'>E</h3>"
+    left = "<div class='share'>V</div><div class='lead comment-list'>W</div><ul class='relatedLinks'><li>X</ul><div id='comments'>Y</div><section class='related'>Z</section>"
+    lines = html_text.lines_of(f"<article>{kept}{left}</article><div class='ad-hoc'>U</div>")
+    assert [text for text, level, out in lines if level == 2 and not out] == list("ABCDE") and {text for text, _, out in lines if out} == set("UVWXYZ")
+
+
 def test_html_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
