@@ -43,6 +43,8 @@ WORDS = 5
 SHARE = (75, 100)
 #: Shingles that a task gathers before it passes them on, and that a group of them holds on average.
 PACK, GROUP = 2_000_000, 2_000_000
+#: Postings of a list that one salt takes.
+LIST = 1000
 #: Salts of the orders behind the first.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -323,3 +325,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A class may hold any share of the rows: that join is split where it is skewed.
     out = known.join(component, F.col("key") == F.col("k"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def linked_pairs(core: DataFrame) -> DataFrame:
+    """(a, b), a < b: every link between classes, those inside a component too. Unlike linked_components(),
+    the work follows the number of pairs, as the result does. Long lists are salted on one side."""
+    postings = core.select("key", "n", *_BITS, F.explode(F.arrays_zip("prefix", "most")).alias("p"))
+    postings = postings.select(F.col("p.prefix").alias("t"), F.struct("key", "n", F.col("p.most").alias("most"), *_BITS).alias("x"))
+    lengths = postings.groupBy("t").agg(F.count("*").alias("length")).where("length > 1").select("t", F.ceil(F.col("length") / LIST).alias("salts"))
+    listed = staged(postings.join(lengths, "t"))
+    one = listed.select("t", "x", F.pmod(F.xxhash64("x.key"), "salts").alias("salt"))
+    two = listed.select(F.col("t").alias("t2"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt2"))
+    met = one.join(two, (F.col("t") == F.col("t2")) & (F.col("salt") == F.col("salt2")) & F.expr("x.key < y.key") & _allowed("x", "y"))
+    return links(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), core)
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (a, b) between classes, and members (id_col, key), a row a row of ``df``, the key
+    null for a text without words. Documents of one class are copies, and linked by that."""
+    known = staged(classes(df, id_col, text_col, words))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    core = staged(candidates_core(df, text_col, total, words))
+    return linked_pairs(core), known.select(F.col("id").alias(id_col), "key")
+
+
+def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id_col, n_links): a row a row of ``df``, with the number of other documents that it is linked to: its
+    copies, and all members of the classes linked to its own. Rows with the same id and set count as one."""
+    pairs, members = near_links(df, id_col, text_col, words)
+    # Rows without an id are each a document.
+    size = F.count_distinct(F.col(id_col)) + F.count_if(F.col(id_col).isNull())
+    sizes = staged(members.where("key IS NOT NULL").groupBy("key").agg(size.alias("size")))
+    ways = pairs.union(pairs.select("b", "a"))
+    other = ways.join(sizes, F.col("b") == F.col("key")).groupBy("a").agg(F.sum("size").alias("others"))
+    counts = sizes.join(other, F.col("key") == F.col("a"), "left").select(F.col("key").alias("k"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("found"))
+    out = members.join(staged(counts), F.col("key") == F.col("k"), "left")
+    return out.select(id_col, F.coalesce("found", F.lit(0)).cast("bigint").alias("n_links"))

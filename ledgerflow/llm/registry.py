@@ -27,6 +27,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_near_duplicates": op2_near_duplicates,
+        "op2_near_links": op2_near_links,
         "op3_html_text": op3_html_text,
         "op4_pii": op4_pii,
         "op5_exact_topk": op5_exact_topk,

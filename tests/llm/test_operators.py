@@ -130,6 +130,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
 
 
+def test_near_links_equal_brute_force(spark, monkeypatch):
+    texts = near_texts()
+    sets = brute_sets(texts)
+    want = {i: sum(1 for j in sets if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])) for i in sets}
+    monkeypatch.setattr(near_dup, "LIST", 7)
+    frame = docs(spark, texts)
+    got = near_dup.link_counts(frame.unionByName(frame.where("doc_id = 150"))).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(texts) + 1 and max(want.values()) > 20
+
+
 def test_near_duplicates_in_many_groups(spark, monkeypatch):
     texts = near_texts()
     frame = docs(spark, texts)
