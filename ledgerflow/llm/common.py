@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir, or on a local master one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them see")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Folders that staged() wrote and that are still there.
+_folders: list[str] = []
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -36,15 +44,38 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(docs: DataFrame) -> None:
+    """Delete the folders staged so far, but for those that ``docs`` reads: whatever else they were for is written."""
+    needed = docs.inputFiles()
+    for path in list(_folders):
+        if not any(path.rsplit("/", 1)[1] in file for file in needed):
+            _folders.remove(path)
+            _drop(docs.sparkSession, path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is planned inside moves at most so many rows an Arrow batch: by Spark's own limit of 10,000, some hundred
+    documents of unusual length make the JVM and its Python workers hold several times their share."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, bucket_by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
     costs a re-read only. Parquet rather than checkpoint(), which computes its input twice and
     writes it uncompressed. With ``bucket_by``, a later grouping by that column needs no shuffle;
-    without it, ``options`` are the writer's. The folder goes when the driver's Python ends."""
+    without it, ``options`` are the writer's. The folder goes with release(), or when the driver's Python ends."""
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
     path = f"{shared_root(spark)}/{name}"
     atexit.register(_drop, spark, path)
+    _folders.append(path)
     if bucket_by is None:
         df.write.options(**options).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
