@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import staged
+from ledgerflow.llm.common import arrow_rows, staged
 from ledgerflow.llm.graph import components
 
 WORDS = 5
@@ -43,6 +43,8 @@ WORDS = 5
 SHARE = (75, 100)
 #: Shingles that a task gathers before it passes them on, and that a group of them holds on average.
 PACK, GROUP = 2_000_000, 2_000_000
+#: Rows of an Arrow batch: texts, or pairs with the tokens of both.
+ROWS = 1000
 #: Postings of a list that one salt takes.
 LIST = 1000
 #: Salts of the orders behind the first.
@@ -313,20 +315,26 @@ def linked_components(core: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id_col, n_shingles, component_id): a row a row of ``df``; the component is the least id reachable by links."""
-    known = staged(classes(df, id_col, text_col, words))
-    total = known.agg(F.sum("n")).first()[0] or 0
-    core = staged(candidates_core(df, text_col, total, words))
-    roots = linked_components(core)
-    copies = known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
-    named = copies.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    named = staged(named)
-    reached = staged(named.groupBy("root").agg(F.min("least").alias("component")))
-    component = staged(named.join(reached, "root").select(F.col("key").alias("k"), "component"))
+    known, component = _components_of(df, id_col, text_col, words)
     # A class may hold any share of the rows: that join is split where it is skewed.
     out = known.join(component, F.col("key") == F.col("k"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _components_of(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """classes() of ``df``, and (k, component) for each class."""
+    with arrow_rows(df.sparkSession, ROWS):
+        known = staged(classes(df, id_col, text_col, words))
+        total = known.agg(F.sum("n")).first()[0] or 0
+        core = staged(candidates_core(df, text_col, total, words))
+        roots = linked_components(core)
+        copies = known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
+        named = copies.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+        named = staged(named)
+        reached = staged(named.groupBy("root").agg(F.min("least").alias("component")))
+        return known, staged(named.join(reached, "root").select(F.col("key").alias("k"), "component"))
+
+
 def linked_pairs(core: DataFrame) -> DataFrame:
     """(a, b), a < b: every link between classes, those inside a component too. Unlike linked_components(),
     the work follows the number of pairs, as the result does. Long lists are salted on one side."""
@@ -343,10 +351,11 @@ def linked_pairs(core: DataFrame) -> DataFrame:
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b) between classes, and members (id_col, key), a row a row of ``df``, the key
     null for a text without words. Documents of one class are copies, and linked by that."""
-    known = staged(classes(df, id_col, text_col, words))
-    total = known.agg(F.sum("n")).first()[0] or 0
-    core = staged(candidates_core(df, text_col, total, words))
-    return linked_pairs(core), known.select(F.col("id").alias(id_col), "key")
+    with arrow_rows(df.sparkSession, ROWS):
+        known = staged(classes(df, id_col, text_col, words))
+        total = known.agg(F.sum("n")).first()[0] or 0
+        core = staged(candidates_core(df, text_col, total, words))
+        return linked_pairs(core), known.select(F.col("id").alias(id_col), "key")
 
 
 def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
