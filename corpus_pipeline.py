@@ -1,7 +1,8 @@
 """Documents to training tokens: toxicity, line deduplication, near duplicates, mixing, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet and
-reads it again for the next. All but the last return the columns of documents.
+reads it again for the next. All but the last return the columns of documents. A stage begins by deleting what
+earlier ones staged, but for what its input still reads.
 """
 
 from __future__ import annotations
@@ -10,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import bpe, line_dedup, mixing, near_dup, toxicity
-from ledgerflow.llm.common import staged, table
+from ledgerflow.llm.common import release, staged, table
 from ledgerflow.llm.registry import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; a null text is scored as an empty one."""
+    release(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(model)(F.coalesce("text", F.lit(""))) < toxicity.REJECT)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs are cut; a document that was nothing else goes, and n_chars follows the text."""
+    release(docs)
     cut = line_dedup.dedup_lines(docs)
     kept = cut.where((F.col("n_lines_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -32,6 +35,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, once if its id repeats.
     Documents without an id are in no group."""
+    release(docs)
     found = staged(near_dup.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")))
     ids = found.groupBy("__id").agg(F.count("*").alias("n"))
     kept = docs.where("doc_id IS NOT NULL").join(found.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
@@ -42,12 +46,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
+    release(docs)
     mixed = mixing.mix(docs, keep=True).where(f"{mixing.MIX}.copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(f"{mixing.MIX}.copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of each document's token ids, and of the bytes they decode to."""
+    release(docs)
     return bpe.digest(docs, *vocabulary())
 
 
