@@ -479,7 +479,7 @@ def brute_talk(rows):
     return out
 
 
-@pytest.mark.parametrize("tree", [512, 1])
+@pytest.mark.parametrize("tree", [64, 2, 1])
 def test_chat_trees_read_back(spark, tree):
     frame = spark.createDataFrame([(*r, "x", "y") for r in TALK], "conv_id bigint, turn bigint, role string, text string, content string, turns string")
     got = chat.digest(frame, tree).collect()
@@ -487,18 +487,45 @@ def test_chat_trees_read_back(spark, tree):
     assert len(got) == len({r[0] for r in TALK})
     written = {r.conv_id: r.formatted_chars for r in got}
     assert written[1] == sum(len(chat.write_turn(role, text)[0]) for c, _, role, text in TALK if c == 1)
-    assert chat.digest(frame.limit(0)).count() == 0
-
-
-def test_chat_trees_share_turns_once(spark):
+    assert chat.digest(frame.limit(0), tree).count() == 0
+
+
+def hold_trees(rows, trees):
+    """Every turn is written once over all rows, with the position, and attends to the characters, that its path has."""
+    nodes = {()} | {tuple((x[2] or "", x[3] or "") for x in rows[: k + 1]) for rows in rows.values() for k in range(len(rows))}
+    by_name = {t.tree: t for t in trees}
+    assert len(by_name) == len(trees) and sum(len(t.nodes) for t in trees) == len(nodes) - 1
+    seen = set()
+    for t in trees:
+        head = "".join(by_name[a].text for a in t.above)
+        assert all(len(by_name[a].nodes) == 1 for a in t.above)
+        for node in t.nodes:
+            path = head + "".join(t.text[a.start : a.end] for a in node.ancestors)
+            assert node.position == len(path) and all(a.end < b.start for a, b in zip(node.ancestors, node.ancestors[1:], strict=False))
+            seen.add(tuple(chat.read_turns(path + t.text[node.start : node.end])))
+    assert seen == nodes - {()}
+
+
+@pytest.mark.parametrize("tree", [64, 1])
+def test_chat_trees_share_turns_once(spark, tree):
     frame = spark.createDataFrame([r for r in TALK if r[0] in (1, 2, 3)], "conv_id bigint, turn bigint, role string, text string")
-    trees = chat.build_trees(chat.conversations(frame)).collect()
-    assert len(trees) == 1 and trees[0].text.count("be kind") == 1 and trees[0].text.count("hi") == 1
-    for node in trees[0].nodes:
-        path = [(a.start, a.end) for a in node.ancestors]
-        assert node.position == sum(b - a for a, b in path) and all(b <= node.start for _, b in path)
-        up = trees[0].nodes[node.parent] if node.parent >= 0 else None
-        assert path == ([*((a.start, a.end) for a in up.ancestors), (up.start, up.end)] if up else [])
+    trees = chat.build_trees(chat.conversations(frame), tree).collect()
+    assert len(trees) in ((1,) if tree == 64 else (3, 4))
+    hold_trees({i: [r for r in TALK if r[0] == i] for i in (1, 2, 3)}, trees)
+
+
+def test_chat_trees_of_a_hot_first_turn(spark):
+    r = random.Random(12)
+    rows = [(i, k, "user", x) for i in range(2000) for k, x in enumerate(["be kind", f"q{r.randint(0, 4)}", f"r{r.randint(0, 30)}", f"s{r.randint(0, 300)}"][: r.randint(1, 4)])]
+    rows += [(5000, k, "assistant", f"turn {k}") for k in range(1000)]
+    trees = chat.build_trees(chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    by_conv = defaultdict(list)
+    for row in rows:
+        by_conv[row[0]].append(row)
+    hold_trees(by_conv, trees)
+    assert max(len(t.leaves) for t in trees) <= 4 * chat.TREE and sum(t.text.count("be kind") for t in trees) == 1
+    long = next(t for t in trees if len(t.nodes) == 1000)
+    assert max(len(n.ancestors) for n in long.nodes) == 1
 
 
 # --- 10 ---------------------------------------------------------------------
