@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +85,17 @@ def staged(df: DataFrame, bucket_by: str | None = None, **options: str) -> DataF
     return back
 
 
+def appended(spark: SparkSession, schema: str, frames: Iterable[DataFrame]) -> DataFrame:
+    """All frames, written one after the other to one staged folder and read back."""
+    path = f"{shared_root(spark)}/staged_{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    _folders.append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def text_of(column: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -289,7 +289,7 @@ def test_pii_added_kinds_and_context(spark):
 
 
 def brute_top(rows, k=5, every=50):
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and abs(x) < 1e7 for x in v)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(v)) for i, v in good if i % every == 0}:
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
@@ -300,25 +300,29 @@ def brute_top(rows, k=5, every=50):
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
-    rows += [(i, rows[0][1]) for i in range(200, 240)] + [(300, None), (350, [1.0, None] * 4), (400, [float("nan")] * 8), (450, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (502, []), (7, rows[7][1]), (550, [1e6] * 8), (551, [-1e6, 1e6] * 4), (600, [1e30] * 8)]
-    frame = spark.createDataFrame([(i, v, 0, "b") for i, v in rows], "vec_id bigint, embedding array<float>, label int, b string")
-    for blocks in (dict(), dict(data_block=17, query_block=2)):
-        assert sorted(tuple(x) for x in topk.top_k(frame, **blocks).collect()) == brute_top(rows)
+    rows += [(i, rows[0][1]) for i in range(200, 240)] + [(300, None), (350, [1.0, None] * 4), (400, [float("nan")] * 8), (450, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (502, []), (700, []), (7, rows[7][1]), (550, [1e6] * 8), (551, [-1e6, 1e6] * 4)]
+    rows += [(650, [1.0] * 8), (651, [3e6] + [0.0] * 7), (652, [1e7, -1e7, 1.0, 2.0] * 2)]
+    frame = spark.createDataFrame([(i, v, 0, "b", 1) for i, v in rows], "vec_id bigint, embedding array<float>, label int, b string, q int")
+    for sizes in (dict(), dict(query_bytes=130, step=2)):
+        assert sorted(tuple(x) for x in topk.top_k(frame, **sizes).collect()) == brute_top(rows)
     few = frame.where("vec_id IN (0, 1, 2)")
     assert sorted(tuple(x) for x in topk.top_k(few).collect()) == brute_top(rows[:3])
     assert topk.top_k(frame.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="too large for a long"):
+        topk.top_k(huge).collect()
 
 
 def test_top_k_reads_few_exact_vectors():
     r = np.random.default_rng(6)
     vectors = np.floor(256 * r.normal(size=(2000, 16)))
-    file = topk.ApproximationFile(vectors)
+    vectors[7] *= 1e5
+    low, width, cells = (np.array(x) for x in zip(*map(topk.approximate, vectors), strict=True))
     query = np.floor(256 * r.normal(size=(1, 16)))
-    lower, upper = file.bounds(query)
+    lower, upper = (x[:, 0] for x in topk.bounds(cells, low, width, query))
     exact = vectors @ query[0]
-    assert (lower[0] <= exact).all() and (exact <= upper[0]).all()
-    least = np.sort(lower[0])[-5]
-    assert (upper[0] >= least).sum() < 200
+    assert (lower <= exact).all() and (exact <= upper).all()
+    assert (upper >= np.sort(lower)[-5]).sum() < 30
 
 
 # --- 6 ----------------------------------------------------------------------
