@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import arrow_rows, staged
+from ledgerflow.llm.common import arrow_rows, staged, text_of
 from ledgerflow.llm.graph import components
 
 WORDS = 5
@@ -101,15 +101,22 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n, key): the size of each text's set, and its class; null for an empty set."""
+    """(id, n, key, text_hash): the size of each text's set, and its class; null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py() or "", words) for x in batch.column(1)]
             key = [_key(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.int64())], names=["id", "n", "key"])
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "text_hash"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, n bigint, key bigint")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "id bigint, n bigint, key bigint, text_hash bigint")
+
+
+def text_hash(text_col: str = "text"):
+    """What tells a row's text from others with its id."""
+    return F.xxhash64(text_of(text_col))
 
 
 _PACKED = "g bigint, keys binary, sizes binary, counts binary, tokens binary, dfs binary"
@@ -322,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _components_of(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """classes() of ``df``, and (k, component) for each class."""
+    """classes() of ``df``, and (k, component, root) for each class."""
     with arrow_rows(df.sparkSession, ROWS):
         known = staged(classes(df, id_col, text_col, words))
         total = known.agg(F.sum("n")).first()[0] or 0
@@ -332,7 +339,15 @@ def _components_of(df: DataFrame, id_col: str, text_col: str, words: int) -> tup
         named = copies.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
         named = staged(named)
         reached = staged(named.groupBy("root").agg(F.min("least").alias("component")))
-        return known, staged(named.join(reached, "root").select(F.col("key").alias("k"), "component"))
+        return known, staged(named.join(reached, "root").select(F.col("key").alias("k"), "component", "root"))
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id_col, text_hash, group): a row a row of ``df``; texts of a group reach one another by links, whatever their
+    ids. The group of a text without words is null."""
+    known, component = _components_of(df, id_col, text_col, words)
+    out = known.join(component, F.col("key") == F.col("k"), "left")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("root").alias("group"))
 
 
 def linked_pairs(core: DataFrame) -> DataFrame:

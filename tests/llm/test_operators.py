@@ -430,6 +430,17 @@ def test_mixing_meets_its_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame.repartition(7)).collect()))
 
 
+def test_mixing_splits_repeated_ids(spark):
+    rows = [(1, vocabulary_text(i, 10), "a", 1, 2) for i in range(100)] + [(None, vocabulary_text(i, 10), "b", 1, 2) for i in range(100)] + [(3, "same words in all rows", "c", 1, 2)] * 100
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __h int, __size int").repartition(5)
+    target = brute_targets({"a": 1000, "b": 1000, "c": 500})
+    taken = Counter()
+    for r in mixing.mix(frame).collect():
+        taken[{1: "a", None: "b", 3: "c"}[r.doc_id]] += r.taken
+    assert all(target[s] - 10 < taken[s] <= target[s] + 1e-6 for s in target)
+    assert set(mixing.mix(frame, keep=True).columns) == {*frame.columns, mixing.MIX}
+
+
 def test_mixing_nests_and_keeps_columns(spark):
     _, _, frame = mix_input(spark)
     small = {r.doc_id: r.taken for r in mixing.mix(frame, share=0.5).collect()}

@@ -38,7 +38,15 @@ def test_one_of_each_group_stays(spark, data):
     kept = {r.doc_id for r in apply(spark, data, "near_duplicates", docs(spark, texts)).collect()}
     assert kept == {i for i, (_, c) in brute_components(texts).items() if c == i}
     frame = docs(spark, texts)
-    assert apply(spark, data, "near_duplicates", frame.unionByName(frame)).count() == len(kept)
+    assert apply(spark, data, "near_duplicates", frame.unionByName(frame)).count() == len(kept) + 2  # 5 and 6 are in no group
+
+
+def test_rows_of_one_id_are_told_apart(spark, data):
+    u, v, t = vocabulary_text(1, 50), vocabulary_text(2, 50), vocabulary_text(3, 80)
+    rows = [(5, u), (5, v), (3, t), (5, t + " more"), (None, u + " also"), (None, vocabulary_text(4, 30)), (None, vocabulary_text(4, 30))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = apply(spark, data, "near_duplicates", frame).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[2], rows[5]]))
 
 
 def test_lines_are_cut_and_empty_documents_go(spark, data):
