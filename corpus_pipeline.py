@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import bpe, line_dedup, mixing, near_dup, toxicity
-from ledgerflow.llm.common import release, staged, table
+from ledgerflow.llm.common import WORD, release, staged, table
 from ledgerflow.llm.registry import vocabulary
 
 
@@ -33,22 +33,27 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once if its id repeats.
-    Documents without an id are in no group."""
+    """Of each group of near duplicates one row stays: that of the least id, null last, then of the least text hash.
+    Texts without words are in no group and all stay."""
     release(docs)
-    found = staged(near_dup.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")))
-    ids = found.groupBy("__id").agg(F.count("*").alias("n"))
-    kept = docs.where("doc_id IS NOT NULL").join(found.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), F.col("text_hash").alias("hash"))
+    found = near_dup.groups(docs).where("group IS NOT NULL")
+    first = staged(found.groupBy("group").agg(F.min(rank).alias("first")))
+    kept = staged(found.join(first.withColumnRenamed("group", "g"), F.col("group") == F.col("g")).where(rank.eqNullSafe(F.col("first"))).groupBy("first").agg(F.count("*").alias("rows")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("first.id")) & (near_dup.text_hash() == F.col("first.hash"))
+    single = docs.join(kept.where("rows = 1"), same, "left_semi")
+    empty = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    # Rows alike in id and text: any of them.
+    alike = docs.join(kept.where("rows > 1"), same, "left_semi").withColumn("__hash", near_dup.text_hash()).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return single.unionByName(alike).unionByName(empty)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
     release(docs)
-    mixed = mixing.mix(docs, keep=True).where(f"{mixing.MIX}.copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(f"{mixing.MIX}.copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    mixed = mixing.mix(docs, keep=True)
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{mixing.MIX}.copies")))
+    return mixed.where(F.col(f"{mixing.MIX}.copies") > 0).select(*(F.col(f"`{c}`") for c in docs.columns), copies.alias(mixing.MIX)).drop(mixing.MIX)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
