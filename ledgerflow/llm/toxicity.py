@@ -5,16 +5,22 @@ words begin and end. N-grams of 3 to 8 code points are hashed to 2**20 features.
 is (1 + ln count) times its log-count ratio between the classes; the features that tell the
 classes apart best are kept and weighed by logistic regression.
 
-Training reads a bounded sample of labelled rows: at most ``TOXIC`` and ``CLEAN`` rows, in order of
-a hash of their ids. Scoring reads every whole text and needs the kept features only, which are a
-table of fixed size (``KEPT``), whatever the input.
+Training reads a bounded sample of labelled rows: one row an id, of at most ``TOXIC`` and ``CLEAN`` ids,
+in order of a hash of the ids. Toxic rows weigh ``WEIGHT`` times as much, as they are the rarer. Scoring
+reads every whole text and needs the kept features only, which are a table of fixed size (``KEPT``),
+whatever the input.
 
 Defined results: a null or empty text is scored as a text without features, from the bias alone;
-unlabelled ids and null labels don't train; without labels of both classes every score is 0.
+unlabelled ids, null ids and null labels don't train; of labels that contradict one another the toxic one
+counts; of rows that repeat an id the one whose text has the least hash trains, and all are scored; without
+labels of both classes every score is 0; an empty table gives no rows. A very long text is hashed in pieces:
+a task holds the text itself and some 100 MB. Only doc_id, text and toxic are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +35,9 @@ from ledgerflow.llm.common import staged
 
 BITS = 20
 SHORTEST, LONGEST = 3, 8
-KEPT = 1 << 14
+KEPT = 1 << 13
+#: How much more a toxic row weighs, and the penalty of the regression.
+WEIGHT, RIDGE = 3.0, 10.0
 #: The most labelled rows of either class that training reads.
 TOXIC, CLEAN = 2_000, 4_000
 REJECT = 0.7
@@ -38,16 +46,17 @@ REJECT = 0.7
 _R, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Code points hashed at once; a longer text is read in pieces that overlap by LONGEST - 1.
 _PIECE = 1 << 20
+_SPACE = re.compile(r"\s+")
 
 
 def hashes(text: str) -> Iterator[np.ndarray]:
     """The features of all n-grams of a text, in blocks."""
-    padded = " " + " ".join(text.lower().split()) + " "
+    padded = " " + _SPACE.sub(" ", text.lower()).strip() + " "
     if not padded.strip():
         return
-    codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    for at in range(0, len(codes), _PIECE):
-        piece = (codes[at : at + _PIECE + LONGEST - 1].astype(np.uint64) + np.uint64(1)) * _M
+    for at in range(0, len(padded), _PIECE):
+        codes = np.frombuffer(padded[at : at + _PIECE + LONGEST - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        piece = (codes.astype(np.uint64) + np.uint64(1)) * _M
         h = piece
         for n in range(2, min(LONGEST, len(piece)) + 1):
             h = h[:-1] * _R + piece[n - 1 :]
@@ -57,6 +66,16 @@ def hashes(text: str) -> Iterator[np.ndarray]:
                 yield (((own ^ (own >> np.uint64(29))) * _M) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def met_by(text: str) -> np.ndarray:
+    """The distinct features of a text."""
+    found: list[np.ndarray] = []
+    for block in hashes(text):
+        found.append(block)
+        if sum(map(len, found)) > 8 * _PIECE:
+            found = [np.unique(np.concatenate(found))]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
 @dataclass
 class Model:
     features: np.ndarray
@@ -88,13 +107,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
-    """(text, toxic) of the labelled rows to train on."""
+    """(text, toxic) of the labelled rows to train on, at most toxic + clean."""
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = usable.where("toxic = 1").orderBy(order).limit(toxic).unionByName(usable.where("toxic = 0").orderBy(order).limit(clean))
-    # At most toxic + clean rows of two numbers.
-    return staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    # At most toxic + clean rows of two numbers are broadcast; an id may have any number of rows.
+    text = F.coalesce("text", F.lit("")).alias("text")
+    met = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+    return staged(met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,21 +124,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts = np.zeros(2, dtype=np.int64)
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            blocks = list(hashes(text.as_py()))
-            if blocks:
-                found[label][np.unique(np.concatenate(blocks))] += 1
+            found[label][met_by(text.as_py())] += 1
             texts[label] += 1
     met = np.flatnonzero(found.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), *(pa.array(np.append(found[k][met], texts[k])) for k in (0, 1))], names=["feature", "clean", "toxic"])
 
 
-def _fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, kept: int, rounds: int = 300, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def _fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, kept: int, rounds: int = 300, ridge: float = RIDGE, weight: float = WEIGHT) -> tuple[np.ndarray, float]:
     """Logistic regression by AdaGrad over the whole sample."""
     weights, squares = np.zeros(kept), np.full(kept, 1e-8)
     bias, square = float(np.log(max(labels.sum(), 1) / max((1 - labels).sum(), 1))), 1e-8
+    cost = np.where(labels == 1, weight, 1.0)
     for _ in range(rounds):
         z = bias + np.bincount(rows, weights=values * weights[features], minlength=len(labels))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * cost
         slope = np.bincount(features, weights=values * error[rows], minlength=kept) + ridge * weights
         squares += slope * slope
         weights -= 0.05 * slope / np.sqrt(squares)
