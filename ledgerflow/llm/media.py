@@ -2,18 +2,22 @@
 
 Companded samples are expanded by a table of 256 entries. ADPCM blocks start from their own header,
 so numpy decodes all blocks of a batch of files side by side, one nibble step at a time. Decoded
-audio is resampled by whole or rational factors and stored as 16-bit PCM. digest() writes both files to
-the shared folder and takes its columns from what it reads back.
-
-A null or empty payload gives a file of one unit of silence padding (see ``pad``); a file that is
-not one of ours raises ValueError. There is no shuffle: a row depends on itself only.
+audio is resampled by whole or rational factors and stored as 16-bit PCM: as WAV files (``expand``), or
+without loss in less room (``pack_pcm``, which the query uses): every second sample or its change, and
+how far the samples between are from their neighbours' middle, which resampling mostly leaves at 0.
+digest() writes both files to the shared folder and takes its columns from what it reads back.
+
+Defined results: a null or empty payload gives a file of one unit of padding (see ``pad``); a file that is
+not one of ours raises ValueError; equal texts give equal files, and rows that repeat an id or text each
+give a row; an empty table gives none. A very long text is a file of its own batch: a task holds some
+twenty times its bytes. store() and digest() read the id and text columns only; expand() keeps the others
+and replaces those called as its own. There is no shuffle: a row depends on itself only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import staged
+from ledgerflow.llm.common import arrow_rows, staged
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 NAMES = {PCM: "pcm16", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima-adpcm"}
@@ -170,6 +174,36 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((samples[left].astype(np.int64) * (up - part) + samples[right].astype(np.int64) * part) // up).astype(np.int16)
 
 
+def pack_pcm(samples: np.ndarray, rate: int) -> bytes:
+    """16-bit samples without loss: those at even places, or their changes where these take fewer values, then what
+    the others differ from the middle of their neighbours. All sums are modulo 2**16."""
+    even, odd = samples[::2].astype("<i2"), samples[1::2].astype("<i2")
+    changes = np.diff(even, prepend=np.zeros(1, "<i2"))
+    changed = len(np.unique(changes)) < len(np.unique(even))
+    return struct.pack("<4sBIQ", b"RPCM", changed, rate, len(samples)) + (changes if changed else even).tobytes() + (odd - _middle(even)[: len(odd)]).tobytes()
+
+
+def unpack_pcm(packed: bytes) -> tuple[int, np.ndarray]:
+    """(rate, samples) that pack_pcm() was given."""
+    head = struct.calcsize("<4sBIQ")
+    if len(packed) < head or packed[:4] != b"RPCM":
+        raise ValueError("not packed PCM")
+    _, changed, rate, n = struct.unpack_from("<4sBIQ", packed)
+    values = np.frombuffer(packed, dtype="<i2", offset=head)
+    if len(values) != n:
+        raise ValueError("the samples are cut short")
+    even = values[: n - n // 2]
+    even = np.cumsum(even, dtype=np.int16) if changed else even
+    out = np.empty(n, dtype=np.int16)
+    out[::2] = even
+    out[1::2] = values[len(even) :] + _middle(even)[: n // 2]
+    return rate, out
+
+
+def _middle(even: np.ndarray) -> np.ndarray:
+    return ((even.astype(np.int32) + np.append(even[1:], even[-1:]).astype(np.int32)) >> 1).astype("<i2")
+
+
 def features(samples: np.ndarray, codec: int, rate: int) -> str:
     """Codec, rate, sample count, root mean square, peak and sign changes, in whole numbers."""
     wide = samples.astype(np.int32)
@@ -188,25 +222,53 @@ def _codec_for(payload: bytes, codecs: tuple[int, ...]) -> int:
     return codecs[zlib.crc32(payload) % len(codecs)]
 
 
-def store(df: DataFrame, id_col: str = "doc_id", bytes_col: str = "text", codecs: tuple[int, ...] = (MULAW, ALAW, ADPCM), rate: int = 8000) -> DataFrame:
-    """(id_col, n_bytes, media): each row's bytes, padded, as the samples of a WAV file."""
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Neighbours of about TOGETHER bytes in all."""
+    begin = size = 0
+    for end, n in enumerate(sizes, 1):
+        size += n
+        if size >= TOGETHER or end == len(sizes):
+            yield begin, end
+            begin, size = end, 0
+
+
+def store(df: DataFrame, id_col: str = "doc_id", bytes_col: str = "text", codecs: tuple[int, ...] = (MULAW, ALAW, ADPCM), rate: int = 8000, to_rate: int | None = None) -> DataFrame:
+    """(id_col, n_bytes, media): each row's bytes, padded, as the samples of a WAV file; with ``to_rate`` also its
+    audio, expanded from that file and resampled, as ``packed`` PCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, media = [], []
-            for value in batch.column(1):
-                data = value.as_py() or b""
-                payload = pad(data)
-                sizes.append(len(data))
-                media.append(write_wav(payload, _codec_for(payload, codecs), rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
+        for whole in batches:
+            for begin, end in _groups([len(x.as_buffer() or b"") for x in whole.column(1)]):
+                batch = whole.slice(begin, end - begin)
+                sizes, media = [], []
+                for value in batch.column(1):
+                    data = value.as_py() or b""
+                    payload = pad(data)
+                    sizes.append(len(data))
+                    media.append(write_wav(payload, _codec_for(payload, codecs), rate))
+                columns = {id_col: batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(media, pa.binary())}
+                if to_rate:
+                    files = [read_wav(x) for x in media]
+                    audio = decode([(codec, data) for codec, _, data in files])
+                    columns["packed"] = pa.array([pack_pcm(resample(x, rate, to_rate), to_rate) for x in audio], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return df.select(F.col(id_col).cast("bigint"), F.col(bytes_col).cast("binary")).mapInArrow(run, f"{id_col} bigint, n_bytes bigint, media binary" + ", packed binary" * bool(to_rate))
+
+
+def payload_facts(media: bytes, codec: int, data: bytes) -> tuple[int, str, int, int, str]:
+    """What FACTS lists of a file."""
+    payload = payload_of(codec, data)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()
+
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(bytes_col).cast("binary")).mapInArrow(run, f"{id_col} bigint, n_bytes bigint, media binary")
+FACTS = ["payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "feature string"]
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
 def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_pcm: bool = True) -> DataFrame:
     """``df`` with payload facts, a feature string and (keep_pcm) a PCM file of the resampled audio."""
-    fields = ["payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "feature string"] + ["pcm binary"] * keep_pcm
+    fields = FACTS + ["pcm binary"] * keep_pcm
     rest = [c for c in df.columns if c != media_col and c not in {f.split()[0] for f in fields}]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields] + fields)
 
@@ -214,55 +276,53 @@ def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_p
         files = [read_wav(x) for x in media]
         out = []
         for whole, (codec, rate, data), samples in zip(media, files, decode([(c, d) for c, _, d in files]), strict=True):
-            payload = payload_of(codec, data)
             audio = resample(samples, rate, to_rate)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), features(audio, codec, to_rate))
+            row = (*payload_facts(whole, codec, data), features(audio, codec, to_rate))
             out.append((*row, write_wav(audio.astype("<i2").tobytes(), PCM, to_rate)) if keep_pcm else row)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            media, begin, size = batch.column(batch.num_columns - 1), 0, 0
-            for end in range(1, batch.num_rows + 1):
-                size += len(media[end - 1].as_buffer())
-                if size >= TOGETHER or end == batch.num_rows:
-                    made = list(zip(*group([x.as_py() for x in media[begin:end]]), strict=True))
-                    kept = [batch.column(i)[begin:end] for i in range(len(rest))]
-                    yield pa.RecordBatch.from_arrays(kept + [pa.array(x, kind) for x, kind in zip(made, kinds, strict=False)], names=rest + [f.split()[0] for f in fields])
-                    begin, size = end, 0
+            media = batch.column(batch.num_columns - 1)
+            for begin, end in _groups([len(x.as_buffer()) for x in media]):
+                made = list(zip(*group([x.as_py() for x in media[begin:end]]), strict=True))
+                kept = [batch.column(i)[begin:end] for i in range(len(rest))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(x, kind) for x, kind in zip(made, [*_KINDS, pa.binary()], strict=False)], names=rest + [f.split()[0] for f in fields])
 
     return df.select(*rest, media_col).mapInArrow(run, schema)
 
 
-#: How the stored files are written. Snappy, the default, takes about twice the room.
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+#: How the stored files are written. Snappy, the default, takes about twice the room; larger pages hold more texts to
+#: refer to, smaller row groups bound what a writer holds.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": "4194304", "parquet.block.size": "33554432", "parquet.enable.dictionary": "false"}
+#: Rows of an Arrow batch.
+ROWS = 500
 
 
-def stored_pcm(df: DataFrame) -> DataFrame:
-    """expand() of the telephony files, as written to the shared folder and read back: with the PCM files."""
-    return staged(expand(staged(store(df), **STORED)), **STORED)
+def stored(df: DataFrame, to_rate: int = 16000) -> DataFrame:
+    """The telephony files and their resampled audio, as written to the shared folder and read back."""
+    with arrow_rows(df.sparkSession, ROWS):
+        return staged(store(df, to_rate=to_rate), **STORED)
 
 
-def measured(df: DataFrame, pcm_col: str = "pcm") -> DataFrame:
-    """``df`` with its feature string taken from the PCM file, which goes; the codec is the telephony file's."""
-    rest = [c for c in df.columns if c not in (pcm_col, "feature")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest, "feature").schema.fields)
-    codes = {name: codec for codec, name in NAMES.items()}
+def measured(files: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, FACTS) from stored files: the payload from the telephony file, the features from its PCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for said, file in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                codec, rate, data = read_wav(file.as_py())
-                if codec != PCM:
-                    raise ValueError("not a PCM file")
-                found.append(features(np.frombuffer(data, dtype="<i2"), codes[re.match("codec=([^;]*)", said.as_py())[1]], rate))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(found, pa.string())], names=[*rest, "feature"])
+            rows = []
+            for media, packed in zip(batch.column("media"), batch.column("packed"), strict=True):
+                whole = media.as_py()
+                codec, _, data = read_wav(whole)
+                rate, samples = unpack_pcm(packed.as_py())
+                rows.append((*payload_facts(whole, codec, data), features(samples, codec, rate)))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(FACTS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True))], names=["doc_id", "n_bytes", *(f.split()[0] for f in FACTS)])
 
-    return df.select(*rest, "feature", pcm_col).mapInArrow(run, schema)
+    with arrow_rows(files.sparkSession, ROWS):
+        return staged(files.mapInArrow(run, ", ".join(["doc_id bigint", "n_bytes bigint", *FACTS])))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """Each text's bytes through a stored file and back, with features of the stored PCM."""
-    return measured(stored_pcm(df))
+    return measured(stored(df))
