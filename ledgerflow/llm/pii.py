@@ -10,7 +10,10 @@ Java's matcher gives texts of matches, not places: the pieces that split() leave
 matches give those. Every pattern starts only where a run of its characters starts or the last
 match ended, and repeats groups possessively, so that long runs take linear time and no stack.
 
-Defined results: a null text is read as empty and has no spans; offsets count code points.
+Defined results: a null text is read as empty and has no spans; offsets count code points; rows that
+repeat an id or text each give a row; an empty table gives none. Of a very long text, places are summed in
+blocks of ``BLOCK`` matches, so that many matches don't copy one another's list again and again. find()
+keeps all columns, whatever their names, but replaces one called pii; digest() reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import text_of
-
 KEEP = 0.5
 #: Code points before and behind a span in which context words count.
 NEAR = 48
+#: Matches whose places are summed together.
+BLOCK = 500
 BASE = ("email", "ip", "card", "phone")
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -97,11 +100,17 @@ def _spans(kind: str, text: str) -> str:
     """SQL for the array of a kind's spans in ``text``: places first, then the check, then the score."""
     likely, pattern, check, score, words = KINDS[kind]
     found = f"arrays_zip(split({text}, {_literal(pattern)}, -1), regexp_extract_all({text}, {_literal(pattern)}, 0))"
-    placed = (
-        f"aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<struct<start: int, end: int, value: string>>)), (a, x) -> "
+    kind_of = "array<struct<start: int, end: int, value: string>>"
+    inside = (
+        f"transform(sequence(0, (size(f) - 1) div {BLOCK}), b -> aggregate(slice(f, b * {BLOCK} + 1, {BLOCK}), named_struct('at', 0, 'out', cast(array() as {kind_of})), (a, x) -> "
         "CASE WHEN x.`1` IS NULL THEN a ELSE named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out', concat(a.out, array("
-        "named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`), 'value', x.`1`)))) END, a -> a.out)"
+        "named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`), 'value', x.`1`)))) END))"
+    )
+    joined = (
+        f"aggregate({inside}, named_struct('at', 0, 'out', cast(array() as array<{kind_of}>)), (a, b) -> named_struct('at', a.at + b.at, 'out', concat(a.out, array("
+        "transform(b.out, s -> named_struct('start', a.at + s.start, 'end', a.at + s.end, 'value', s.value))))), a -> flatten(a.out))"
     )
+    placed = f"element_at(transform(array({found}), f -> {joined}), 1)"
     near = f"concat(substring({text}, greatest(x.start - {NEAR}, 0) + 1, least(x.start, {NEAR})), ' ', substring({text}, x.end + 1, {NEAR}))"
     scored = f"cast({score} + CASE WHEN rlike(lower({near}), '(?<![a-z])(?:{words})') THEN {RAISE} ELSE 0 END as double)"
     rank = list(KINDS).index(kind)
@@ -113,8 +122,8 @@ def _spans(kind: str, text: str) -> str:
 
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``pii``: an array of (start, rank, end, kind, score), in order of start, then kind."""
-    every = ", ".join(_spans(kind, "`__text`") for kind in KINDS)
-    return df.withColumn("__text", text_of(text_col)).withColumn("pii", F.expr(f"sort_array(concat({every}))")).drop("__text")
+    every = ", ".join(_spans(kind, f"coalesce(`{text_col}`, '')") for kind in KINDS)
+    return df.withColumn("pii", F.expr(f"sort_array(concat({every}))"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -321,7 +321,7 @@ def test_pii_equals_brute_force(spark):
     r = random.Random(4)
     pieces = ["a@b.co", "@", ".", "..", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (415) 555-2671", "+", " ", "-", "é", "😀", "7", "_x%y@z-w.org", "0000000000000", "12", "\n", "(", "DE89370400440532013000"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(300)]
-    texts += [None, "", "a" * 20_000 + "@", "1" * 20_000, "a@b" + ".c" * 20_000, "+1" + " 2" * 9_999, "1.1.1.1." * 3_000, *AWKWARD]
+    texts += [None, "", "a" * 20_000 + "@", "1" * 20_000, "a@b" + ".c" * 20_000, "+1" + " 2" * 9_999, "1.1.1.1." * 3_000, "x a@b.co, " * 1_300, "1.2.3.4 " * 1_000, *AWKWARD]
     got = pii.digest(docs(spark, texts)).collect()
     assert len(got) == len(texts)
     for row in got:
@@ -335,6 +335,8 @@ def test_pii_added_kinds_and_context(spark):
     assert kinds[0][-1] == "iban" or "iban" in kinds[0]
     assert "iban" not in kinds[1] and kinds[2] == ["ssn"] and kinds[3] == []
     assert got[4].pii[0].score > got[5].pii[0].score
+    clash = docs(spark, texts).withColumn("__text", F.lit(1)).withColumn("pii", F.lit(2))
+    assert pii.find(clash).columns == clash.columns and pii.find(clash).where("size(pii) > 0").count() == 4
     plan = pii.digest(docs(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
