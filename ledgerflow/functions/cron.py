@@ -1,7 +1,10 @@
-"""Next times of cron schedules: five fields, or @every with a duration, or a named descriptor.
+"""Next times of cron schedules: five fields, or @every with a duration, or a named descriptor, with a zone before them or not.
 
 A day matches if the day of month or the day of week does when both are restricted, otherwise if
-both do. @every counts from the given time, in whole seconds.
+both do. ``*`` and ``?`` don't restrict, also in a list and with a step of 1; with a larger step they do.
+Weekdays are 0 to 6. ``CRON_TZ=`` or ``TZ=`` and a zone's name give the fields' zone: times go in and come out in
+UTC. A time that its zone's clock skips is passed over, one that it shows twice counts once. @every counts
+from the given time, in whole seconds.
 """
 
 from __future__ import annotations
@@ -9,7 +12,8 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,10 +51,21 @@ def _field(text: str, low: int, high: int, names: list[str] = ()) -> frozenset[i
     return frozenset(out)
 
 
+def _restricts(text: str) -> bool:
+    return not any(span in ("*", "?") and step in ("", "1") for span, _, step in (part.partition("/") for part in text.split(",")))
+
+
 @functools.lru_cache(maxsize=4096)
 def parse(schedule: str):
-    """Seconds for @every, else (minutes, hours, days, months, weekdays, either day rule). ValueError if it is neither."""
+    """Seconds for @every, else (minutes, hours, days, months, weekdays, either day rule, zone). ValueError if it is neither."""
     text = schedule.strip()
+    zone = None
+    if (named := re.match(r"(?:CRON_)?TZ=(\S+)\s+", text)) is not None:
+        try:
+            zone = ZoneInfo(named[1])
+        except (KeyError, OSError) as e:
+            raise ValueError(schedule) from e
+        text = text[named.end() :]
     if text.startswith("@every "):
         parts = re.findall(r"([0-9.]+)(ms|h|m|s)", text[7:])
         if not parts or "".join(a + b for a, b in parts) != text[7:].strip():
@@ -59,9 +74,8 @@ def parse(schedule: str):
     fields = DESCRIPTORS.get(text, text).split()
     if len(fields) != 5:
         raise ValueError(schedule)
-    weekdays = frozenset(d % 7 for d in _field(fields[4], 0, 7 if "7" in fields[4] else 6, DAYS))
-    either = not (fields[2][0] in "*?" or fields[4][0] in "*?")
-    return _field(fields[0], 0, 59), _field(fields[1], 0, 23), _field(fields[2], 1, 31), _field(fields[3], 1, 12, MONTHS), weekdays, either
+    weekdays, either = _field(fields[4], 0, 6, DAYS), _restricts(fields[2]) and _restricts(fields[4])
+    return _field(fields[0], 0, 59), _field(fields[1], 0, 23), _field(fields[2], 1, 31), _field(fields[3], 1, 12, MONTHS), weekdays, either, zone
 
 
 def next_time(schedule: str, after: datetime) -> datetime | None:
@@ -69,7 +83,19 @@ def next_time(schedule: str, after: datetime) -> datetime | None:
     rule = parse(schedule)
     if isinstance(rule, int):
         return after.replace(microsecond=0) + timedelta(seconds=rule)
-    minutes, hours, days, months, weekdays, either = rule
+    *_, zone = rule
+    if zone is None:
+        return _next_local(rule, after)
+    local = after.replace(tzinfo=UTC).astimezone(zone).replace(tzinfo=None, fold=0)
+    while (local := _next_local(rule, local)) is not None:
+        found = local.replace(tzinfo=zone).astimezone(UTC)
+        if found.astimezone(zone).replace(tzinfo=None, fold=0) == local and found.replace(tzinfo=None) > after:
+            return found.replace(tzinfo=None)
+    return None
+
+
+def _next_local(rule: tuple, after: datetime) -> datetime | None:
+    minutes, hours, days, months, weekdays, either, _ = rule
     at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
     end = after.year + _YEARS
     while at.year <= end:

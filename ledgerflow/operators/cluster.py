@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.changelog import change, latest
+from ledgerflow.operators.changelog import change, delete, latest
 from ledgerflow.operators.jobs import null_ts
 from ledgerflow.schema import WORKER_STATES
 from ledgerflow.sources.entities import plus
@@ -28,6 +28,21 @@ def without_dead(workers: DataFrame, threshold: float, as_of: Column) -> DataFra
     return workers.where(~(F.col("last_seen") < plus(as_of, -threshold)))
 
 
+def heartbeat(workers: DataFrame, ids: Column, as_of: Column) -> DataFrame:
+    """Workers heard from now."""
+    return change(workers, ids, last_seen=as_of)
+
+
+def deregister(workers: DataFrame, ids: DataFrame) -> DataFrame:
+    """``workers`` without those of ``ids`` (id)."""
+    return delete(workers, ids)
+
+
+def listed(workers: DataFrame) -> DataFrame:
+    """All workers, in order of registration where that is known, then of id."""
+    return workers.orderBy(*(c for c in ("created_at", "id") if c in workers.columns))
+
+
 def leader(workers: DataFrame, as_of: Column) -> DataFrame:
     """The worker whose lease is running."""
     return workers.where(F.col("is_leader") & (F.col("leader_until") >= as_of))
@@ -81,4 +96,5 @@ def peer_health(peers: DataFrame, as_of: Column, timeout: float = 45.0) -> DataF
 
 
 def federation_stats(peers: DataFrame) -> DataFrame:
+    """Peers (connected, forwarded), how many are connected, and what was forwarded to all."""
     return peers.agg(F.count("*").alias("peers"), F.count_if("connected").alias("connected"), F.coalesce(F.sum("forwarded"), F.lit(0)).alias("forwarded"))

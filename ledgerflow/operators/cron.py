@@ -22,13 +22,26 @@ def register(crons: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
 
 
 def fire(crons: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(crons, jobs) after firing all that is due once: missed times collapse, as the next one counts from now."""
+    """(crons, jobs) after firing all that is due once: missed times collapse, as the next one counts from now.
+
+    A job goes to its entry's queue, ``default`` where the entry names none, with its payload and scopes; the entry
+    keeps the time in last_run_at. Entries without those columns are taken to have none."""
     ready = F.coalesce(F.col("enabled") & (F.col("next_run_at") <= as_of), F.lit(False))
     jobs = crons.where(ready).select(
-        F.concat(F.lit("job_"), F.substring_index("id", "_", -1)).alias("id"), F.col("job_name").alias("name"), F.lit("default").alias("queue"),
-        F.lit("pending").alias("state"), as_of.alias("run_at"), as_of.alias("created_at"),
+        F.concat(F.lit("job_"), F.substring_index("id", "_", -1)).alias("id"), F.col("job_name").alias("name"), _queue(crons).alias("queue"),
+        F.lit("pending").alias("state"), as_of.alias("run_at"), as_of.alias("created_at"), *(c for c in ("payload", "scope_app_id", "scope_org_id") if c in crons.columns),
     )
-    return change(crons, ready, next_run_at=next_run(F.col("schedule"), as_of)), jobs
+    return change(crons, ready, next_run_at=next_run(F.col("schedule"), as_of), last_run_at=as_of), jobs
+
+
+def _queue(crons: DataFrame) -> Column:
+    named = F.col("queue") if "queue" in crons.columns else F.lit(None).cast("string")
+    return F.coalesce(F.when(named != "", named), F.lit("default"))
+
+
+def mark_run(crons: DataFrame, ids: Column, as_of: Column) -> DataFrame:
+    """The time of the last run, set by itself."""
+    return change(crons, ids, last_run_at=as_of)
 
 
 def acquire_locks(crons: DataFrame, claims: DataFrame, as_of: Column, ttl: float = 30.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.changelog import change, page
+from ledgerflow.operators.changelog import change, delete, latest, page
 from ledgerflow.operators.jobs import search
 
 _ORDER = (F.asc, "failed_at"), (F.asc, "id")
@@ -20,6 +20,12 @@ def list_letters(dlq: DataFrame, queue: str | None = None, limit: int = 0, offse
     return page(dlq.where(F.col("queue") == queue) if queue else dlq, _order(), limit, offset)
 
 
+def push(dlq: DataFrame, new: DataFrame) -> DataFrame:
+    """``dlq`` with the letters of ``new``: one whose id is there replaces it."""
+    one = latest(new, ["id"], [F.desc("failed_at"), *(F.asc(c) for c in new.columns if c not in ("id", "failed_at"))])
+    return delete(dlq, one).unionByName(one, allowMissingColumns=True)
+
+
 def as_jobs(letters: DataFrame, as_of: Column) -> DataFrame:
     """New pending jobs from letters, with no retries counted, and payload and scopes where letters have them;
     the id is derived from the letter's and the time."""

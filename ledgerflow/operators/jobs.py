@@ -134,10 +134,14 @@ def active_by_queue(jobs: DataFrame) -> DataFrame:
 def concurrency(jobs: DataFrame, end: Column) -> DataFrame:
     """(queue, ts, active): how many jobs of a queue run after each start or end. Open jobs end at ``end``.
 
-    Starts and ends are first summed by queue and time, so that a window row stands for a moment."""
+    Starts and ends are first summed by queue and time, then by queue and day. Days are summed up a queue, moments
+    within a day: no task has a queue's whole history."""
     ran = jobs.where("started_at IS NOT NULL")
     starts = ran.select("queue", F.col("started_at").alias("ts"), F.lit(1).alias("d"))
     ends = ran.select("queue", F.coalesce("completed_at", end).alias("ts"), F.lit(-1).alias("d"))
-    moments = starts.unionByName(ends).groupBy("queue", "ts").agg(F.sum("d").alias("d"))
-    running = F.sum("d").over(Window.partitionBy("queue").orderBy("ts"))
-    return moments.select("queue", "ts", running.alias("active"))
+    moments = starts.unionByName(ends).groupBy("queue", "ts").agg(F.sum("d").alias("d")).withColumn("day", F.to_date("ts"))
+    days = moments.groupBy(F.col("queue").alias("__queue"), F.col("day").alias("__day")).agg(F.sum("d").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__queue").orderBy("__day")) - F.col("n")
+    same = F.col("queue").eqNullSafe(F.col("__queue")) & (F.col("day") == F.col("__day"))
+    running = F.sum("d").over(Window.partitionBy("queue", "day").orderBy("ts"))
+    return moments.join(days.select("__queue", "__day", before.alias("before")), same).select("queue", "ts", (F.col("before") + running).alias("active"))

@@ -53,14 +53,19 @@ def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return met.select("event_id", "subscriber", "type", "ts").distinct()
 
 
-def with_credits(delivered: DataFrame, credits: DataFrame, default: int = 1000) -> DataFrame:
-    """Each subscriber's first deliveries, as many as it has credits; the rest are dropped silently.
-
-    A subscriber's rank is needed up to its credits only: Spark keeps that many rows a task before it shuffles them."""
-    known = credits.select(F.col("subscriber").alias("__sub"), F.col("credits").alias("__credits"))
-    joined = delivered.join(known, F.col("subscriber") == F.col("__sub"), "left")
+def with_credits(delivered: DataFrame, credits: DataFrame, default: int = 1000, wanted: Column | None = None) -> DataFrame:
+    """Each subscriber's first deliveries, as many as it has credits; the rest are dropped silently. ``wanted`` is
+    the subscribers' filter: what it refuses costs no credit.
+
+    No subscriber has more than the largest number of credits, which is a constant of the plan: Spark keeps that
+    many rows of a subscriber a task before it shuffles them."""
+    passed = delivered if wanted is None else delivered.where(wanted)
+    most = max(default, credits.agg(F.max("credits")).first()[0] or 0)
     rank = F.row_number().over(Window.partitionBy("subscriber").orderBy("ts", "event_id"))
-    return joined.withColumn("__rank", rank).where(F.col("__rank") <= F.coalesce("__credits", F.lit(default))).select(*delivered.columns)
+    first = passed.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    known = credits.select(F.col("subscriber").alias("__sub"), F.col("credits").alias("__credits"))
+    joined = first.join(known, F.col("subscriber") == F.col("__sub"), "left")
+    return joined.where(F.col("__rank") <= F.coalesce("__credits", F.lit(default))).select(*delivered.columns)
 
 
 def subscriptions_now(changes: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.changelog import change, latest
 from ledgerflow.operators.jobs import null_ts
+from ledgerflow.session import cut
 from ledgerflow.sources.entities import plus
 
 
@@ -29,6 +30,14 @@ def inspect_step(checkpoints: DataFrame, run_id: str, step: str) -> DataFrame:
     return checkpoints.where((F.col("run_id") == run_id) & (F.col("step_name") == step))
 
 
+def step_or_error(checkpoints: DataFrame, run_id: str, step: str) -> Row:
+    """The step's checkpoint; LookupError if the run has none."""
+    found = inspect_step(checkpoints, run_id, step).first()
+    if found is None:
+        raise LookupError(f"run {run_id} has no checkpoint of step {step}")
+    return found
+
+
 def delete_after(checkpoints: DataFrame, step: str, ties: bool = False) -> DataFrame:
     """Without the checkpoints later than ``step`` of the same run; with ``ties``, also those of its time.
     Runs without the step keep all."""
@@ -134,9 +143,12 @@ def group_status(members: DataFrame, checkpoints: DataFrame) -> DataFrame:
 def compensations(steps: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(run_id, position, step_name) still to undo, last step first; ``steps`` has run_id, step_name and seq.
     A step is undone once its ``compensate:`` checkpoint is there, and one that never ran needs no undoing."""
-    named = checkpoints.select(F.col("run_id").alias("__run"), F.col("step_name").alias("__step"))
-    ran = steps.join(named, (F.col("run_id") == F.col("__run")) & (F.col("step_name") == F.col("__step")), "left_semi")
-    left = ran.join(named, (F.col("run_id") == F.col("__run")) & (F.concat(F.lit("compensate:"), "step_name") == F.col("__step")), "left_anti")
+    step, undo = F.col("step_name"), F.col("step_name").startswith("compensate:")
+    marks = F.array_compact(F.array(F.struct(step.alias("step"), F.lit(False).alias("undone")), F.when(undo, F.struct(F.substring(step, 12, 1 << 20).alias("step"), F.lit(True).alias("undone")))))
+    there = checkpoints.select("run_id", F.explode(marks).alias("m")).select("run_id", F.col("m.step").alias("step_name"), F.lit(None).cast("bigint").alias("seq"), "m.undone")
+    planned = steps.select("run_id", "step_name", F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("boolean").alias("undone"))
+    met = planned.unionByName(there).groupBy("run_id", "step_name").agg(F.max("seq").alias("seq"), F.bool_or(~F.col("undone")).alias("ran"), F.bool_or("undone").alias("undone"))
+    left = met.where("seq IS NOT NULL AND ran AND NOT undone")
     order = Window.partitionBy("run_id").orderBy(F.desc("seq"), F.asc("step_name"))
     return left.select("run_id", F.row_number().over(order).alias("position"), "step_name")
 
@@ -145,17 +157,33 @@ def children(runs: DataFrame, parent: str) -> DataFrame:
     return runs.where(F.col("parent_run_id") == parent).orderBy("created_at", "id")
 
 
-def run_tree(runs: DataFrame, roots: Column | None = None, most: int = 100) -> DataFrame:
-    """(root_id, id, depth) of every run below the roots: a recursive query over the parent column."""
-    spark = runs.sparkSession
-    name = "__runs_of_tree"
-    runs.select("id", "parent_run_id").createOrReplaceTempView(name)
-    start = runs.where(F.col("parent_run_id").isNull() if roots is None else roots).select("id")
-    start.createOrReplaceTempView(name + "_roots")
-    return spark.sql(
-        f"WITH RECURSIVE t(root_id, id, depth) MAX RECURSION LEVEL {most} AS (SELECT id, id, 0 FROM {name}_roots UNION ALL "
-        f"SELECT t.root_id, r.id, t.depth + 1 FROM {name} r JOIN t ON r.parent_run_id = t.id) SELECT root_id, id, depth FROM t"
-    )
+def run_tree(runs: DataFrame, roots: Column | None = None) -> DataFrame:
+    """(root_id, id, depth) of every run below the roots, which are the runs without a parent unless they are given.
+
+    Without given roots every run points to its parent, and pointers are doubled: each round joins a run with
+    what its ancestor points to, so rounds grow with the logarithm of the depth. Given roots may lie below one
+    another: from them the tree is followed level by level. Runs whose parents are missing or form a ring are
+    below no root."""
+    named = runs.select("id", F.col("parent_run_id").alias("parent"))
+    if roots is not None:
+        level = cut(runs.where(roots).select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth")))
+        out, most = level, runs.count()
+        while not level.isEmpty() and most >= 0:
+            below = level.select("root_id", F.col("id").alias("__id"), "depth").join(named, F.col("__id") == F.col("parent"))
+            level, most = cut(below.select("root_id", "id", (F.col("depth") + 1).alias("depth"))), most - 1
+            out = out.unionByName(level)
+        return out
+    top = F.col("parent").isNull()
+    state = cut(named.select("id", F.coalesce("parent", "id").alias("up"), F.when(top, 0).otherwise(1).alias("depth"), top.alias("done")))
+    reach, most = 1, state.count()
+    while reach <= 2 * most:
+        left = state.where("NOT done")
+        if left.isEmpty():
+            break
+        above = state.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        moved = left.join(above, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
+        state, reach = cut(state.where("done").unionByName(moved)), 2 * reach
+    return state.where("done").select(F.col("up").alias("root_id"), "id", "depth")
 
 
 def fan_out(results: DataFrame) -> DataFrame:
@@ -189,6 +217,13 @@ def first_event(waits: DataFrame, events: DataFrame) -> DataFrame:
     return joined.groupBy("wait_id", "name").agg(F.min(F.when(F.col("event_id").isNotNull(), F.struct("event_at", "event_id"))).alias("e")).select("wait_id", "name", F.col("e.event_id").alias("event_id"), F.col("e.event_at").alias("event_at"))
 
 
+def wait_checkpoints(found: DataFrame, as_of: Column, kind: str = "wait") -> DataFrame:
+    """The checkpoints that waits (wait_id: the run's id) leave: the event's id, empty after a timeout, so that a run
+    which is resumed doesn't wait again. The events found are to be acknowledged (cluster.acknowledge)."""
+    step = F.concat(F.lit(kind + ":"), F.col("name"))
+    return found.select(F.col("wait_id").alias("run_id"), step.alias("step_name"), F.coalesce("event_id", F.lit("")).alias("data"), as_of.alias("created_at"))
+
+
 def wait_all(found: DataFrame, groups: list[str]) -> DataFrame:
     """Whether each group of waits has all its events, and when the last came; a missing one is a timeout."""
     all_ = F.count("event_id") == F.count("*")
@@ -242,6 +277,7 @@ def finish(runs: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
 
 
 def start(requests: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
-    """New runs from (id, name), stamped with their workflow's newest version; unknown names are left out."""
+    """New runs from (id, name), stamped with their workflow's newest version; unknown names are left out. Requests
+    that have them give the runs their parent_run_id and input too."""
     newest = versions.select(F.col("name").alias("__name"), "version")
-    return requests.join(newest, F.col("name") == F.col("__name")).select("id", "name", "version", F.lit("running").alias("state"), as_of.alias("started_at"), as_of.alias("created_at"))
+    return requests.join(newest, F.col("name") == F.col("__name")).select("id", "name", "version", F.lit("running").alias("state"), as_of.alias("started_at"), as_of.alias("created_at"), *(c for c in ("parent_run_id", "input") if c in requests.columns))

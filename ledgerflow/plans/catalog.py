@@ -505,6 +505,17 @@ def run_start(spark, d):
     return workflow.start(requests, workflow.newest_versions(_registry(spark, d)), _now())
 
 
+@query("runs", f"SELECT r.id || '_child' AS id, r.name, v.version, 'running' AS state, {NOW} AS started_at, {NOW} AS created_at, r.id AS parent_run_id FROM runs r JOIN (SELECT name, max(version) AS version FROM runs GROUP BY name) v ON r.name = v.name WHERE r.state = 'failed'")
+def run_start_child(spark, d):
+    requests = e.runs(spark, d).where("state = 'failed'").select(F.concat("id", F.lit("_child")).alias("id"), "name", F.col("id").alias("parent_run_id"))
+    return workflow.start(requests, workflow.newest_versions(_registry(spark, d)), _now())
+
+
+@query("runs", ", t AS (SELECT id AS root_id, id, 0 AS depth FROM runs WHERE version = 2 UNION ALL SELECT r.id, c.id, 1 FROM runs r JOIN runs c ON c.parent_run_id = r.id WHERE r.version = 2) SELECT * FROM t")
+def run_tree_of(spark, d):
+    return workflow.run_tree(e.runs(spark, d), F.col("version") == 2)
+
+
 _PLANNED = ", planned AS (SELECT id AS run_id, 'step-' || s AS step_name, s AS seq FROM runs, (SELECT unnest([1, 2, 3]) AS s) WHERE state = 'running')"
 
 
@@ -539,14 +550,25 @@ def fanout_ordered(spark, d):
     return workflow.fan_out(rows)
 
 
-_WAITS = ", waits AS (SELECT id AS wait_id, k AS name, DATE '2024-01-01'::TIMESTAMP + to_seconds(CAST(substr(id, 7) AS BIGINT) * 120) AS since, 1800 AS timeout_s FROM runs, (SELECT unnest(['error', 'purchase']) AS k) WHERE CAST(substr(id, 7) AS BIGINT) % 50 = 0)"
-_FOUND = f"{_WAITS}, found AS (SELECT wait_id, w.name, min(struct_pack(t := created_at, i := id)) FILTER (id IS NOT NULL) AS e FROM waits w LEFT JOIN bus_events b ON b.name = w.name AND NOT acked AND created_at >= since AND created_at <= since + to_seconds(timeout_s) GROUP BY 1, 2)"
+_WAITS = ", waits AS (SELECT id AS wait_id, k AS name, DATE '2024-01-01'::TIMESTAMP + to_seconds(CAST(substr(id, 7) AS BIGINT) * 120) AS since, 1800 AS timeout_s FROM runs, (SELECT unnest(['error', 'purchase']) AS k))"
+
+
+def _found_sql(which: str = "NOT acked") -> str:
+    """An as-of join: the first event of the name from the wait's start on, if it is in time."""
+    return (
+        f"{_WAITS}, opened AS (SELECT name AS n, created_at AS t, min(id) AS i FROM bus_events WHERE {which} GROUP BY 1, 2), found AS (SELECT wait_id, w.name, "
+        "CASE WHEN t <= since + to_seconds(timeout_s) THEN struct_pack(t := t, i := i) END AS e FROM waits w ASOF LEFT JOIN opened o ON w.name = o.n AND w.since <= o.t)"
+    )
+
+
+_FOUND, _LARGE = _found_sql(), _found_sql("NOT acked AND CAST(json_extract(payload, '$.k') AS BIGINT) > 50")
 
 
-def _found(spark, d, every=False):
-    waits = e.runs(spark, d).select(F.col("id").alias("wait_id"), F.substring("id", 7, 10).cast("bigint").alias("k")).where("TRUE" if every else "k % 50 = 0")
+def _found(spark, d, events=None):
+    """Two waits of every run."""
+    waits = e.runs(spark, d).select(F.col("id").alias("wait_id"), F.substring("id", 7, 10).cast("bigint").alias("k"))
     waits = waits.select("wait_id", F.explode(F.array(F.lit("error"), F.lit("purchase"))).alias("name"), e.plus(e.at("2024-01-01 00:00:00"), F.col("k") * 120).alias("since"), F.lit(1800).alias("timeout_s"))
-    return workflow.first_event(waits, e.bus_events(spark, d))
+    return workflow.first_event(waits, e.bus_events(spark, d) if events is None else events)
 
 
 @query("runs bus_events", f"{_FOUND} SELECT wait_id, name, e.i AS event_id, e.t AS event_at FROM found")
@@ -564,27 +586,25 @@ def wait_any(spark, d):
     return workflow.wait_any(_found(spark, d), ["wait_id"])
 
 
-# The same over the waits of every run. The SQL is an as-of join, as DuckDB's range join is too slow for so many.
-_EVERY = _WAITS.replace(" WHERE CAST(substr(id, 7) AS BIGINT) % 50 = 0", "")
-_EVERY_FOUND = (
-    f"{_EVERY}, opened AS (SELECT name AS n, created_at AS t, min(id) AS i FROM bus_events WHERE NOT acked GROUP BY 1, 2), found AS (SELECT wait_id, w.name, "
-    "CASE WHEN t <= since + to_seconds(timeout_s) THEN struct_pack(t := t, i := i) END AS e FROM waits w ASOF LEFT JOIN opened o ON w.name = o.n AND w.since <= o.t)"
-)
+for _name in ("wait_event", "wait_all", "wait_any"):  # the names that had every run when these had not
+    QUERIES[f"{_name}_every_run"], ORACLE[f"{_name}_every_run"] = QUERIES[_name], ORACLE[_name]
 
 
-@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, name, e.i AS event_id, e.t AS event_at FROM found")
-def wait_event_every_run(spark, d):
-    return _found(spark, d, every=True)
+@query("runs bus_events", f"{_LARGE} SELECT wait_id, name, e.i AS event_id, e.t AS event_at FROM found")
+def wait_match_timed(spark, d):
+    events = e.bus_events(spark, d)
+    return _found(spark, d, events.where(F.get_json_object("payload", "$.k").cast("bigint") > 50))
 
 
-@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, count(*) AS wanted, count(e.i) AS arrived, count(e.i) = count(*) AS complete, CASE WHEN count(e.i) = count(*) THEN max(e.t) END AS complete_at FROM found GROUP BY wait_id")
-def wait_all_every_run(spark, d):
-    return workflow.wait_all(_found(spark, d, every=True), ["wait_id"])
+@query("runs bus_events", f"{_FOUND} SELECT wait_id AS run_id, 'wait:' || name AS step_name, coalesce(e.i, '') AS data, {NOW} AS created_at FROM found")
+def wait_checkpoints(spark, d):
+    return workflow.wait_checkpoints(_found(spark, d), _now())
 
 
-@query("runs bus_events", f"{_EVERY_FOUND} SELECT wait_id, x.i AS event_id, x.n AS name FROM (SELECT wait_id, min(struct_pack(t := e.t, i := e.i, n := name)) FILTER (e.i IS NOT NULL) AS x FROM found GROUP BY wait_id)")
-def wait_any_every_run(spark, d):
-    return workflow.wait_any(_found(spark, d, every=True), ["wait_id"])
+@query("runs bus_events", f"{_FOUND} SELECT id, name, acked OR id IN (SELECT e.i FROM found WHERE e.i IS NOT NULL) AS acked FROM bus_events")
+def wait_acknowledged(spark, d):
+    found = _found(spark, d).where("event_id IS NOT NULL")
+    return cluster.acknowledge(e.bus_events(spark, d).select("id", "name", "acked"), found.select(F.col("event_id").alias("id")))
 
 
 @query("bus_events", "SELECT name, min(struct_pack(t := created_at, i := id)).i AS event_id FROM bus_events WHERE NOT acked AND CAST(json_extract(payload, '$.k') AS BIGINT) > 50 GROUP BY name")
@@ -619,14 +639,40 @@ _NEXT = f"""CASE schedule WHEN '*/5 * * * *' THEN {NOW} + to_seconds(300) WHEN '
  WHEN '@every 30s' THEN {NOW} + to_seconds(30) ELSE {NOW} + to_seconds(60) END"""
 
 
-@query("crons", f"SELECT id, name, job_name, schedule, enabled, CASE WHEN enabled AND next_run_at <= {NOW} THEN {_NEXT} ELSE next_run_at END AS next_run_at FROM crons")
+_OWNED = ", owned AS (SELECT *, CASE CAST(substr(id, 6) AS BIGINT) % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'bulk' WHEN 2 THEN '' END AS queue, '{\"id\":\"' || id || '\"}' AS payload, CAST(NULL AS TIMESTAMP) AS last_run_at FROM crons)"
+
+
+def _owned(spark, d):
+    """Schedules with a queue of their own, an empty one or none, and a payload."""
+    k = F.substring("id", 6, 10).cast("bigint") % 4
+    queue = F.when(k == 0, "email").when(k == 1, "bulk").when(k == 2, "")
+    return e.crons(spark, d).select("*", queue.alias("queue"), F.to_json(F.struct("id")).alias("payload"), F.lit(None).cast("timestamp_ntz").alias("last_run_at"))
+
+
+@query("crons", f"{_OWNED} SELECT id, name, job_name, schedule, enabled, queue, payload, CASE WHEN enabled AND next_run_at <= {NOW} THEN {_NEXT} ELSE next_run_at END AS next_run_at, CASE WHEN enabled AND next_run_at <= {NOW} THEN {NOW} END AS last_run_at FROM owned")
 def cron_fire_state(spark, d):
-    return cron.fire(e.crons(spark, d), _now())[0]
+    return cron.fire(_owned(spark, d), _now())[0]
 
 
-@query("crons", f"SELECT 'job_' || substr(id, 6) AS id, job_name AS name, 'default' AS queue, 'pending' AS state, {NOW} AS run_at, {NOW} AS created_at FROM crons WHERE enabled AND next_run_at <= {NOW}")
+@query("crons", f"{_OWNED} SELECT 'job_' || substr(id, 6) AS id, job_name AS name, CASE WHEN queue <> '' THEN queue ELSE 'default' END AS queue, 'pending' AS state, {NOW} AS run_at, {NOW} AS created_at, payload FROM owned WHERE enabled AND next_run_at <= {NOW}")
 def cron_fire_jobs(spark, d):
-    return cron.fire(e.crons(spark, d), _now())[1]
+    return cron.fire(_owned(spark, d), _now())[1]
+
+
+@query("crons", f"{_OWNED} SELECT id, CASE WHEN schedule LIKE '@every%' THEN {NOW} END AS last_run_at FROM owned")
+def cron_mark_run(spark, d):
+    return cron.mark_run(_owned(spark, d).select("id", "schedule", "last_run_at"), F.col("schedule").startswith("@every"), _now()).drop("schedule")
+
+
+@query("crons", "SELECT * FROM crons WHERE id = 'cron_0000000007'")
+def cron_get(spark, d):
+    return jobs.get(e.crons(spark, d), "cron_0000000007")
+
+
+@query("crons", "SELECT * FROM crons WHERE enabled")
+def cron_delete(spark, d):
+    all_ = e.crons(spark, d)
+    return changelog.delete(all_, all_.where("NOT enabled").select("id"))
 
 
 @query("crons", f"SELECT id, name, job_name, schedule, enabled, next_run_at FROM crons WHERE CAST(substr(id, 6) AS BIGINT) % 2 = 0 UNION ALL SELECT id, name, job_name, schedule, TRUE, {_NEXT} FROM crons WHERE CAST(substr(id, 6) AS BIGINT) % 2 = 1 AND CAST(substr(id, 6) AS BIGINT) % 5 = 0")
@@ -689,11 +735,14 @@ def dlq_count(spark, d):
     return jobs.count(e.dlq(spark, d))
 
 
-@query("dlq", "SELECT id, job_id, job_name FROM dlq")
+_PUSHED = "SELECT id, job_id, job_name || '!' AS job_name, queue, failed_at FROM dlq WHERE CAST(substr(id, 5) AS BIGINT) % 3 = 0"
+
+
+@query("dlq", f", pushed AS ({_PUSHED}) SELECT * FROM pushed UNION ALL SELECT id, job_id, job_name, queue, failed_at FROM dlq WHERE queue <> 'bulk' AND id NOT IN (SELECT id FROM pushed)")
 def dlq_push(spark, d):
-    all_ = e.dlq(spark, d).select("id", "job_id", "job_name")
-    odd = F.substring("id", 5, 10).cast("bigint") % 10 == 5
-    return all_.where(~odd).unionByName(all_.where(odd))
+    all_ = e.dlq(spark, d).select("id", "job_id", "job_name", "queue", "failed_at")
+    new = all_.where(F.substring("id", 5, 10).cast("bigint") % 3 == 0).withColumn("job_name", F.concat("job_name", F.lit("!")))
+    return dlq.push(all_.where("queue <> 'bulk'"), new.unionByName(new))
 
 
 _REPLAYED = f"SELECT 'job_' || md5(id || '|2000-01-01 00:00:00') AS id, job_name AS name, queue, 'pending' AS state, 0 AS retry_count, max_retries, scope_org_id, {NOW} AS run_at, {NOW} AS created_at"
@@ -771,6 +820,22 @@ def worker_upsert(spark, d):
     return cluster.upsert(all_, new)
 
 
+@query("workers", f"SELECT id, state, CASE WHEN state = 'draining' THEN {NOW} ELSE last_seen END AS last_seen FROM workers")
+def worker_heartbeat(spark, d):
+    return cluster.heartbeat(e.workers(spark, d).select("id", "state", "last_seen"), F.col("state") == "draining", _now())
+
+
+@query("workers", "SELECT * FROM workers WHERE state <> 'dead'")
+def worker_deregister(spark, d):
+    all_ = e.workers(spark, d)
+    return cluster.deregister(all_, all_.where("state = 'dead'").select("id"))
+
+
+@query("workers", "SELECT * FROM workers")
+def worker_list(spark, d):
+    return cluster.listed(e.workers(spark, d))
+
+
 @query("workers", "SELECT " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("active", "draining", "dead")) + ", count(*) FILTER (is_leader) AS leaders FROM workers")
 def worker_states(spark, d):
     return cluster.state_counts(e.workers(spark, d))
@@ -801,6 +866,12 @@ def peer_health(spark, d):
     return cluster.peer_health(e.workers(spark, d).select("id", "last_seen"), _now()).select("id", "connected")
 
 
+@query("workers", f"SELECT count(*) AS peers, count(*) FILTER (last_seen >= {NOW} - to_seconds(45)) AS connected, CAST(sum(concurrency) AS BIGINT) AS forwarded FROM workers")
+def federation_stats(spark, d):
+    peers = e.workers(spark, d).select("id", "last_seen", F.col("concurrency").alias("forwarded"))
+    return cluster.federation_stats(cluster.peer_health(peers, _now()))
+
+
 # --- queues -----------------------------------------------------------------
 
 
@@ -834,7 +905,14 @@ def queue_admission(spark, d):
     return admission.admit(_requests(spark, d), limits, {("critical", "org_1"): admission.Limit(0, 0, 1)})
 
 
-@query("crons", "")
+def _behind(seconds: int) -> str:
+    """The next time whose seconds since 1970 are a multiple of ``seconds``."""
+    return f"TIMESTAMP '1970-01-01 00:00:00' + to_seconds((CAST(floor(epoch(next_run_at)) AS BIGINT) // {seconds} + 1) * {seconds})"
+
+
+@query("crons", f"""SELECT id, schedule, CASE schedule WHEN '*/5 * * * *' THEN {_behind(300)} WHEN '0 * * * *' THEN {_behind(3600)} WHEN '0 2 * * *' THEN {_behind(86400).replace("next_run_at", "next_run_at - to_seconds(7200)")} + to_seconds(7200)
+ WHEN '30 9 * * 1-5' THEN CASE WHEN next_run_at < TIMESTAMP '1999-12-31 09:30:00' THEN TIMESTAMP '1999-12-31 09:30:00' ELSE TIMESTAMP '2000-01-03 09:30:00' END WHEN '0 */6 * * *' THEN {_behind(21600)}
+ WHEN '0 0 1 * *' THEN CASE WHEN next_run_at < {NOW} THEN {NOW} ELSE TIMESTAMP '2000-02-01 00:00:00' END WHEN '@every 30s' THEN next_run_at + to_seconds(30) ELSE {_behind(60)} END AS next_at FROM crons""")
 def cron_next(spark, d):
     """The next time of every schedule, general ones included."""
     from ledgerflow.functions.cron import next_run
@@ -884,6 +962,13 @@ def credit_limited(spark, d):
     return lifecycle.with_credits(lifecycle.deliveries(e.lifecycle(spark, d), _subscriptions(spark, d)), credits, 10)
 
 
+@query("lifecycle", f"{_DELIVERED} SELECT * FROM delivered WHERE type <> 'job.started' QUALIFY row_number() OVER (PARTITION BY subscriber ORDER BY ts, event_id) <= CASE WHEN subscriber = 'sub_1' THEN 25 ELSE 10 END")
+def credit_filtered(spark, d):
+    """What a subscriber's filter refuses costs no credit."""
+    credits = spark.createDataFrame([("sub_1", 25)], "subscriber string, credits int")
+    return lifecycle.with_credits(lifecycle.deliveries(e.lifecycle(spark, d), _subscriptions(spark, d)), credits, 10, F.col("type") != "job.started")
+
+
 @query("", "SELECT 'sub_' || s_suppkey AS subscriber, 'job:' || s_suppkey AS topic FROM supplier WHERE s_suppkey % 3 <> 0")
 def subscriptions_current(spark, d):
     subs = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.concat(F.lit("sub_"), F.col("s_suppkey").cast("string")).alias("subscriber"), F.concat(F.lit("job:"), F.col("s_suppkey").cast("string")).alias("topic"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "ledgerflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,15 @@ def session(app: str = "ledgerflow", master: str | None = None, **conf: str) ->
     for key, value in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, where its lineage ends. The folder is the one that the cluster names in
+    spark.checkpoint.dir; on a local master without one, a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them see")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -35,12 +35,13 @@ class Store:
     def table(self, entity: str) -> DataFrame:
         return changelog.latest(self.log(entity), ["id"], [F.desc("__seq")]).where("NOT __deleted").drop("__seq", "__deleted")
 
-    def append(self, entity: str, rows: DataFrame, deleted: bool = False) -> None:
-        """Append whole rows; columns that ``rows`` lacks are null."""
+    def append(self, entity: str, rows: DataFrame, deleted: bool = False) -> int:
+        """Append whole rows; columns that ``rows`` lacks are null. Gives their sequence number."""
         number = (self.log(entity).agg(F.max("__seq")).first()[0] or 0) + 1
         have = set(rows.columns)
         whole = rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTITIES[entity].fields))
         whole.withColumn("__seq", F.lit(number).cast("bigint")).withColumn("__deleted", F.lit(deleted)).write.mode("append").parquet(f"{self.root}/{entity}")
+        return number
 
     def delete(self, entity: str, ids: Sequence[str]) -> None:
         self.append(entity, self.table(entity).where(F.col("id").isin(*ids)), deleted=True)
@@ -74,9 +75,8 @@ class Engine:
         """Claim as many jobs as there are slots, run their handlers on the executors, and settle them. Gives their number.
 
         The claim and the results are written before they are used twice, so handlers run once."""
-        self.store.append("jobs", jobs.claim(self.store.table("jobs"), queues, self.config.concurrency, as_of))
-        log = self.store.log("jobs")
-        claimed = log.where(F.col("__seq") == F.lit(log.agg(F.max("__seq")).first()[0])).drop("__seq", "__deleted")
+        number = self.store.append("jobs", jobs.claim(self.store.table("jobs"), queues, self.config.concurrency, as_of))
+        claimed = self.store.log("jobs").where(F.col("__seq") == number).drop("__seq", "__deleted")
         results = handlers.execute(claimed, self.registry.newest(), handlers.recover)
         rows = results.select("id", "ok", "error").collect()  # at most ``concurrency`` rows
         if not rows:

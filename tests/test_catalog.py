@@ -28,7 +28,12 @@ def test_filters_reach_the_scan(spark, data):
 
 
 def test_hot_paths_stay_in_the_jvm(spark, data):
-    with_python = {"cron_fire_state", "cron_register", "cron_next_every"}
+    with_python = {"cron_fire_state", "cron_register", "cron_next_every", "cron_next"}
     for name in set(catalog.ORACLE) - with_python:
         plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InPandas" not in plan, name
+
+
+def test_credits_limit_rows_before_the_shuffle(spark, data):
+    plan = catalog.QUERIES["credit_limited"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

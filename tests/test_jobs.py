@@ -192,6 +192,44 @@ def test_waits_of_every_run(spark, data):
     assert got == {"wait_event_every_run": 2 * n, "wait_all_every_run": n, "wait_any_every_run": n}
 
 
+def test_run_tree_of_chains_rings_and_given_roots(spark):
+    rows = [(f"c{i:04}", f"c{i - 1:04}" if i else None) for i in range(700)] + [("r1", "r2"), ("r2", "r1"), ("lost", "nobody"), ("x", "x")]
+    runs = spark.createDataFrame(rows, "id string, parent_run_id string")
+    assert values(workflow.run_tree(runs)) == [("c0000", f"c{i:04}", i) for i in range(700)]
+    few = runs.where("id < 'c0006'")
+    want = [("c0002", f"c{i:04}", i - 2) for i in range(2, 6)] + [("c0004", f"c{i:04}", i - 4) for i in range(4, 6)]
+    assert values(workflow.run_tree(few, F.col("id").isin("c0002", "c0004"))) == want
+    assert workflow.run_tree(runs.limit(0)).count() == 0
+
+
+def test_cron_fields_as_the_parser_reads_them():
+    at_ = datetime(2024, 1, 1)
+    for schedule, want in (
+        ("0 0 */2 * 1", datetime(2024, 1, 3)), ("0 0 */1 * 1", datetime(2024, 1, 8)), ("0 0 1,* * 1", datetime(2024, 1, 8)), ("0 0 13 * 5", datetime(2024, 1, 5)), ("0 0 ? * mon", datetime(2024, 1, 8)),
+        ("CRON_TZ=America/New_York 0 9 * * *", datetime(2024, 1, 1, 14)), ("TZ=Asia/Tokyo 30 0 2 * *", datetime(2024, 1, 1, 15, 30)), ("CRON_TZ=UTC @daily", datetime(2024, 1, 2)),
+    ):
+        assert next_time(schedule, at_) == want, schedule
+    # A clock that goes forward passes 02:30 over; one that goes back shows 01:30 twice.
+    assert next_time("TZ=America/New_York 30 2 * * *", datetime(2024, 3, 10, 5)) == datetime(2024, 3, 11, 6, 30)
+    assert next_time("TZ=America/New_York 30 1 * * *", datetime(2024, 11, 3, 5, 40)) == datetime(2024, 11, 4, 6, 30)
+    for bad in ("0 0 * * 7", "CRON_TZ=Nowhere/Land 0 0 * * *", "TZ=UTC"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_a_missing_step_is_an_error(spark):
+    rows = spark.createDataFrame([("r", "one", "5")], "run_id string, step_name string, data string")
+    assert workflow.step_or_error(rows, "r", "one").data == "5"
+    with pytest.raises(LookupError):
+        workflow.step_or_error(rows, "r", "two")
+
+
+def test_compensations_of_names_that_look_like_marks(spark):
+    steps = spark.createDataFrame([("r", "one", 1), ("r", "compensate:one", 2), ("r", "two", 3), ("r", "never", 4)], "run_id string, step_name string, seq int")
+    marks = spark.createDataFrame([("r", "one"), ("r", "compensate:one"), ("r", "two"), ("s", "compensate:two")], "run_id string, step_name string")
+    assert values(workflow.compensations(steps, marks), "position", "step_name") == [(1, "two"), (2, "compensate:one")]
+
+
 def test_run_tree_is_deep(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("z", None)], "id string, parent_run_id string")
     assert values(workflow.run_tree(rows)) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("z", "z", 0)]

@@ -33,6 +33,15 @@ def test_jobs_through_the_engine(spark):
     assert e.get_job("job_1").count() == 0
 
 
+def test_a_job_that_is_not_due_does_not_run(spark):
+    e = engine(spark)
+    e.enqueue(spark.createDataFrame([("job_1", "ok", "{}")], "id string, name string, payload string").withColumn("run_at", at("2030-01-01 00:00:00")), at("2024-01-01 00:00:00"))
+    for _ in range(2):
+        assert e.cycle(at("2024-01-01 00:00:00")) == 0
+    assert values(e.store.table("jobs"), "state") == [("pending",)]
+    assert [e.cycle(at("2030-01-01 00:00:00")) for _ in range(2)] == [1, 0]
+
+
 def test_workflows_and_events_through_the_engine(spark):
     e = engine(spark)
     now = at("2024-01-01 12:00:00")
