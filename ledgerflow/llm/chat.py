@@ -216,7 +216,10 @@ def read_back(trees: DataFrame) -> DataFrame:
     up = trees.where("size(above) > 0").select(F.col("tree").alias("below"), F.posexplode("above").alias("i", "up"))
     one = F.struct("i", "text", F.expr("nodes[0].loss_start").alias("loss_start"), F.expr("nodes[0].loss_end").alias("loss_end"))
     read = up.join(trees.select("tree", "text", "nodes"), F.col("up") == F.col("tree")).groupBy("below").agg(F.sort_array(F.collect_list(one)).alias("read"))
-    return trees.join(read, F.col("tree") == F.col("below"), "left").select("text", "nodes", "leaves", "read").mapInArrow(_read, FACTS)
+    columns = ["text", "nodes", "leaves", "read"]
+    whole = trees.where("size(above) = 0").withColumn("read", F.lit(None).cast(read.schema["read"].dataType))
+    hung = trees.where("size(above) > 0").join(read, F.col("tree") == F.col("below"))
+    return whole.select(*columns).unionByName(hung.select(*columns)).mapInArrow(_read, FACTS)
 
 
 def digest(df: DataFrame, tree: int = TREE) -> DataFrame:
