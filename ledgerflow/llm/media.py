@@ -319,8 +319,7 @@ def measured(files: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(FACTS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True))], names=["doc_id", "n_bytes", *(f.split()[0] for f in FACTS)])
 
-    with arrow_rows(files.sparkSession, ROWS):
-        return staged(files.mapInArrow(run, ", ".join(["doc_id bigint", "n_bytes bigint", *FACTS])))
+    return files.mapInArrow(run, ", ".join(["doc_id bigint", "n_bytes bigint", *FACTS]))
 
 
 def digest(df: DataFrame) -> DataFrame:
