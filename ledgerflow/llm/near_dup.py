@@ -3,9 +3,11 @@
 A text's set is its distinct shingles of ``words`` words, as 64-bit hashes; texts with equal sets are
 one class. A pair of classes is linked when the sets' Jaccard similarity is at least SHARE.
 
-1. Shingles are shuffled, packed, by leading bits. Where a shingle is in one class only, it can't be
-   shared; a class keeps the others with their class counts. A class of which less than SHARE is
-   shared can't be linked and goes; most texts go here.
+1. Shingles are shuffled, packed, by leading bits, and counted. Where a shingle is in one class only, it can't
+   be shared; a class keeps the others with their class counts. A class of which less than SHARE is
+   shared can't be linked and goes; most texts go here. Shingles that a large share of the texts has are
+   found as the texts are read first; they go to their classes with that count, and are never gathered.
+   Likewise, of a class that makes up a large share of the rows, the row with the least id stands for all.
 2. A linked pair shares a token of both prefixes under any one order of all tokens: the tokens but
    for those behind which too few are left. Under the first order, rarest first, prefix tokens
    become posting lists. A posting tells the largest partner that the tokens from there on still
@@ -17,11 +19,14 @@ one class. A pair of classes is linked when the sets' Jaccard similarity is at l
    are compared one by one. A pair inside a component needs no comparison, so results are exact and
    the work follows the number of classes rather than of pairs.
 
-Lists of any length are joins, which Spark splits where they are skewed; no task gathers a list.
+Lists of any length are joins, which Spark splits where they are skewed. A task that counts gets about
+GROUP shingles, and for each shingle fewer classes than OFTEN of the texts.
 
 Defined results: a text without words has no shingles, its own id as component, and no links; one
 with fewer words has one shingle; a null text is empty; rows with the same id count as one node
-when ids are compared. Hashes of 64 bits stand for sets and shingles: at 10**9 distinct texts the
+when ids are compared; a row without an id has the least id of its component, or none; an empty table gives
+no rows. A task holds all shingles of one text: a text of 100 MB needs some 3 GB. Only the id and text
+columns are read, whatever others there are. Hashes of 64 bits stand for sets and shingles: at 10**9 distinct texts the
 chance that any two sets are confused is about 3 in 100.
 """
 
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +51,11 @@ SHARE = (75, 100)
 PACK, GROUP = 2_000_000, 2_000_000
 #: Rows of an Arrow batch: texts, or pairs with the tokens of both.
 ROWS = 1000
+#: A shingle is often met if that share of the texts that are read together has it, and at least MET of them; it is
+#: hot if those make half that share of all. So at most 2 / OFTEN times a text's shingles are hot, on average.
+OFTEN, MET = 1 / 32, 16
+#: A class is hot from that share of the rows on: at most 1 / COPIES are.
+COPIES = 1 / 1000
 #: Postings of a list that one salt takes.
 LIST = 1000
 #: Salts of the orders behind the first.
@@ -101,17 +112,35 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n, key, text_hash): the size of each text's set, and its class; null for an empty set."""
+    """(id, n, key, text_hash, often): the size of each text's set, and its class; null for an empty set. Of the rows
+    read together, the last has the shingles that they often have, with counts."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py() or "", words) for x in batch.column(1)]
             key = [_key(x) if len(x) else None for x in sets]
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.int64()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "text_hash"])
+            once = {k: x for k, x in zip(key, sets, strict=True) if k is not None}
+            often = [None] * len(sets)
+            if once:
+                tokens, n = np.unique(np.concatenate(list(once.values())), return_counts=True)
+                met = n >= max(MET, OFTEN * len(once))
+                often[-1] = [{"token": t, "n": c} for t, c in zip(tokens[met].view(np.int64).tolist(), n[met].tolist(), strict=True)]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(key, pa.int64()), batch.column(2), pa.array(often, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "text_hash", "often"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "id bigint, n bigint, key bigint, text_hash bigint")
+    return rows.mapInArrow(run, "id bigint, n bigint, key bigint, text_hash bigint, often array<struct<token: bigint, n: bigint>>")
+
+
+def hot(known: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """The hot shingles, sorted, with their counts, and the least id of each hot class. Both are bounded: see OFTEN, COPIES."""
+    texts = known.where("key IS NOT NULL").count()
+    met = known.where("often IS NOT NULL").select(F.explode("often").alias("o")).groupBy("o.token").agg(F.sum("o.n").alias("n"))
+    found = sorted((r.token % (1 << 64), r.n) for r in met.where(F.col("n") >= OFTEN / 2 * texts).collect())
+    copies = known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes_ = {r.key: r.id for r in copies.where((F.col("n") >= COPIES * texts) & (F.col("n") > 1) & F.col("id").isNotNull()).collect()}
+    return np.array([t for t, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64), classes_
 
 
 def text_hash(text_col: str = "text"):
@@ -146,10 +175,12 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind) for c, kind in kinds.items())
 
 
-def _scatter(bits: int, words: int):
-    """Texts to packed tokens by their leading bits; equal sets in a pack go once."""
+def _scatter(bits: int, groups: int, words: int, shared: Broadcast):
+    """Texts to packed tokens by their leading bits; equal sets in a pack go once. Hot tokens go to their classes'
+    groups, which have numbers below 0 here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts, copied = shared.value
         sets: dict[int, np.ndarray] = {}
         held = 0
 
@@ -157,15 +188,20 @@ def _scatter(bits: int, words: int):
             keys, every = np.array(list(sets), dtype="<i8"), list(sets.values())
             sizes = np.array([len(x) for x in every])
             tokens, doc = np.concatenate(every), np.repeat(np.arange(len(every)), sizes)
+            place = np.minimum(np.searchsorted(often, tokens), max(len(often) - 1, 0))
+            is_hot = often[place] == tokens if len(often) else np.zeros(len(tokens), dtype=bool)
             group = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-            order = np.argsort(group, kind="stable")
-            yield from _pack_rows(group[order], doc[order], tokens[order], None, keys, sizes).to_batches()
+            group[is_hot] = -1 - keys[doc[is_hot]] % groups
+            for which in (~is_hot, is_hot):
+                at = np.flatnonzero(which)
+                at = at[np.argsort(group[at], kind="stable")]
+                yield from _pack_rows(group[at], doc[at], tokens[at], counts[place[at]] if which is is_hot else None, keys, sizes).to_batches()
 
         for batch in batches:
-            for text in batch.column(0):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingles(text.as_py() or "", words)
                 key = _key(found)
-                if len(found) and key not in sets:
+                if len(found) and key not in sets and copied.get(key, name) == name:
                     sets[key] = found
                     held += len(found)
                     if held >= PACK:
@@ -181,12 +217,15 @@ def _count(groups: int):
     """A group's tokens that several classes have, with the number of classes, packed by class."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, counts, tokens, _ = _unpack(table)
+        keys, sizes, counts, tokens, dfs = _unpack(table)
         keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
         once = np.zeros(len(place), dtype=bool)
         once[first] = True
         kept = np.repeat(once, counts)
         tokens, doc, sizes = tokens[kept], np.repeat(place[once], counts[once]), sizes[first]
+        if (g := table.column("g")[0].as_py()) < 0:  # hot ones, counted before
+            order = np.argsort(doc, kind="stable")
+            return _pack_rows(np.full(len(doc), -1 - g), doc[order], tokens[order], dfs[kept][order], keys, sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, doc = tokens[order], doc[order]
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -253,11 +292,14 @@ def _classify(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=[x.split()[0] for x in CORE.split(", ")])
 
 
-def candidates_core(df: DataFrame, text_col: str, total: int, words: int = WORDS) -> DataFrame:
-    """The classes that may be linked; see CORE. ``total``: the number of shingles of all texts."""
+def candidates_core(df: DataFrame, known: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """The classes that may be linked; see CORE. ``known``: classes() of ``df``."""
+    total = known.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (max(total, 1) // GROUP).bit_length())
-    packed = df.select(text_col).mapInArrow(_scatter(bits, words), _PACKED)
-    counted = packed.groupBy("g").applyInArrow(_count(max(1, (1 << bits) // 4)), _PACKED)
+    groups = max(1, (1 << bits) // 4)
+    shared = df.sparkSession.sparkContext.broadcast(hot(known))
+    packed = df.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(_scatter(bits, groups, words, shared), _PACKED)
+    counted = packed.groupBy("g").applyInArrow(_count(groups), _PACKED)
     return counted.groupBy("g").applyInArrow(_classify, CORE)
 
 
@@ -332,8 +374,7 @@ def _components_of(df: DataFrame, id_col: str, text_col: str, words: int) -> tup
     """classes() of ``df``, and (k, component, root) for each class."""
     with arrow_rows(df.sparkSession, ROWS):
         known = staged(classes(df, id_col, text_col, words))
-        total = known.agg(F.sum("n")).first()[0] or 0
-        core = staged(candidates_core(df, text_col, total, words))
+        core = staged(candidates_core(df, known, id_col, text_col, words))
         roots = linked_components(core)
         copies = known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
         named = copies.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
@@ -368,8 +409,7 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     null for a text without words. Documents of one class are copies, and linked by that."""
     with arrow_rows(df.sparkSession, ROWS):
         known = staged(classes(df, id_col, text_col, words))
-        total = known.agg(F.sum("n")).first()[0] or 0
-        core = staged(candidates_core(df, text_col, total, words))
+        core = staged(candidates_core(df, known, id_col, text_col, words))
         return linked_pairs(core), known.select(F.col("id").alias(id_col), "key")
 
 

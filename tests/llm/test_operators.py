@@ -187,6 +187,23 @@ def test_near_duplicates_in_many_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
 
 
+def test_near_duplicates_with_a_hot_passage_and_a_hot_class(spark):
+    """One passage in a third of the texts, and one text a third of them: neither is gathered by token."""
+    passage, copy = vocabulary_text(1, 30), vocabulary_text(2, 40)
+    texts = {i: copy if i % 3 == 0 else (passage + " " if i % 3 == 1 else "") + vocabulary_text(10_000 + i // 6 * 6 + i % 3, 60) + (f" tail {i}" if i % 2 else "") for i in range(600)}
+    frame = docs(spark, texts).repartition(4)
+    known = common.staged(near_dup.classes(frame))
+    often, counts, copied = near_dup.hot(known)
+    of = {r.doc_id: near_dup.shingles(r.text) for r in frame.collect()}
+    assert set(near_dup.shingles(passage).tolist()) <= set(often.tolist()) and min(counts) >= 16 and list(copied.values()) == [0]
+    shared = spark.sparkContext.broadcast((often, counts, copied))
+    rows = frame.select("doc_id", "text").mapInArrow(near_dup._scatter(0, 3, 5, shared), near_dup._PACKED).collect()
+    gathered = Counter(t for r in rows if r.g >= 0 for t in np.frombuffer(r.tokens, "<u8").tolist())
+    assert not set(gathered) & set(often.tolist()) and max(gathered.values()) < 40 and len(of) == 600
+    got = near_dup.near_duplicates(frame).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dup.near_duplicates(docs(spark, AWKWARD).limit(0)).count() == 0
     frame = docs(spark, {7: "a b c d e f g h"})
