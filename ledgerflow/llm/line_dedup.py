@@ -15,7 +15,9 @@ joined with one other only: the work follows the number of lines, however often
 
 Defined results: blank lines count for nothing and go only inside a deleted run; a null text stays
 null, an empty one empty; passages below ``GRAM`` words stay; rows with equal id and equal text
-count as one document and are treated alike. Other columns pass through.
+count as one document and are treated alike; a null id comes before all others; an empty table gives no rows.
+A very long text is one row's arrays: its lines, and for each fingerprint up to 100 keys. Other columns pass
+through, whatever their names but __id, __th and __runs; one called n_lines_cut is replaced.
 """
 
 from __future__ import annotations

@@ -294,7 +294,7 @@ def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_p
 
 #: How the stored files are written. Snappy, the default, takes about twice the room; larger pages hold more texts to
 #: refer to, smaller row groups bound what a writer holds.
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": "4194304", "parquet.block.size": "33554432", "parquet.enable.dictionary": "false"}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": "8388608", "parquet.block.size": "67108864", "parquet.enable.dictionary": "false"}
 #: Rows of an Arrow batch.
 ROWS = 500
 
