@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet and
 reads it again for the next. All but the last return the columns of documents. A stage begins by deleting what
 earlier ones staged, but for what its input still reads.
+
+Whatever columns the documents have besides doc_id, text and source stay, whatever their names but those that start
+with two underscores. An empty table gives no rows at any stage. A null or empty text passes all stages: it is scored
+as an empty one, has no lines to cut, is in no group, has size 0 and so is taken no more often than its source's hash
+says, and has no tokens. Of rows with the same id and text, line deduplication keeps all alike, the next stage
+keeps one; rows of one id with other texts are told apart by a hash of the text. Very long texts are one task's work
+at each stage, as the operators' docstrings say.
 """
 
 from __future__ import annotations
