@@ -3,8 +3,8 @@
 Companded samples are expanded by a table of 256 entries. ADPCM blocks start from their own header,
 so numpy decodes all blocks of a batch of files side by side, one nibble step at a time. Decoded
 audio is resampled by whole or rational factors and stored as 16-bit PCM: as WAV files (``expand``), or
-without loss in less room (``pack_pcm``, which the query uses): every second sample or its change, and
-how far the samples between are from their neighbours' middle, which resampling mostly leaves at 0.
+without loss in less room (``pack_pcm``, which the query uses): every second sample as a code or a change, and
+how far the samples between are from their neighbours' middle where resampling left any that are.
 digest() writes both files to the shared folder and takes its columns from what it reads back.
 
 Defined results: a null or empty payload gives a file of one unit of padding (see ``pad``); a file that is
@@ -174,29 +174,58 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((samples[left].astype(np.int64) * (up - part) + samples[right].astype(np.int64) * part) // up).astype(np.int16)
 
 
+def _codes(table: np.ndarray) -> np.ndarray:
+    """For each 16-bit sample: a code that ``table`` expands to it, -1 if there is none."""
+    out = np.full(1 << 16, -1, dtype=np.int16)
+    out[table.view(np.uint16)] = np.arange(len(table))
+    return out
+
+
+_CODES = {MULAW: _codes(_MULAW), ALAW: _codes(_ALAW)}
+#: The head of packed PCM: its mark, the form of the even samples, whether the odd ones follow, rate, sample count.
+_PACKED = "<4sBBIQ"
+#: A form beside PCM (as they are), MULAW and ALAW (codes of a companding table): changes.
+CHANGES = 2
+
+
 def pack_pcm(samples: np.ndarray, rate: int) -> bytes:
-    """16-bit samples without loss: those at even places, or their changes where these take fewer values, then what
-    the others differ from the middle of their neighbours. All sums are modulo 2**16."""
+    """16-bit samples without loss: those at even places as codes of a companding table if it has them all, else as they
+    are or their changes, whichever take fewer values; then, unless all are 0, what the others differ from the middle
+    of their neighbours. All sums are modulo 2**16."""
     even, odd = samples[::2].astype("<i2"), samples[1::2].astype("<i2")
-    changes = np.diff(even, prepend=np.zeros(1, "<i2"))
-    changed = len(np.unique(changes)) < len(np.unique(even))
-    return struct.pack("<4sBIQ", b"RPCM", changed, rate, len(samples)) + (changes if changed else even).tobytes() + (odd - _middle(even)[: len(odd)]).tobytes()
+    for form, table in _CODES.items():
+        codes = table[even.view(np.uint16)]
+        if (codes >= 0).all():
+            body = codes.astype(np.uint8)
+            break
+    else:
+        changes = np.diff(even, prepend=np.zeros(1, "<i2"))
+        form, body = (CHANGES, changes) if len(np.unique(changes)) < len(np.unique(even)) else (PCM, even)
+    rest = odd - _middle(even)[: len(odd)]
+    follows = bool(rest.any())
+    return struct.pack(_PACKED, b"RPCM", form, follows, rate, len(samples)) + body.tobytes() + rest.tobytes() * follows
 
 
 def unpack_pcm(packed: bytes) -> tuple[int, np.ndarray]:
     """(rate, samples) that pack_pcm() was given."""
-    head = struct.calcsize("<4sBIQ")
+    head = struct.calcsize(_PACKED)
     if len(packed) < head or packed[:4] != b"RPCM":
         raise ValueError("not packed PCM")
-    _, changed, rate, n = struct.unpack_from("<4sBIQ", packed)
-    values = np.frombuffer(packed, dtype="<i2", offset=head)
-    if len(values) != n:
+    _, form, follows, rate, n = struct.unpack_from(_PACKED, packed)
+    evens = n - n // 2
+    at = head + evens * (1 if form in _CODES else 2)
+    if len(packed) != at + 2 * (n // 2) * follows:
         raise ValueError("the samples are cut short")
-    even = values[: n - n // 2]
-    even = np.cumsum(even, dtype=np.int16) if changed else even
+    if form in _CODES:
+        even = (_MULAW if form == MULAW else _ALAW)[np.frombuffer(packed, np.uint8, evens, head)]
+    else:
+        even = np.frombuffer(packed, "<i2", evens, head)
+        even = np.cumsum(even, dtype=np.int16) if form == CHANGES else even
     out = np.empty(n, dtype=np.int16)
     out[::2] = even
-    out[1::2] = values[len(even) :] + _middle(even)[: n // 2]
+    out[1::2] = _middle(even)[: n // 2]
+    if follows:
+        out[1::2] += np.frombuffer(packed, "<i2", offset=at)
     return rate, out
 
 
@@ -294,7 +323,7 @@ def expand(df: DataFrame, to_rate: int = 16000, media_col: str = "media", keep_p
 
 #: How the stored files are written. Snappy, the default, takes about twice the room; larger pages hold more texts to
 #: refer to, smaller row groups bound what a writer holds.
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": "8388608", "parquet.block.size": "67108864", "parquet.enable.dictionary": "false"}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": "4194304", "parquet.block.size": "67108864", "parquet.enable.dictionary": "false"}
 #: Rows of an Arrow batch.
 ROWS = 500
 

@@ -658,11 +658,14 @@ def test_media_are_stored(spark):
 def test_media_pcm_is_packed_without_loss():
     r = np.random.default_rng(8)
     for n in (0, 1, 2, 3, 1000):
-        for samples in (r.integers(-32768, 32768, n), np.cumsum(r.integers(-9, 9, n)), np.full(n, 32767)):
+        made = [r.integers(-32768, 32768, n), np.cumsum(r.integers(-9, 9, n)), np.full(n, 32767)]
+        for table in (media._MULAW, media._ALAW):
+            made += [x := table[r.integers(0, 256, n)], media.resample(x, 8000, 16000)]
+        for samples in made:
             samples = samples.astype(np.int16)
             rate, got = media.unpack_pcm(media.pack_pcm(samples, 11025))
             assert rate == 11025 and (got == samples).all() and got.dtype == np.int16
-    for bad in (b"", b"RPCM", media.pack_pcm(np.zeros(9, np.int16), 8000)[:-2]):
+    for bad in (b"", b"RPCM", media.pack_pcm(np.zeros(9, np.int16), 8000)[:-2], media.pack_pcm(np.arange(9, dtype=np.int16), 8000)[:-2]):
         with pytest.raises(ValueError):
             media.unpack_pcm(bad)
 
