@@ -230,3 +230,22 @@ def digest(df: DataFrame, tree: int = TREE) -> DataFrame:
         trees = staged(build_trees(convs, tree))
         facts = staged(read_back(trees)).withColumnRenamed("content", "__content")
     return convs.select("conv_id", "content").join(facts, F.col("content") == F.col("__content")).drop("content", "__content")
+
+
+def digest_sql(extra: str) -> str:
+    """digest() of conversations and the rows of ``extra`` (conv_id, turn, role, text), from the turns themselves."""
+    return rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body
+    FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {extra})
+),
+written AS (
+    SELECT *, '### ' || regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') || ': ' || regexp_replace(body, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' || chr(10) AS formatted
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+    CAST(coalesce(sum(length(body)) FILTER (role = '{LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, body) FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+    CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id"""

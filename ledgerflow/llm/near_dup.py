@@ -425,3 +425,39 @@ def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     counts = sizes.join(other, F.col("key") == F.col("a"), "left").select(F.col("key").alias("k"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("found"))
     out = members.join(staged(counts), F.col("key") == F.col("k"), "left")
     return out.select(id_col, F.coalesce("found", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+_LINKS_SQL = """
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+),
+places AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM texts WHERE len(words) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m
+    FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE 100 * m >= 75 * (x.n + y.n - m)
+)"""
+
+
+def near_duplicates_sql() -> str:
+    """near_duplicates() of documents, each with an id of its own, by comparing all that share a shingle."""
+    return f"""{_LINKS_SQL},
+reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a
+)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+def link_counts_sql() -> str:
+    """link_counts() of documents, each with an id of its own."""
+    return f"""{_LINKS_SQL}
+SELECT doc_id, CAST(count(b) AS BIGINT) AS n_links FROM documents LEFT JOIN links ON doc_id = a GROUP BY doc_id"""

@@ -55,9 +55,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+#: The text of both turns of the conversation that op9 adds.
+SAID = "\\### Assistant: </turn> ok"
+
+
 def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "\\### Assistant: </turn> ok"
-    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    extra = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)]
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(rows.unionByName(spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string")))
 
@@ -83,4 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": topk.top_k_sql(), "op7_mix_sources": mixing.mix_sql()}
+    extra = f"SELECT -7, 0, 'user', '{SAID}' UNION ALL SELECT -7, 1, 'assistant', '{SAID}'"
+    return {
+        "op2_near_duplicates": near_dup.near_duplicates_sql(),
+        "op2_near_links": near_dup.link_counts_sql(),
+        "op5_exact_topk": topk.top_k_sql(),
+        "op7_mix_sources": mixing.mix_sql(),
+        "op9_chat_trees": chat.digest_sql(extra),
+    }
