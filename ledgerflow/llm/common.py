@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every operator here counts words: a run of anything but ASCII white space.
@@ -30,8 +30,39 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders that staged() wrote and that are still there.
-_folders: list[str] = []
+class Scope:
+    """The folders that were staged while it was the innermost open scope; free() deletes no others."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    def free(self, docs: DataFrame) -> None:
+        """Delete the folders, but for those that ``docs`` reads."""
+        needed = docs.inputFiles()
+        for path in list(self.folders):
+            if not any(path.rsplit("/", 1)[1] in file for file in needed):
+                self.folders.remove(path)
+                _drop(docs.sparkSession, path)
+
+
+_open: list[Scope] = []
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """What is staged inside belongs to the scope given. What is staged outside all scopes stays until the driver's Python ends."""
+    own = Scope()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+
+
+def _own(spark: SparkSession, path: str) -> None:
+    atexit.register(_drop, spark, path)
+    if _open:
+        _open[-1].folders.append(path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -45,12 +76,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def release(docs: DataFrame) -> None:
-    """Delete the folders staged so far, but for those that ``docs`` reads: whatever else they were for is written."""
-    needed = docs.inputFiles()
-    for path in list(_folders):
-        if not any(path.rsplit("/", 1)[1] in file for file in needed):
-            _folders.remove(path)
-            _drop(docs.sparkSession, path)
+    """Older name of what scopes do; frees nothing, as nobody owns the folders."""
 
 
 @contextmanager
@@ -70,12 +96,11 @@ def staged(df: DataFrame, bucket_by: str | None = None, **options: str) -> DataF
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
     costs a re-read only. Parquet rather than checkpoint(), which computes its input twice and
     writes it uncompressed. With ``bucket_by``, a later grouping by that column needs no shuffle;
-    without it, ``options`` are the writer's. The folder goes with release(), or when the driver's Python ends."""
+    without it, ``options`` are the writer's. The folder goes with its scope, or when the driver's Python ends."""
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
     path = f"{shared_root(spark)}/{name}"
-    atexit.register(_drop, spark, path)
-    _folders.append(path)
+    _own(spark, path)
     if bucket_by is None:
         df.write.options(**options).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -88,8 +113,7 @@ def staged(df: DataFrame, bucket_by: str | None = None, **options: str) -> DataF
 def appended(spark: SparkSession, schema: str, frames: Iterable[DataFrame]) -> DataFrame:
     """All frames, written one after the other to one staged folder and read back."""
     path = f"{shared_root(spark)}/staged_{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    _folders.append(path)
+    _own(spark, path)
     spark.createDataFrame([], schema).write.parquet(path)
     for frame in frames:
         frame.write.mode("append").parquet(path)
@@ -99,3 +123,20 @@ def appended(spark: SparkSession, schema: str, frames: Iterable[DataFrame]) -> D
 def text_of(column: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def ranked(df: DataFrame, tree: str, *order: Column) -> DataFrame:
+    """Every row of ``df``, a staged frame, with its place ``pos`` (from 0) among the ``n`` rows of its ``tree``, in order;
+    rows that tie come as they were written.
+
+    Rows are dealt out by range, hot trees and equal rows too, and sorted where they are. A place is then a row's own
+    distance from its part's first row and the sum of the parts before: one small row a part and tree."""
+    keys = [F.col(tree).asc_nulls_first(), *order, F.col("__rid").asc()]
+    dealt = df.withColumn("__rid", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = staged(dealt.drop("__rid").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    parts = dealt.groupBy("__part", F.col(tree).alias("__tree")).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    same = Window.partitionBy("__tree")
+    before = F.coalesce(F.sum("__rows").over(same.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = staged(parts.select(F.col("__part").alias("__p"), "__tree", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(same).alias("n")))
+    met = dealt.join(parts, (F.col("__part") == F.col("__p")) & F.col(tree).eqNullSafe(F.col("__tree")))
+    return met.select(*df.columns, (F.col("__at") + F.col("__shift")).alias("pos"), "n")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import bpe, chat, html_text, line_dedup, media, mixing, near_dup, pii, topk, toxicity
+from ledgerflow.llm import bpe, chat, html_text, importance, line_dedup, media, merkle, mixing, near_dup, near_vectors, pii, topk, toxicity
 from ledgerflow.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,18 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -82,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_chat_trees": op9_chat_trees,
         "op10_telephony_audio": op10_telephony_audio,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 
@@ -93,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_topk": topk.top_k_sql(),
         "op7_mix_sources": mixing.mix_sql(),
         "op9_chat_trees": chat.digest_sql(extra),
+        "op11_merkle_manifest": merkle.digest_sql(),
+        "op12_importance_resampling": importance.resample_sql(),
+        "op13_near_vectors": near_vectors.near_vectors_sql(),
     }
