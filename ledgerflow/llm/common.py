@@ -75,10 +75,6 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release(docs: DataFrame) -> None:
-    """Older name of what scopes do; frees nothing, as nobody owns the folders."""
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is planned inside moves at most so many rows an Arrow batch: by Spark's own limit of 10,000, some hundred
