@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.operators import bloom, scan
+
 
 def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key in ``order``; give enough columns to break every tie."""
@@ -13,15 +15,16 @@ def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def insert(table: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``table`` with the rows of ``new`` whose key it lacks; of new rows with one key the first by all columns."""
+    """``table`` with the rows of ``new`` whose key it lacks; of new rows with one key the first by all columns.
+    A Bloom filter of the new keys goes over the table, so only possible conflicts are shuffled and checked."""
     new = latest(new, [key], [F.col(c).asc_nulls_last() for c in new.columns if c != key] or [F.lit(1)])
-    fresh = new.join(table.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+    fresh = new.join(bloom.taken(table, new, key), F.col(key) == F.col("__key"), "left_anti")
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
 def conflicts(table: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The new rows that insert() refuses because their key is taken."""
-    return new.join(table.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_semi")
+    return new.join(bloom.taken(table, new, key), F.col(key) == F.col("__key"), "left_semi")
 
 
 def replace(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -35,8 +38,28 @@ def delete(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return table.join(keys.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
 
 
+#: The offset from which a page is found by ranges.
+DEEP = 100_000
+
+
+def deep_page(rows: DataFrame, order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:
+    """page() for any offset: rows are dealt out by ranges, the ranges' sizes say which of them hold the page, and only their
+    rows of it are read. No task holds more than a range, or the page if it has a limit."""
+    dealt = scan.in_order(rows, [], order)
+    sizes = dealt.groupBy("__part").agg(F.min("__at").alias("first"), F.count("*").alias("n")).orderBy("__part").collect()  # one row a range
+    wanted, before = F.lit(False), 0
+    for part in sizes:
+        begin, end = max(offset - before, 0), part.n if limit <= 0 else min(offset + limit - before, part.n)
+        if begin < end:
+            wanted = wanted | F.col("__at").between(part.first + begin, part.first + end - 1)
+        before += part.n
+    return dealt.where(wanted).orderBy("__at").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def page(rows: DataFrame, order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:
-    """Sorted rows, offset first, then limit; a limit of 0 keeps all."""
+    """Sorted rows, offset first, then limit; a limit of 0 keeps all. A deep page is found by ranges."""
+    if offset >= DEEP:
+        return deep_page(rows, order, limit, offset)
     rows = rows.orderBy(*order)
     if offset:
         rows = rows.offset(offset)

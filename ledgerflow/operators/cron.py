@@ -34,6 +34,11 @@ def fire(crons: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     return change(crons, ready, next_run_at=next_run(F.col("schedule"), as_of), last_run_at=as_of), jobs
 
 
+def fired(crons: DataFrame, as_of: Column) -> DataFrame:
+    """(entry_name, job_id, ts) of what fire() fires."""
+    return due(crons, as_of).select(F.col("name").alias("entry_name"), F.concat(F.lit("job_"), F.substring_index("id", "_", -1)).alias("job_id"), as_of.alias("ts"))
+
+
 def _queue(crons: DataFrame) -> Column:
     named = F.col("queue") if "queue" in crons.columns else F.lit(None).cast("string")
     return F.coalesce(F.when(named != "", named), F.lit("default"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.operators import scan
 from ledgerflow.operators.changelog import change, latest
 from ledgerflow.operators.jobs import null_ts
 from ledgerflow.session import cut
@@ -40,11 +41,11 @@ def step_or_error(checkpoints: DataFrame, run_id: str, step: str) -> Row:
 
 def delete_after(checkpoints: DataFrame, step: str, ties: bool = False) -> DataFrame:
     """Without the checkpoints later than ``step`` of the same run; with ``ties``, also those of its time.
-    Runs without the step keep all."""
-    pivot = checkpoints.where(F.col("step_name") == step).select(F.col("run_id").alias("__run"), F.col("created_at").alias("__at"))
-    joined = checkpoints.join(pivot, F.col("run_id") == F.col("__run"), "left")
+    Runs without the step keep all. One shuffle, by run; of several checkpoints of the step the latest counts."""
+    run = Window.partitionBy("run_id")
+    marked = checkpoints.withColumn("__at", F.max(F.when(F.col("step_name") == step, F.col("created_at"))).over(run))
     keep = F.col("__at").isNull() | (F.col("step_name") == step) | ((F.col("created_at") < F.col("__at")) if ties else (F.col("created_at") <= F.col("__at")))
-    return joined.where(keep).select(*checkpoints.columns)
+    return marked.where(keep).select(*checkpoints.columns)
 
 
 def pending_steps(planned: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -157,33 +158,50 @@ def children(runs: DataFrame, parent: str) -> DataFrame:
     return runs.where(F.col("parent_run_id") == parent).orderBy("created_at", "id")
 
 
+def _tops(runs: DataFrame) -> DataFrame:
+    """(id, up, depth): each run's topmost ancestor by pointer doubling, ``up`` null for runs on or below a ring.
+
+    Each round joins a run with what its pointer points to, so rounds grow with the logarithm of the depth. A run whose
+    depth is beyond a round's reach has an ancestor that the next round ends, so the first round that ends none is the last."""
+    known = runs.select(F.col("id").alias("__known"))
+    state = runs.select("id", F.col("parent_run_id").alias("parent")).join(known, F.col("parent") == F.col("__known"), "left")
+    top = F.col("__known").isNull()
+    state = cut(state.select("id", F.coalesce("__known", "id").alias("up"), F.when(top, 0).otherwise(1).alias("depth"), top.alias("done")))
+    left = state.where("NOT done").count()
+    while left:
+        above = state.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        moved = state.where("NOT done").join(above, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
+        state = cut(state.where("done").unionByName(moved))
+        before, left = left, state.where("NOT done").count()
+        if left == before:
+            break
+    return state.select("id", F.when(F.col("done"), F.col("up")).alias("up"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
 def run_tree(runs: DataFrame, roots: Column | None = None) -> DataFrame:
     """(root_id, id, depth) of every run below the roots, which are the runs without a parent unless they are given.
 
-    Without given roots every run points to its parent, and pointers are doubled: each round joins a run with
-    what its ancestor points to, so rounds grow with the logarithm of the depth. Given roots may lie below one
-    another: from them the tree is followed level by level. Runs whose parents are missing or form a ring are
-    below no root."""
-    named = runs.select("id", F.col("parent_run_id").alias("parent"))
-    if roots is not None:
-        level = cut(runs.where(roots).select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth")))
-        out, most = level, runs.count()
-        while not level.isEmpty() and most >= 0:
-            below = level.select("root_id", F.col("id").alias("__id"), "depth").join(named, F.col("__id") == F.col("parent"))
-            level, most = cut(below.select("root_id", "id", (F.col("depth") + 1).alias("depth"))), most - 1
-            out = out.unionByName(level)
-        return out
-    top = F.col("parent").isNull()
-    state = cut(named.select("id", F.coalesce("parent", "id").alias("up"), F.when(top, 0).otherwise(1).alias("depth"), top.alias("done")))
-    reach, most = 1, state.count()
-    while reach <= 2 * most:
-        left = state.where("NOT done")
-        if left.isEmpty():
-            break
-        above = state.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
-        moved = left.join(above, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
-        state, reach = cut(state.where("done").unionByName(moved)), 2 * reach
-    return state.where("done").select(F.col("up").alias("root_id"), "id", "depth")
+    Given roots may lie below one another. Then each round knows all of a run's ancestors among the roots up to a
+    distance, and doubles it: what a run's pointer points to gives its own ancestors, farther by the pointer's length.
+    So there are as many rounds as the depth has binary digits, and what is written adds up to the result. Runs on a ring, or
+    below one, are below no root and no one's root; nor is a run without given roots whose parents are missing."""
+    tops = _tops(runs)
+    if roots is None:
+        parentless = runs.where("parent_run_id IS NULL").select(F.col("id").alias("__top"))
+        return tops.join(parentless, F.col("up") == F.col("__top")).select(F.col("up").alias("root_id"), "id", "depth")
+    sound = tops.where("up IS NOT NULL").select(F.col("id").alias("__sound"), F.col("depth").alias("__deep"))
+    known = runs.select("id", F.col("parent_run_id").alias("up"), F.coalesce(roots, F.lit(False)).alias("root")).join(sound, F.col("id") == F.col("__sound"))
+    pointers = cut(known.select("id", "up", "root", "__deep"))
+    deepest = pointers.agg(F.max("__deep")).first()[0] or 0
+    found = pointers.where("root").select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
+    pointers, reach = pointers.select("id", F.when(F.col("__deep") > 0, F.col("up")).alias("up")), 1
+    while reach <= deepest:
+        near = found.select(F.col("id").alias("__id"), "root_id", "depth")
+        new = pointers.join(near, F.col("up") == F.col("__id")).select("root_id", "id", (F.col("depth") + reach).cast("int").alias("depth"))
+        found = found.unionByName(cut(new))
+        above = pointers.select(F.col("id").alias("__id"), F.col("up").alias("__up"))
+        pointers, reach = cut(pointers.join(above, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up")).where("up IS NOT NULL")), 2 * reach
+    return found
 
 
 def fan_out(results: DataFrame) -> DataFrame:
@@ -192,29 +210,22 @@ def fan_out(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id").agg(F.when(F.count("result") == F.count("*"), rows).alias("results"))
 
 
-def _seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 of a time without zone, whatever the session's zone is."""
-    return F.unix_date(F.to_date(ts)) * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
-
-
 def first_event(waits: DataFrame, events: DataFrame) -> DataFrame:
-    """``waits`` (wait_id, name, since, timeout_s) with the oldest unacknowledged event of the name in
-    time, null where there is none. It isn't claimed: two waits may see one event, and
-    acknowledgements apply when the batch ends.
-
-    The join is one of equal names and equal time buckets. A wait's buckets are a power of two of seconds,
-    longer than its timeout, so it looks into two of them; events are there once for each length in use."""
-    width = F.pow(F.lit(2), F.ceil(F.log2(F.col("timeout_s") + 1))).cast("bigint")
-    until = plus(F.col("since"), F.col("timeout_s"))
-    first, last = F.floor(_seconds(F.col("since")) / F.col("__width")), F.floor(_seconds(until) / F.col("__width"))
-    looking = waits.select("wait_id", "name", "since", "timeout_s", width.alias("__width"))
-    looking = looking.withColumn("__bucket", F.explode_outer(F.sequence(first, F.greatest(first, last))))
-    widths = waits.select(width.alias("__w")).where("__w IS NOT NULL").distinct()
-    open_ = events.where("NOT acked").select(F.col("name").alias("__name"), F.col("id").alias("event_id"), F.col("created_at").alias("event_at"))
-    open_ = open_.crossJoin(F.broadcast(widths)).withColumn("__b", F.floor(_seconds(F.col("event_at")) / F.col("__w")))
-    same = (F.col("name") == F.col("__name")) & (F.col("__width") == F.col("__w")) & (F.col("__bucket") == F.col("__b"))
-    joined = looking.join(open_, same & (F.col("event_at") >= F.col("since")) & (F.col("event_at") <= until), "left")
-    return joined.groupBy("wait_id", "name").agg(F.min(F.when(F.col("event_id").isNotNull(), F.struct("event_at", "event_id"))).alias("e")).select("wait_id", "name", F.col("e.event_id").alias("event_id"), F.col("e.event_at").alias("event_at"))
+    """``waits`` (wait_id, name, since, timeout_s), a row each, with the oldest unacknowledged event of the name in time, null
+    where there is none; of events of one time the least id. It isn't claimed: two waits may see one event, and
+    acknowledgements apply when the batch ends. Waits without a name, a start or a timeout get none.
+
+    An as-of join: waits and events stand in one order, latest first, and the last event that a wait has seen there is the
+    first one from its start on. Work is linear however many waits and events share a name, and a hot name is many parts."""
+    opened = events.where("NOT acked AND name IS NOT NULL")
+    nothing = F.lit(None).cast("struct<event_at: timestamp_ntz, event_id: string>")
+    looking = waits.select("wait_id", "name", "since", "timeout_s", F.col("since").cast("timestamp_ntz").alias("__when"), F.lit(1).alias("__kind"), F.col("wait_id").cast("string").alias("__tie"), nothing.alias("__event"))
+    event = F.struct(F.col("created_at").cast("timestamp_ntz").alias("event_at"), F.col("id").alias("event_id"))
+    seen = opened.select("name", F.col("created_at").cast("timestamp_ntz").alias("__when"), F.lit(0).alias("__kind"), F.col("id").alias("__tie"), event.alias("__event"))
+    rows = scan.in_order(looking.unionByName(seen, allowMissingColumns=True), ["name"], [F.desc("__when"), F.asc("__kind"), F.desc("__tie")])
+    met = scan.running_last(rows, ["name"], "__event", "__found").where("__kind = 1")
+    in_time = F.col("__found.event_at") <= plus(F.col("since"), F.col("timeout_s"))
+    return met.select("wait_id", "name", F.when(in_time, F.col("__found.event_id")).alias("event_id"), F.when(in_time, F.col("__found.event_at")).alias("event_at"))
 
 
 def wait_checkpoints(found: DataFrame, as_of: Column, kind: str = "wait") -> DataFrame:

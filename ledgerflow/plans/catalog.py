@@ -5,6 +5,7 @@ Every query takes (spark, sf_dir). ``QUERIES`` has the callables, ``ORACLE`` the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,10 @@ from ledgerflow.operators import admin, admission, changelog, cluster, cron, dlq
 from ledgerflow.plans.views_sql import AS_OF as NOW
 from ledgerflow.plans.views_sql import over
 from ledgerflow.schema import JOB_STATES
+from ledgerflow.session import shared_folder
 from ledgerflow.sources import entities as e
+from ledgerflow.streaming import lifecycle as streams
+from ledgerflow.streaming import sink
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -124,6 +128,13 @@ def job_queue_detail(spark, d):
     return jobs.queue_detail(e.jobs(spark, d), "critical", 30)
 
 
+@query("jobs", "SELECT * FROM jobs ORDER BY created_at DESC, id LIMIT 100 OFFSET (SELECT CAST(count(*) AS BIGINT) // 2 FROM jobs)")
+def job_deep_page(spark, d):
+    """A page from the middle of all jobs, found by ranges."""
+    all_ = e.jobs(spark, d)
+    return changelog.deep_page(all_, [F.desc("created_at"), F.asc("id")], 100, all_.count() // 2)
+
+
 @query("jobs", "SELECT * FROM jobs WHERE contains(lower(name), lower('HANDLER_3'))")
 def job_name_search(spark, d):
     return jobs.search(e.jobs(spark, d), "HANDLER_3", "name")
@@ -937,6 +948,75 @@ def lifecycle_diff(spark, d):
     return lifecycle.state_changes(_log(spark, d))
 
 
+def _json(*fields: tuple[str, str, bool]) -> str:
+    """SQL for JSON of (name, SQL, whether it is text), null fields left out."""
+    parts = ", ".join(f"""'"{name}":"' || {sql} || '"'""" if text else f"""'"{name}":' || {sql}""" for name, sql, text in fields)
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
+
+
+_EVERY = """, every AS (
+SELECT 'job.enqueued' AS type, created_at AS ts, 'job:' || id AS topic, id, name, queue, scope_org_id AS org, NULL AS step, NULL AS ms, NULL AS error, NULL AS attempt, NULL AS next_at, NULL AS tries, NULL AS most, NULL AS job_id FROM jobs
+UNION ALL SELECT 'job.started', started_at, 'job:' || id, id, name, queue, scope_org_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM jobs WHERE started_at IS NOT NULL
+UNION ALL SELECT 'job.completed', completed_at, 'job:' || id, id, name, queue, scope_org_id, NULL, date_diff('second', started_at, completed_at) * 1000, NULL, NULL, NULL, NULL, NULL, NULL FROM jobs WHERE state = 'completed'
+UNION ALL SELECT 'job.failed', completed_at, 'job:' || id, id, name, queue, scope_org_id, NULL, NULL, 'exit ' || priority, NULL, NULL, retry_count, max_retries, NULL FROM jobs WHERE state = 'failed'
+UNION ALL SELECT 'job.retrying', run_at, 'job:' || id, id, name, queue, scope_org_id, NULL, NULL, NULL, retry_count, strftime(run_at, '%Y-%m-%dT%H:%M:%SZ'), NULL, NULL, NULL FROM jobs WHERE state = 'retrying'
+UNION ALL SELECT 'job.dlq', failed_at, 'job:' || job_id, job_id, job_name, queue, scope_org_id, NULL, NULL, 'out of tries', NULL, NULL, retry_count, NULL, NULL FROM dlq
+UNION ALL SELECT 'workflow.started', started_at, 'workflow:' || id, id, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM runs
+UNION ALL SELECT 'workflow.' || state, completed_at, 'workflow:' || id, id, name, NULL, NULL, NULL, CASE WHEN state = 'completed' THEN date_diff('second', started_at, completed_at) * 1000 END, CASE WHEN state = 'failed' THEN 'step-9: broken' END, NULL, NULL, NULL, NULL, NULL FROM runs WHERE state <> 'running'
+UNION ALL SELECT 'workflow.step_completed', c.created_at, 'workflow:' || run_id, run_id, name, NULL, NULL, step_name, l_partkey, NULL, NULL, NULL, NULL, NULL, NULL FROM checkpoints c JOIN runs ON run_id = id
+UNION ALL SELECT 'workflow.step_failed', completed_at, 'workflow:' || id, id, name, NULL, NULL, 'step-9', NULL, 'broken', NULL, NULL, NULL, NULL, NULL FROM runs WHERE state = 'failed'
+UNION ALL SELECT 'cron.fired', """ + NOW + """, NULL, name, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'job_' || substr(id, 6) FROM crons WHERE enabled AND next_run_at <= """ + NOW + ")"
+_EVERY_VIEWS = "jobs dlq runs checkpoints crons"
+
+
+def _every(spark, d):
+    """All twelve kinds of events, from changelogs of jobs and runs, checkpoints and broken steps, dead letters and fired schedules."""
+    all_, runs = e.jobs(spark, d), e.runs(spark, d)
+    about = ["id", "name", "queue", "scope_org_id", "retry_count", "max_retries", "run_at", "started_at", "completed_at", F.concat(F.lit("exit "), F.col("priority").cast("string")).alias("error")]
+    ended = F.when(F.col("state") == "retrying", F.col("run_at")).otherwise(F.col("completed_at"))
+    log = all_.select(*about, F.lit("pending").alias("state"), F.col("created_at").alias("ts"), F.lit(0).alias("seq"))
+    log = log.unionByName(all_.where("started_at IS NOT NULL").select(*about, F.lit("running").alias("state"), F.col("started_at").alias("ts"), F.lit(1).alias("seq")))
+    log = log.unionByName(all_.where("state IN ('completed', 'failed', 'retrying')").select(*about, "state", ended.alias("ts"), F.lit(2).alias("seq")))
+    about = ["id", "name", "started_at", "completed_at", F.lit("step-9: broken").alias("error")]
+    begun = runs.select(*about, F.lit("running").alias("state"), F.col("started_at").alias("ts"), F.lit(0).alias("seq"))
+    run_log = begun.unionByName(runs.where("state <> 'running'").select(*about, "state", F.col("completed_at").alias("ts"), F.lit(1).alias("seq")))
+    done = _checkpoints(spark, d).select("run_id", "step_name", F.col("created_at").alias("ts"), F.col("l_partkey").alias("elapsed_ms"), F.lit(None).cast("string").alias("error"))
+    broken = runs.where("state = 'failed'").select(F.col("id").alias("run_id"), F.lit("step-9").alias("step_name"), F.col("completed_at").alias("ts"), F.lit(None).cast("bigint").alias("elapsed_ms"), F.lit("broken").alias("error"))
+    letters = e.dlq(spark, d).withColumn("error", F.lit("out of tries"))
+    return lifecycle.every_event(log, run_log, done.unionByName(broken), letters, cron.fired(e.crons(spark, d), _now()))
+
+
+_ORG, _MS, _STEP = ("scope_org_id", "nullif(org, '')", True), ("elapsed_ms", "nullif(ms, 0)", False), ("step_name", "step", True)
+_JOB_DATA = [("job_id", "id", True), ("job_name", "name", True), ("queue", "queue", True), _ORG, _MS, ("error", "error", True), ("attempt", "attempt", False), ("next_run_at", "next_at", True)]
+_RUN_DATA = [("run_id", "id", True), ("name", "name", True), _STEP, _ORG, _MS, ("error", "error", True)]
+_FIRED_DATA = [("entry_name", "id", True), ("job_id", "job_id", True)]
+
+
+def _by_family(jobs: str, runs: str, fired: str) -> str:
+    return f"CASE WHEN type LIKE 'job.%' THEN {jobs} WHEN type LIKE 'workflow.%' THEN {runs} ELSE {fired} END"
+
+
+@query(_EVERY_VIEWS, f"{_EVERY} SELECT type, ts, coalesce(topic, '') AS topic, {_by_family(_json(*_JOB_DATA), _json(*_RUN_DATA), _json(*_FIRED_DATA))} AS data FROM every")
+def lifecycle_every_event(spark, d):
+    return lifecycle.envelope(_every(spark, d))
+
+
+_METADATA = [("attempt", "attempt", False), ("elapsed_ms", "ms", False), ("error", "error", True), ("job_id", "job_id", True), ("job_name", "CASE WHEN type LIKE 'job.%' THEN name END", True), ("max_retries", "most", False), ("next_run_at", "next_at", True), ("queue", "queue", True), ("retry_count", "tries", False), _STEP, ("workflow_name", "CASE WHEN type LIKE 'workflow.%' THEN name END", True)]
+
+
+@query(_EVERY_VIEWS, f"{_EVERY} SELECT ts, type AS action, CASE split_part(type, '.', 1) WHEN 'job' THEN 'job' WHEN 'workflow' THEN 'workflow_run' ELSE 'cron_entry' END AS resource, id AS resource_id, split_part(type, '.', 1) AS category, CASE WHEN type IN ('job.failed', 'job.retrying', 'job.dlq', 'workflow.step_failed', 'workflow.failed') THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN type IN ('job.failed', 'job.dlq', 'workflow.failed') THEN 'critical' WHEN type IN ('job.retrying', 'workflow.step_failed') THEN 'warning' ELSE 'info' END AS severity, coalesce(error, '') AS reason, {_json(*_METADATA)} AS metadata FROM every WHERE type <> 'job.started'")
+def audit_records(spark, d):
+    return lifecycle.audit_records(_every(spark, d), [k for k in lifecycle.EVENTS if k != "job.started"])
+
+
+_SENT = [("elapsed_ms", "CASE WHEN type LIKE '%.completed' THEN coalesce(ms, 0) ELSE nullif(ms, 0) END", False), ("error", "error", True)]
+
+
+@query(_EVERY_VIEWS, f"{_EVERY} SELECT ts, type AS event, CASE WHEN type LIKE 'job.%' THEN 'jobs' WHEN type LIKE 'workflow.%' THEN 'workflows' ELSE 'cron' END AS \"group\", coalesce(org, '') AS tenant, {_by_family(_json(*_JOB_DATA[:4], *_SENT, *_JOB_DATA[6:]), _json(*_RUN_DATA[:2], _ORG, _STEP, *_SENT), _json(*_FIRED_DATA))} AS payload FROM every")
+def webhook_events(spark, d):
+    return lifecycle.webhook_events(_every(spark, d))
+
+
 @query("lifecycle", "SELECT event_id, type, unnest(['firehose', 'jobs', topic]) AS to_topic FROM lifecycle")
 def topic_fanout(spark, d):
     return lifecycle.fan_out(e.lifecycle(spark, d)).select("event_id", "type", "to_topic")
@@ -969,6 +1049,52 @@ def credit_filtered(spark, d):
     return lifecycle.with_credits(lifecycle.deliveries(e.lifecycle(spark, d), _subscriptions(spark, d)), credits, 10, F.col("type") != "job.started")
 
 
+def _grants(spark, d):
+    """Two credits at each signup on a subscriber's own topic."""
+    signups = e.lifecycle(spark, d).where("type = 'job.enqueued'").select("topic", "ts")
+    own = _subscriptions(spark, d).where("topic LIKE 'job:%'")
+    return signups.join(own, "topic").select("subscriber", "ts", F.lit(2).alias("n"))
+
+
+_MOVES = f"{_DELIVERED}, moves AS (SELECT event_id, subscriber, type, ts, 1 AS kind, -1 AS c FROM delivered UNION ALL SELECT NULL, subscriber, NULL, ts, 0, 2 FROM lifecycle l JOIN subs s ON s.topic = l.topic WHERE type = 'job.enqueued')"
+_BY_TIME = "OVER (PARTITION BY subscriber ORDER BY ts, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND"
+
+
+@query("lifecycle", f"{_MOVES}, sums AS (SELECT *, CASE WHEN subscriber = 'sub_1' THEN 25 ELSE 10 END + sum(c) {_BY_TIME} CURRENT ROW) AS s FROM moves), floors AS (SELECT *, least(0, coalesce(min(s) {_BY_TIME} 1 PRECEDING), 0)) AS f FROM sums) SELECT event_id, subscriber, type, ts, CAST(s - f AS BIGINT) AS credits_left FROM floors WHERE kind = 1 AND s >= f")
+def credit_replenished(spark, d):
+    """Credits that are granted again, by a scan over parts of a subscriber's time."""
+    credits = spark.createDataFrame([("sub_1", 25)], "subscriber string, credits int")
+    return lifecycle.with_replenished_credits(lifecycle.deliveries(e.lifecycle(spark, d), _subscriptions(spark, d)), _grants(spark, d), credits, 10)
+
+
+def _subscription_changes(spark, d):
+    """Subscribers come to their own topic, leave it for some days and come back; two are on all jobs for a while, and one leaves everything."""
+    k, begin = F.col("s_suppkey"), e.at("2024-01-01 00:00:00")
+    subs = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.concat(F.lit("sub_"), k.cast("string")).alias("subscriber"), F.concat(F.lit("job:"), k.cast("string")).alias("own"))
+    come = e.plus(begin, k * 3600)
+    change = lambda rows, topic, ts, seq, active: rows.select("subscriber", topic.alias("topic"), ts.alias("ts"), F.lit(seq).alias("seq"), F.lit(active).alias("active"))
+    out = change(subs, F.col("own"), come, 1, True).unionByName(change(subs, F.col("own"), e.plus(come, (1 + k % 7) * 86400), 2, False))
+    out = out.unionByName(change(subs.where("s_suppkey % 2 = 0"), F.col("own"), e.plus(begin, 15 * 86400), 3, True))
+    out = out.unionByName(change(subs.where("s_suppkey IN (1, 2)"), F.lit("jobs"), e.plus(begin, 5 * 86400), 4, True))
+    return out.unionByName(change(subs.where("s_suppkey = 1"), F.lit(None).cast("string"), e.plus(begin, 12 * 86400), 5, False))
+
+
+_T0 = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+@query("lifecycle", f""", changes AS (SELECT 'sub_' || s_suppkey AS subscriber, 'job:' || s_suppkey AS topic, {_T0} + to_hours(s_suppkey) AS since, 1 AS seq, TRUE AS active FROM supplier
+UNION ALL SELECT 'sub_' || s_suppkey, 'job:' || s_suppkey, {_T0} + to_hours(s_suppkey) + to_days(CAST(1 + s_suppkey % 7 AS INTEGER)), 2, FALSE FROM supplier
+UNION ALL SELECT 'sub_' || s_suppkey, 'job:' || s_suppkey, {_T0} + to_days(15), 3, TRUE FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'sub_' || s_suppkey, 'jobs', {_T0} + to_days(5), 4, TRUE FROM supplier WHERE s_suppkey IN (1, 2)
+UNION ALL SELECT 'sub_1', unnest(['job:1', 'jobs']), {_T0} + to_days(12), 5, FALSE FROM supplier WHERE s_suppkey = 1),
+last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY subscriber, topic, since ORDER BY seq DESC) = 1),
+sent AS (SELECT l.event_id, l.type, l.ts, s.subscriber, s.topic FROM (SELECT *, unnest(['firehose', 'jobs', topic]) AS t FROM lifecycle) l JOIN (SELECT DISTINCT subscriber, topic FROM changes) s ON s.topic = l.t)
+SELECT DISTINCT s.event_id, s.subscriber, s.type, s.ts FROM sent s ASOF JOIN last c ON s.subscriber = c.subscriber AND s.topic = c.topic AND s.ts >= c.since WHERE c.active""")
+def deliveries_in_force(spark, d):
+    """Deliveries by the subscriptions in force when each event came."""
+    return lifecycle.deliveries_in_force(e.lifecycle(spark, d), _subscription_changes(spark, d))
+
+
 @query("", "SELECT 'sub_' || s_suppkey AS subscriber, 'job:' || s_suppkey AS topic FROM supplier WHERE s_suppkey % 3 <> 0")
 def subscriptions_current(spark, d):
     subs = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.concat(F.lit("sub_"), F.col("s_suppkey").cast("string")).alias("subscriber"), F.concat(F.lit("job:"), F.col("s_suppkey").cast("string")).alias("topic"))
@@ -1003,6 +1129,56 @@ def webhook_catalog(spark, d):
     return lifecycle.catalog(spark)
 
 
+_PARTS = ("ts < TIMESTAMP '2024-01-11 00:00:00'", "ts >= TIMESTAMP '2024-01-11 00:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00'", "ts >= TIMESTAMP '2024-01-21 00:00:00'")
+_LATE = "event_id LIKE '%7'"
+
+
+def _stream(spark, d, late=False, twice=False):
+    """The events as a stream of three batches. With ``late``, some of the first come with the last; with ``twice``, some come again in the second and the third."""
+    rows = e.lifecycle(spark, d)
+    parts = [rows.where(p) for p in _PARTS]
+    if late:
+        parts = [parts[0].where(f"NOT {_LATE}"), parts[1], parts[2].unionByName(parts[0].where(_LATE))]
+    if twice:
+        parts = [parts[0], parts[1].unionByName(parts[0].where(_LATE)), parts[2].unionByName(parts[1].where(_LATE)).unionByName(parts[0].where(_LATE))]
+    return streams.read(spark, streams.in_batches(parts), 4)
+
+
+_WINDOWS = "SELECT unnest([0, 900, 1800, 2700]) AS back"
+
+
+@query("lifecycle", f""", w AS (SELECT max(ts) - INTERVAL 1 HOUR AS closed FROM lifecycle), w1 AS (SELECT max(ts) - INTERVAL 1 HOUR AS closed FROM lifecycle WHERE {_PARTS[0]} AND NOT {_LATE}),
+spread AS (SELECT type, time_bucket(INTERVAL 15 MINUTE, ts) - to_seconds(back) AS start, {_PARTS[0]} AND {_LATE} AS late FROM lifecycle, ({_WINDOWS}))
+SELECT start, type, count(*) AS n FROM spread WHERE start + INTERVAL 1 HOUR <= (SELECT closed FROM w) AND NOT (late AND start + INTERVAL 1 HOUR <= (SELECT closed FROM w1)) GROUP BY start, type""")
+def stream_sliding(spark, d):
+    """Sliding windows of a stream run to its end: those that its watermark closes, without what came too late for them."""
+    return streams.finished(streams.sliding(_stream(spark, d, late=True))).select(F.col("start").cast("timestamp_ntz").alias("start"), "type", "n")
+
+
+@query("lifecycle", "SELECT event_id, type, topic FROM lifecycle")
+def stream_deduplicated(spark, d):
+    """Each event of a stream once: copies within the watermark meet its state, later ones are late."""
+    return streams.finished(streams.deduplicated(_stream(spark, d, twice=True))).select("event_id", "type", "topic")
+
+
+@query("lifecycle", "SELECT a.topic, a.ts AS started, b.ts AS completed FROM lifecycle a JOIN lifecycle b ON a.topic = b.topic AND a.type = 'job.started' AND b.type = 'job.completed' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR")
+def stream_latency(spark, d):
+    """Starts of a stream joined with the completions that follow within six hours; both sides' state goes with the watermark."""
+    found = streams.finished(streams.latency(_stream(spark, d), "6 HOURS"))
+    return found.select("topic", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "completed")))
+
+
+@query("lifecycle", "SELECT event_id, ts, type AS action, 'job' AS resource, substr(topic, 5) AS resource_id, 'job' AS category, CASE WHEN type IN ('job.failed', 'job.retrying') THEN 'failure' ELSE 'success' END AS outcome, CASE type WHEN 'job.failed' THEN 'critical' WHEN 'job.retrying' THEN 'warning' ELSE 'info' END AS severity FROM lifecycle")
+def audit_sink(spark, d):
+    """Audit records of a stream through a sink to which every batch is delivered twice."""
+    path = f"{shared_folder(spark)}/sink_{uuid.uuid4().hex}"
+    put = sink.write_once(path, lifecycle.audit)
+    again = lambda batch, number: (put(batch, number), put(batch, number))[0]
+    rows = _stream(spark, d)
+    rows.writeStream.foreachBatch(again).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.written(spark, path, lifecycle.audit(e.lifecycle(spark, d)).schema)
+
+
 @query("lifecycle", "SELECT date_trunc('hour', ts) AS hour, type, count(*) AS n FROM lifecycle GROUP BY 1, 2")
 def hourly_counts(spark, d):
     rows = e.lifecycle(spark, d)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +26,36 @@ def session(app: str = "ledgerflow", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, where its lineage ends. The folder is the one that the cluster names in
-    spark.checkpoint.dir; on a local master without one, a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.split("[")[0] != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the one that the cluster names in spark.checkpoint.dir; on a local master without
+    one, a temporary folder."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them see")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is not None and jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, it is computed once, and a lost executor costs a
+    re-read only. The files go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut_{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        _remove(spark, path)

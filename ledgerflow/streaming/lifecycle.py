@@ -5,10 +5,14 @@ Watermarks need timestamps with a time zone, so ``ts`` is cast under a UTC sessi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerflow.session import shared_folder
+
 SCHEMA = "event_id string, type string, ts timestamp_ntz, topic string, elapsed_ms bigint"
 
 
@@ -56,6 +60,21 @@ def latency(events: DataFrame, within: str = "1 hour", late: str = "1 hour") ->
     return begun.join(ended, F.expr(f"topic = t AND completed >= started AND completed <= started + INTERVAL {within}")).select("topic", "started", "completed")
 
 
+def in_batches(frames: list[DataFrame], files: int = 4) -> str:
+    """A folder in which a stream with ``files`` files a trigger finds each frame as a batch, in order."""
+    path = f"{shared_folder(frames[0].sparkSession)}/stream_{uuid.uuid4().hex}"
+    for frame in frames:
+        frame.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """All that a stream gives, run to its end into the shared folder, with its state there, and read back."""
+    path = f"{shared_folder(rows.sparkSession)}/stream_{uuid.uuid4().hex}"
+    run_now(rows, f"q_{uuid.uuid4().hex}", "append", f"{path}/state", "parquet", path=f"{path}/rows")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
 def run_now(rows: DataFrame, name: str, mode: str, checkpoint: str, sink: str = "memory", **options: str) -> StreamingQuery:
     """Process what is there and stop."""
     writer = rows.writeStream.outputMode(mode).format(sink).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)

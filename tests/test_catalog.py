@@ -28,8 +28,7 @@ def test_filters_reach_the_scan(spark, data):
 
 
 def test_hot_paths_stay_in_the_jvm(spark, data):
-    with_python = {"cron_fire_state", "cron_register", "cron_next_every", "cron_next"}
-    for name in set(catalog.ORACLE) - with_python:
+    for name in set(catalog.ORACLE):
         plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InPandas" not in plan, name
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ledgerflow import schema
 from ledgerflow.operators import admission, changelog, cluster, cron, dlq, handlers, jobs, settle, workflow
 from ledgerflow.functions import scalar
-from ledgerflow.functions.cron import next_time, parse
+from ledgerflow.functions.cron import next_run
 from ledgerflow.plans import catalog
 from ledgerflow.sources import entities as e
 from ledgerflow.sources.entities import at
+from tests.cron_plain import next_time, parse
 from tests.conftest import values
 
 T0 = datetime(2024, 1, 1, 12)
@@ -130,6 +131,41 @@ def test_cron_times():
             parse(bad)
 
 
+def test_cron_times_of_columns_are_those_of_the_plain_evaluator(spark):
+    """Random schedules and times, awkward texts, and every hour around the changes of clocks."""
+    r = random.Random(11)
+
+    def field(low, high, names=()):
+        one = lambda: r.choice(["*", "?", str(r.randint(low, high)), f"{r.randint(low, high)}-{r.randint(low, high + 1)}", f"*/{r.randint(0, 9)}", f"{r.randint(low, high)}/{r.randint(1, 9)}", "*/1", "*/", *([r.choice(names), r.choice(names).upper()] if names else [])])
+        return "*" if r.random() < 0.4 else ",".join(one() for _ in range(r.randint(1, 3)))
+
+    months, days = "jan feb mar dec".split(), "sun mon fri sat".split()
+    rows = []
+    for _ in range(400):
+        schedule = " ".join([field(0, 59), field(0, 23), field(1, 31), field(1, 12, months), field(0, 6, days)])
+        zone = r.choice(["", "", "", "TZ=America/New_York ", "CRON_TZ=Europe/Berlin ", "TZ=Asia/Kolkata ", "TZ=Australia/Lord_Howe  "])
+        rows.append((zone + schedule, datetime(2023, 1, 1) + timedelta(seconds=r.randint(0, 3 * 366 * 86400))))
+    for base in (datetime(2024, 3, 10, 5), datetime(2024, 11, 3, 3), datetime(2024, 4, 6, 13), datetime(2024, 10, 5, 13)):
+        for k in range(0, 240, 17):
+            for fields in ("30 1 * * *", "30 2 * * *", "*/20 * * * *", "5 1-2 * * *", "0 2 10 3 *"):
+                for zone in ("America/New_York", "Australia/Lord_Howe"):
+                    rows.append((f"TZ={zone} {fields}", base + timedelta(minutes=k)))
+    texts = ["@every 30s", "@every 1h30m", "@every 1.5s", "@every 10ms", "@every 1.2.3s", "@every soon", "@every ", "@daily", " @weekly ", "@Daily", "@yearly", "TZ=UTC", "TZ=Nowhere/Land 0 0 * * *", "CRON_TZ=UTC @every 5m", "", " ", "* * * *", "* * * * * *", "0 0 31 2 *", "0 0 29 2 *", "0 0 30 2 mon", "1-2-3 * * * *", "*-5 * * * *", "a * * * *", "0 0 * jan-mar sun-tue", "60 * * * *", "99999999999999999999 * * * *", "0,0 0 1,15 */2 ?", "0 0 * * 7", "5-1 * * * *"]
+    rows += [(t, datetime(2024, 2, 28, 23, 59, 30)) for t in texts] + [(None, datetime(2024, 1, 1)), ("* * * * *", None)]
+
+    def plain(schedule, after):
+        try:
+            return next_time(schedule, after) if schedule and after else None
+        except ValueError:
+            return None
+
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, schedule string, after timestamp_ntz")
+    got = frame.select("i", next_run(F.col("schedule"), F.col("after")).alias("at"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString().split("LocalTableScan")[0]
+    for i, found in got.collect():
+        assert found == plain(*rows[i]), rows[i]
+
+
 def test_cron_locks(spark):
     rows = spark.createDataFrame([("free", None, None), ("over", "w1", T0 - MINUTE), ("mine", "w2", T0 + MINUTE), ("theirs", "w1", T0 + MINUTE)], "id string, locked_by string, locked_until timestamp_ntz")
     claims = spark.createDataFrame([(i, w, T0) for i in ("free", "over", "mine", "theirs") for w in ("w2", "w3")], "cron_id string, worker_id string, claimed_at timestamp_ntz")
