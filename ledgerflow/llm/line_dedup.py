@@ -16,7 +16,8 @@ joined with one other only: the work follows the number of lines, however often
 Defined results: blank lines count for nothing and go only inside a deleted run; a null text stays
 null, an empty one empty; passages below ``GRAM`` words stay; rows with equal id and equal text
 count as one document and are treated alike; a null id comes before all others; an empty table gives no rows.
-A very long text is one row's arrays: its lines, and for each fingerprint up to 100 keys. Other columns pass
+A very long text is one row's arrays, its lines and for each fingerprint up to 100 keys, and one task's work in proportion to
+its lines. Other columns pass
 through, whatever their names but __id, __th and __runs; one called n_lines_cut is replaced.
 """
 
@@ -29,6 +30,8 @@ from ledgerflow.llm.common import WORD, staged, text_of
 
 GRAM, SPAN = 30, 20
 REACH = GRAM + SPAN
+#: Lines of a text that are joined as one row, besides those around them.
+CHUNK = 256
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,7 +54,7 @@ def _grams(lines: DataFrame) -> DataFrame:
         f"(a, y) -> CASE WHEN a.w >= {SPAN} THEN a WHEN y.g IS NOT NULL AND (a.g IS NULL OR y.g <= a.g) THEN named_struct('w', a.w + y.w, 'g', y.g, 's', y.s, 'n', y.n) "
         "ELSE named_struct('w', a.w + y.w, 'g', a.g, 's', a.s, 'n', a.n) END, a -> named_struct('g', a.g, 's', a.s, 'n', a.n))), f -> f.g IS NOT NULL))"
     )
-    found = lines.withColumn("grams", F.expr(gram)).withColumn("found", F.explode(F.expr(least)))
+    fingerprints = lines.withColumn("grams", F.expr(gram)).select("id", "th", "lines", F.expr(least).alias("least"))
 
     def around(side: int, beside: str) -> str:
         """The keys with ever more lines on one side; ``beside``: those lines, nearest first."""
@@ -60,9 +63,11 @@ def _grams(lines: DataFrame) -> DataFrame:
             f"CASE WHEN a.w >= {REACH} THEN a ELSE named_struct('w', a.w + l.w, 'h', xxhash64(a.h, l.h), 'keys', concat(a.keys, array(xxhash64(a.h, l.h)))) END, a -> a.keys)"
         )
 
-    before, behind = "reverse(slice(lines, greatest(found.s - {0}, 1), least(found.s - 1, {0})))".format(REACH), "slice(lines, found.s + found.n, size(lines))"
+    before, behind = "reverse(slice(lines, greatest(found.s - {0}, 1), least(found.s - 1, {0})))".format(REACH), "slice(lines, found.s + found.n, {0})".format(REACH)
     keys = f"concat(array(found.g), {around(1, before)}, {around(2, behind)})"
-    return found.select("id", "th", F.col("found.s").alias("at"), F.explode(F.expr(keys)).alias("g"))
+    # Keys are made beside the arrays that they come from; what is exploded carries none of these.
+    keyed = fingerprints.select("id", "th", F.explode(F.expr(f"transform(least, found -> named_struct('at', found.s, 'keys', {keys}))")).alias("f"))
+    return keyed.select("id", "th", "f.at", F.explode("f.keys").alias("g"))
 
 
 def _same(a: str, b: str) -> str:
@@ -77,14 +82,17 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct("id", "th", "at")
     first = staged(grams.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     pairs = staged(grams.join(first, "g").where(~place.eqNullSafe(F.col("first"))).select("id", "th", "at", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.at").alias("fat")).distinct())
-    # The lines around both places: REACH before, and REACH behind the gram.
-    around = lambda at: f"slice(lines, greatest({at} - {REACH}, 1), {2 * REACH + GRAM})"
-    before = lambda at: f"{at} - greatest({at} - {REACH}, 1)"
-    key = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    own = lines.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "lines")
+    # The lines around both places: REACH before, and REACH behind the gram. A place meets the chunk of its text that has them.
+    around = lambda at: f"slice(c.lines, greatest({at} - c.skip - {REACH}, 1), {2 * REACH + GRAM})"
+    before = lambda at: f"{at} - c.skip - greatest({at} - c.skip - {REACH}, 1)"
+    chunk = lambda at: F.floor((F.col(at) - 1) / CHUNK)
+    skip = f"greatest(k * {CHUNK} - {REACH}, 0)"
+    cut = f"transform(sequence(0, cast(floor((size(lines) - 1) / {CHUNK}) AS int)), k -> named_struct('k', k, 'skip', {skip}, 'lines', slice(lines, {skip} + 1, {CHUNK + 2 * REACH + GRAM})))"
+    own = lines.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.explode(F.expr(cut)).alias("c")).withColumn("__k", F.col("c.k"))
+    key = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (chunk("at") == F.col("__k"))
     here = pairs.join(own, key).select("id", "th", "fid", "fth", "fat", F.expr(f"transform({around('at')}, l -> l.h)").alias("h"), F.expr(f"transform({around('at')}, l -> l.p)").alias("p"), F.expr(before("at")).alias("left"))
     # Many places may have the same first one: a join that is split where it is skewed.
-    key = F.col("fid").eqNullSafe(F.col("__id")) & (F.col("fth") == F.col("__th"))
+    key = F.col("fid").eqNullSafe(F.col("__id")) & (F.col("fth") == F.col("__th")) & (chunk("fat") == F.col("__k"))
     both = here.join(own, key).select("id", "th", "h", "p", "left", F.expr(f"transform({around('fat')}, l -> l.h)").alias("fh"), F.expr(before("fat")).alias("fleft"))
     right = _same("slice(h, left + 1, size(h))", "slice(fh, fleft + 1, size(fh))")
     back = _same("reverse(slice(h, 1, left))", "reverse(slice(fh, 1, fleft))")

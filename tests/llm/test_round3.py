@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -265,6 +266,57 @@ def test_recall_against_brute_force_with_links_at_the_limit(spark, monkeypatch):
     assert 0.95 * 1600 <= got <= 1600
 
 
+# --- pages ------------------------------------------------------------------
+
+LONG_TEXT = "Own text of the page that goes on and on. " * 9
+LONG = f"<p>{LONG_TEXT}</p>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<div class='layout has-sidebar'><article>{LONG}</article></div>", ["L"]),
+        (f"<div id='page' class='no-sidebar'><article>{LONG}</article><div class='sidebar'>side</div></div>", ["L"]),
+        (f"<div class='elementor-widget-wrap'><main>{LONG}</main></div>", ["L"]),
+        (f"<form id='aspnetForm'><article>{LONG}</article></form>", ["L"]),
+        (f"<div class='post-with-comments-count'>{LONG}</div>", ["L"]),
+        (f"<p class='share-price'>Prices</p><h2 id='related-work'>Work</h2>{LONG}", ["Prices", "Work", "L"]),
+        (f"<main>{LONG}<article class='card'>teaser</article></main>", ["L"]),
+        (f"<main><h1>Posts</h1><article>{LONG}</article><article>two {LONG_TEXT}</article></main>", ["L", "two L"]),
+        (f"<article>{LONG}<p class='ad'>Buy now</p><div class='cookie-consent-message'>c</div><div class='newsletter-signup-form-inline'>n</div><form>f</form></article>", ["L"]),
+        (f"<article>{LONG}<div class='user-comment'>u</div><div class='comment-list-item'>l</div><section id='comments'><article>s</article></section></article>", ["L"]),
+        (f"<main><article>{LONG}</article><div id='comments'><article>{LONG}</article><article>{LONG}</article></div></main>", ["L"]),
+        (f"<article>{LONG}</article><aside><article>{LONG}</article></aside><div hidden><main>{LONG}</main></div>", ["L"]),
+        (f"<div class='related-posts'><a href='x'>one</a> <a href='y'>two</a></div>{LONG}<div class='related-posts'>no links, some words</div>", ["L", "no links, some words"]),
+        (f"<article><h1>Title</h1><div class='entry-content'>{LONG}</div><footer>by me</footer></article>", ["Title", "L"]),
+        ("<div class='comments'><article>all there is</article></div>", ["all there is"]),
+    ],
+)
+def test_html_marks_drop_little_text_only(html, want):
+    from ledgerflow.llm import html_text
+
+    lines = html_text.lines_of(html)
+    marked = any(level for _, level, out in lines if not out)
+    assert [t.replace(LONG_TEXT.strip(), "L") for t, level, out in lines if not out and (level > 0) == marked] == want
+
+
+# --- lines ------------------------------------------------------------------
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    from ledgerflow.llm import line_dedup
+
+    def seconds(n):
+        r = random.Random(n)
+        text = "\n".join(" ".join(str(r.randint(0, 10**6)) for _ in range(8)) for _ in range(n))
+        began = time.perf_counter()
+        assert line_dedup.dedup_lines(docs(spark, {1: text + "\n" + text[: len(text) // 2], 2: text})).agg(F.sum("n_lines_cut")).first()[0] >= n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(6_000) < 3 * seconds(3_000) + 2
+
+
 # --- scopes -----------------------------------------------------------------
 
 
