@@ -281,6 +281,7 @@ def webhooks(events: DataFrame, tenant: Column | None = None) -> DataFrame:
     return rows.select("event_id", F.col("type").alias("event"), _by_type(3).alias("group"), (F.lit("") if tenant is None else tenant).alias("tenant"), payload.alias("payload"))
 
 
-def catalog(spark) -> DataFrame:
-    """The events a webhook can ask for, with their groups."""
-    return spark.createDataFrame([(kind, facts[3]) for kind, facts in EVENTS.items()], "event string, `group` string")
+def catalog(events: DataFrame) -> DataFrame:
+    """The events a webhook can ask for that there are, with their groups and numbers."""
+    rows = events.where(F.col("type").isin(*EVENTS))
+    return rows.groupBy(F.col("type").alias("event"), _by_type(3).alias("group")).agg(F.count("*").alias("n"))

@@ -43,6 +43,14 @@ def running_last(rows: DataFrame, by: list[str], value: str, out: str) -> DataFr
     return _with_carried(own, edges, by).withColumn(out, F.coalesce("__own", "__carried")).drop("__own", "__carried")
 
 
+def numbered(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """``rows`` of in_order() with their place in their group, from 0."""
+    across = Window.partitionBy(*by).orderBy("__part").rowsBetween(*_BEFORE)
+    edges = rows.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    edges = edges.select("__part", *by, (F.coalesce(F.sum("__rows").over(across), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return _with_carried(rows, edges, by).withColumn(out, F.col("__at") + F.col("__shift")).drop("__shift")
+
+
 def running_floor(rows: DataFrame, by: list[str], change: str, start: Column) -> DataFrame:
     """``rows`` of in_order() with ``__sum``, ``start`` and the changes of their group so far, and ``__floor``, the least that sum has
     been before the row, at most 0.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions import scalar
+from ledgerflow.functions import codec, scalar
 from ledgerflow.operators import admin, admission, changelog, cluster, cron, dlq, jobs, lifecycle, settle, workflow
 from ledgerflow.plans.views_sql import AS_OF as NOW
 from ledgerflow.plans.views_sql import over
@@ -211,6 +211,24 @@ def job_latest_state(spark, d):
     return changelog.latest(_log(spark, d), ["id"], [F.desc("ts"), F.desc("seq")])
 
 
+@query("jobs", f""", {_LOG} SELECT how, id, state, seq FROM (SELECT id, state, CASE seq WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS seq FROM log), (SELECT unnest(['batch', 'stream']) AS how) WHERE seq >= 2 AND state IN ('running', 'completed')""")
+def job_log_source(spark, d):
+    """The same mutations of a job log by a batch read with pushed filters and by a stream in order of their numbers."""
+    from ledgerflow.sources import log
+    from ledgerflow.store import Store
+
+    log.register(spark)
+    store = Store(spark, f"{shared_folder(spark)}/store_{uuid.uuid4().hex}")
+    rows, whole = _log(spark, d), e.jobs(spark, d).drop("state")
+    for seq in (0, 2, 1):
+        store.append("jobs", rows.where(F.col("seq") == seq).select("id", "state").join(whole, "id"))
+    wanted = lambda df: df.where("__seq >= 2 AND state IN ('running', 'completed')").select("id", "state", F.col("__seq").alias("seq"))
+    options = {"path": store.root, "entity": "jobs"}
+    batch = wanted(spark.read.format("entity_log").options(**options).load())
+    stream = streams.finished(wanted(spark.readStream.format("entity_log").options(**options).load()))
+    return batch.select(F.lit("batch").alias("how"), "*").unionByName(stream.select(F.lit("stream").alias("how"), "*"))
+
+
 @query("jobs", f"SELECT {_case('priority = 5', state=chr(39) + 'completed' + chr(39))} FROM jobs")
 def job_update(spark, d):
     all_ = e.jobs(spark, d)
@@ -624,12 +642,61 @@ def wait_match(spark, d):
     return cluster.oldest_unacked(matching).select("name", "event_id")
 
 
+def _step_id(prefix: str) -> str:
+    return f"'{prefix}_' || md5(strlen(run_id) || '|' || run_id || '|' || step_name)"
+
+
+_CHILD_STEPS = """, planned AS (SELECT id AS run_id, kind || ':one' AS step_name, CASE version WHEN 1 THEN 'wf_0' WHEN 2 THEN 'wf_1' ELSE 'wf_unknown' END AS name, CAST(substr(id, 7) AS BIGINT) AS k
+ FROM runs, (SELECT unnest(['child', 'spawn']) AS kind) WHERE state = 'running')"""
+
+
+def _child_steps(spark, d, kind):
+    """A step of every running run that starts another workflow, known or not, and the checkpoints that some have left."""
+    name = F.when(F.col("version") == 1, "wf_0").when(F.col("version") == 2, "wf_1").otherwise("wf_unknown")
+    runs = e.runs(spark, d).where("state = 'running'")
+    planned = runs.select(F.col("id").alias("run_id"), F.lit(f"{kind}:one").alias("step_name"), name.alias("name"), F.lit("{}").alias("input"), F.substring("id", 7, 10).cast("bigint").alias("k"))
+    done = planned.where("k % 10 = 0").select("run_id", "step_name", F.lit('"done"').alias("data"), _now().alias("created_at"))
+    return planned, done
+
+
+@query("runs", f"""{_CHILD_STEPS}, child AS (SELECT *, k % 3 <> 0 AND name <> 'wf_unknown' AND k % 10 <> 0 AS there, k % 10 = 0 AS cached FROM planned WHERE step_name = 'child:one'),
+facts AS (SELECT *, CASE WHEN NOT cached AND there AND k % 4 = 2 THEN 'child workflow "' || name || '" failed: boom' WHEN NOT cached AND NOT there AND name = 'wf_unknown' THEN 'no workflow "' || name || '"' END AS error, there AND k % 4 IN (1, 3) AS ended FROM child)
+SELECT run_id, step_name, cached, CASE WHEN cached OR ended THEN TRUE WHEN error IS NOT NULL THEN FALSE END AS ok, error, CASE WHEN cached THEN '"done"' WHEN ended THEN CASE k % 4 WHEN 1 THEN '{{"k":' || k || '}}' ELSE 'null' END END AS data FROM facts""")
+def child_results(spark, d):
+    """Steps that wait for a child run: from the checkpoint, from the child that ended, failed with it, or still open."""
+    planned, done = _child_steps(spark, d, "child")
+    versions = workflow.newest_versions(_registry(spark, d))
+    started = workflow.start_children(planned.where("k % 3 <> 0"), done, e.runs(spark, d), versions, _now())
+    k = F.substring("parent_run_id", 7, 10).cast("bigint")
+    state = F.when(k % 4 == 0, "running").when(k % 4 == 2, "failed").otherwise("completed")
+    ended = started.select("id", state.alias("state"), F.when(k % 4 == 1, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}"))).alias("output"), F.when(k % 4 == 2, "boom").alias("error"))
+    return workflow.child_results(planned, done, ended, versions)
+
+
+@query("runs", f"""{_CHILD_STEPS} SELECT run_id, step_name, k % 10 = 0 AS cached, k % 10 = 0 OR name <> 'wf_unknown' AS ok, CASE WHEN k % 10 <> 0 AND name = 'wf_unknown' THEN 'no workflow "' || name || '"' END AS error,
+CASE WHEN k % 10 = 0 THEN '"done"' WHEN name <> 'wf_unknown' THEN {_step_id("wfrun")} END AS data FROM planned WHERE step_name = 'spawn:one'""")
+def spawn_results(spark, d):
+    """Steps that start a run and go on with its id."""
+    planned, done = _child_steps(spark, d, "spawn")
+    return workflow.spawn_results(planned, done, workflow.newest_versions(_registry(spark, d)))
+
+
 @query("runs", f"SELECT id AS run_id, started_at AS since, version * 86400 AS seconds, started_at + to_seconds(version * 86400) AS wake_at FROM runs WHERE state = 'running' AND started_at + to_seconds(version * 86400) <= {NOW}")
 def sleep_due(spark, d):
     sleeps = e.runs(spark, d).where("state = 'running'").select(F.col("id").alias("run_id"), F.col("started_at").alias("since"), (F.col("version") * 86400).alias("seconds"))
     return workflow.due_sleeps(sleeps, _now())
 
 
+_K = "CAST(json_extract(payload, '$.k') AS BIGINT)"
+
+
+@query("bus_events", f"SELECT id, {_K} AS k, '81A16B' || CASE WHEN {_K} < 128 THEN printf('%02X', {_K}) WHEN {_K} < 256 THEN 'CC' || printf('%02X', {_K}) WHEN {_K} < 65536 THEN 'CD' || printf('%04X', {_K}) ELSE 'CE' || printf('%08X', {_K}) END AS packed, hex(encode(payload)) AS plain FROM bus_events")
+def event_codecs(spark, d):
+    """Payloads as MessagePack and back, and by a name that no codec has, which is JSON."""
+    rows = e.bus_events(spark, d).select("id", codec.encoded(F.col("payload"), "msgpack").alias("packed"), codec.encoded(F.col("payload"), "protobuf").alias("plain"))
+    return rows.select("id", F.get_json_object(codec.decoded(F.col("packed"), "msgpack"), "$.k").cast("bigint").alias("k"), F.hex("packed").alias("packed"), F.hex("plain").alias("plain"))
+
+
 # --- schedules --------------------------------------------------------------
 
 
@@ -1124,9 +1191,9 @@ def webhook_projection(spark, d):
     return lifecycle.webhooks(e.lifecycle(spark, d), F.col("topic")).drop("payload")
 
 
-@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[3]}')" for k, v in lifecycle.EVENTS.items()) + ") t(event, \"group\")")
+@query(_EVERY_VIEWS, f"{_EVERY} SELECT type AS event, CASE WHEN type LIKE 'job.%' THEN 'jobs' WHEN type LIKE 'workflow.%' THEN 'workflows' ELSE 'cron' END AS \"group\", count(*) AS n FROM every GROUP BY 1, 2")
 def webhook_catalog(spark, d):
-    return lifecycle.catalog(spark)
+    return lifecycle.catalog(_every(spark, d))
 
 
 _PARTS = ("ts < TIMESTAMP '2024-01-11 00:00:00'", "ts >= TIMESTAMP '2024-01-11 00:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00'", "ts >= TIMESTAMP '2024-01-21 00:00:00'")

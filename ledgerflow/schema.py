@@ -39,6 +39,8 @@ CRONS = _struct(
 DLQ = _struct(id=_S, job_id=_S, job_name=_S, queue=_S, payload=_S, error=_S, retry_count=_I, max_retries=_I, scope_app_id=_S, scope_org_id=_S, failed_at=_TS, replayed_at=_TS, created_at=_TS)
 EVENTS = _struct(id=_S, name=_S, payload=_S, scope_app_id=_S, scope_org_id=_S, acked=_B, created_at=_TS)
 WORKERS = _struct(id=_S, hostname=_S, queues=T.ArrayType(_S), concurrency=_I, state=_S, is_leader=_B, leader_until=_TS, last_seen=_TS, metadata=T.MapType(_S, _S), created_at=_TS)
+#: What a log has besides: the number of the mutation that wrote a row, and whether it deleted it.
+MUTATION = (T.StructField("__seq", _L), T.StructField("__deleted", _B))
 ENTITIES = {"jobs": JOBS, "runs": RUNS, "checkpoints": CHECKPOINTS, "crons": CRONS, "dlq": DLQ, "bus_events": EVENTS, "workers": WORKERS}
 
 

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.operators import admin, changelog, cluster, dlq, handlers, jobs, settle, workflow
-from ledgerflow.schema import ENTITIES, EngineConfig
-
-_LOG = [T.StructField("__seq", T.LongType()), T.StructField("__deleted", T.BooleanType())]
+from ledgerflow.schema import ENTITIES, MUTATION, EngineConfig
 
 
 class Store:
@@ -25,7 +23,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def log(self, entity: str) -> DataFrame:
-        schema = T.StructType([*ENTITIES[entity].fields, *_LOG])
+        schema = T.StructType([*ENTITIES[entity].fields, *MUTATION])
         path = f"{self.root}/{entity}"
         # A log that nothing was written to yet is empty.
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

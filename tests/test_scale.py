@@ -178,6 +178,91 @@ def test_inserts_shuffle_only_what_may_conflict(spark):
     assert bloom.taken(table, new, "id").count() <= 5
 
 
+# --- logs as a source -------------------------------------------------------
+
+
+def test_log_source_reads_by_number(spark, tmp_path):
+    from ledgerflow.sources import log
+    from ledgerflow.store import Store
+    from ledgerflow.streaming import lifecycle as streams
+
+    log.register(spark)
+    store, options = Store(spark, f"file://{tmp_path}"), {"path": f"file://{tmp_path}", "entity": "jobs"}
+    read = lambda: spark.read.format("entity_log").options(**options).load()
+    assert read().count() == 0
+    for k in range(1, 5):
+        store.append("jobs", spark.createDataFrame([(f"job_{i}", f"n{k}", T0, i) for i in range(k)], "id string, name string, run_at timestamp_ntz, priority int").repartition(2))
+    store.delete("jobs", ["job_0"])
+    assert values(read(), "id", "name", "priority", "run_at", "__seq", "__deleted") == values(store.log("jobs"), "id", "name", "priority", "run_at", "__seq", "__deleted")
+    some = read().where("__seq >= 3 AND __seq < 5 AND id IN ('job_0', 'job_2') AND name LIKE 'n%'")
+    assert values(some, "id", "__seq") == [("job_0", 3), ("job_0", 4), ("job_2", 3), ("job_2", 4)]
+    assert read().where("__seq = 2").rdd.getNumPartitions() <= 2 < read().rdd.getNumPartitions()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    left = plan.split("Filter", 1)[1].split("\n")[0]
+    assert "StartsWith" in left and "__seq" not in left
+    stream = spark.readStream.format("entity_log").options(**options).load().select("id", "__seq", "__deleted")
+    assert values(streams.finished(stream)) == values(store.log("jobs"), "id", "__seq", "__deleted")
+    begin, end = {"seq": 1}, {"seq": 3}
+    reader = log.LogStream(log.EntityLog({"entity": "jobs"}).schema(), options)
+    assert {tuple(r[c] for c in ("id", "__seq")) for p in reader.partitions(begin, end) for b in reader.read(p) for r in b.to_pylist()} == {(f"job_{i}", k) for k in (2, 3) for i in range(k)}
+    assert reader.latestOffset() == {"seq": 5}
+
+
+# --- sinks ------------------------------------------------------------------
+
+
+def test_sink_forgets_tries_that_broke_off(spark, tmp_path):
+    from ledgerflow.streaming import sink
+
+    path, kind = f"file://{tmp_path}/sink", "id bigint"
+    assert sink.written(spark, path, kind).count() == 0
+    put = sink.write_once(path)
+
+    def broken(batch):
+        raise RuntimeError("broken")
+
+    put(spark.range(3), 0)
+    put(spark.range(100, 103), 0)  # delivered again: skipped
+    spark.range(50).write.parquet(f"{path}/rows/batch=1")  # written, but the try ended before its mark
+    assert values(sink.written(spark, path, kind)) == [(0,), (1,), (2,)]
+    with pytest.raises(RuntimeError):
+        sink.write_once(path, broken)(spark.range(9), 2)
+    put(spark.range(10, 12), 1)
+    put(spark.range(20, 21), 2)
+    assert values(sink.written(spark, path, kind)) == [(0,), (1,), (10,), (11,), (2,), (20,)]
+
+
+# --- codecs -----------------------------------------------------------------
+
+
+def test_msgpack_bytes_of_the_public_format(spark):
+    from ledgerflow.functions import codec
+
+    known = {
+        "null": "C0", "false": "C2", "true": "C3", "0": "00", "127": "7F", "128": "CC80", "256": "CD0100", "65536": "CE00010000", "4294967296": "CF0000000100000000", "-1": "FF", "-32": "E0", "-33": "D0DF", "-129": "D1FF7F",
+        "-32769": "D2FFFF7FFF", "-2147483649": "D3FFFFFFFF7FFFFFFF", "1.5": "CB3FF8000000000000", '""': "A0", '"é"': "A2C3A9", "[]": "90", "[1,[2]]": "92019102", "{}": "80", '{"a":{"b":[null,true]}}': "81A16181A16292C0C3",
+        '"' + "x" * 40 + '"': "D928" + "78" * 40, "[" + ",".join("1" * 20) + "]": "DC0014" + "01" * 20, '"' + "y" * 300 + '"': "DA012C" + "79" * 300, "{" + ",".join(f'"{chr(97 + i)}":0' for i in range(16)) + "}": "DE0010" + "".join(f"A1{97 + i:02X}00" for i in range(16)),
+    }
+    frame = spark.createDataFrame([(t,) for t in known] + [(None,)], "t string")
+    got = frame.select("t", codec.encoded(F.col("t"), "msgpack").alias("b")).select("t", F.hex("b").alias("hex"), codec.decoded(F.col("b"), "msgpack").alias("back"), codec.decoded(codec.encoded(F.col("t"), "other"), None).alias("plain"))
+    for row in got.collect():
+        assert row.hex == (known[row.t] if row.t is not None else None) and row.back == row.t == row.plain
+    assert codec.unpack(bytes.fromhex("CA3FC00000")) == 1.5 and codec.unpack(bytes.fromhex("C4026162")) == "ab"
+    for bad in ("", "C1", "A5", "92 01", "C0 C0", "CD 00"):
+        with pytest.raises(ValueError):
+            codec.unpack(bytes.fromhex(bad))
+
+
+def test_metrics_by_ranges_are_exact(spark):
+    from ledgerflow.operators import settle
+
+    r = random.Random(7)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.choice([None, r.randint(0, 50), r.randint(0, 10**6)]), r.random() < 0.8) for _ in range(700)] + [("none", None, True), ("one", 5, False)]
+    frame = spark.createDataFrame(rows, "name string, elapsed_ms bigint, ok boolean")
+    want = frame.groupBy("name").agg(F.count("*").alias("executions"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.percentile("elapsed_ms", 0.95), 6).alias("p95_ms"), F.max("elapsed_ms").alias("max_ms"))
+    assert values(settle.metrics(frame).withColumn("p95_ms", F.round("p95_ms", 6))) == values(want)
+
+
 # --- pages ------------------------------------------------------------------
 
 
