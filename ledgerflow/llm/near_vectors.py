@@ -20,8 +20,12 @@ Defined results: a vector that is null, zero (or so small that its length has no
 with nothing; it is a component of its own. Vectors of different lengths don't link. Rows without an id take no part: no links,
 no component, not kept, and no one's link. Rows alike in id and vector, and other rows of one id, each count and get a
 row; a component's id is its least id, and every row of that id with the component's vectors is kept. An empty table gives no rows.
-Only the id and the vector are read, whatever other columns there are. A cell of g vectors costs g * g / 2 products, which no
-link needs to leave its task for.
+Only the id and the vector are read, whatever other columns there are.
+
+A hot cell, of more than ``BLOCK_ROWS`` classes, has a pivot. Whatever lies within half the limit's angle of it is linked among
+itself, by the triangle inequality, so these links are sums and cost nothing more; only the rest of the cell, and what visits it from
+farther away, meets them. So a large group of near copies costs work in proportion to its size. Only a hot cell that
+is no such group costs the square of it, in blocks.
 """
 
 from __future__ import annotations
@@ -231,21 +235,70 @@ def links(classes: DataFrame, least: float = LEAST, recall: float = RECALL, bloc
     frame (c, rows, v) of distinct usable vectors."""
     with arrow_rows(classes.sparkSession, 2000):
         placed = staged(classes.mapInArrow(_assign(fit(classes, least, recall)), f"c bigint, rows bigint, v {dict(classes.dtypes)['v']}, dim int, home bigint, later array<bigint>"))
-    cell = [F.col("dim"), F.col("home")]
-    guests = placed.select("dim", F.explode("later").alias("home")).groupBy(*cell).agg(F.count("*").alias("guests"))
-    cells = placed.groupBy(*cell).agg(F.count("*").alias("hosts")).join(guests, ["dim", "home"], "left")
-    blocks, parts = F.ceil(F.col("hosts") / block_rows), F.ceil((F.coalesce("guests", F.lit(0)) + F.col("hosts")) / (2 * block_rows))
-    cells = staged(cells.select(F.col("dim").alias("d"), F.col("home").alias("cell"), blocks.cast("int").alias("blocks"), F.greatest(parts, F.lit(1)).cast("int").alias("parts")))
+    visits = placed.select("c", "rows", "v", "dim", F.explode("later").alias("home"))
+    row, cell = ["c", "rows", "v", "dim", "home"], ["dim", "home"]
+    guests = visits.groupBy(*cell).agg(F.count("*").alias("guests"))
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("hosts")).join(guests, cell, "left").withColumn("guests", F.coalesce("guests", F.lit(0)))
+    cells = staged(cells.select(F.col("dim").alias("d"), F.col("home").alias("cell"), "hosts", "guests"))
+    balls = _balls(placed.select(*row), visits, cells.where(F.col("hosts") > block_rows), least)
+    cells = cells.join(balls, ["d", "cell"], "left").fillna(0, ["ball_hosts", "ball_guests", "host_rows", "guest_rows"])
+    number = lambda n, of: F.ceil(n / of).cast("int")
+    apart = F.col("hosts") - F.col("ball_hosts")
+    sizes = [number(F.col("ball_hosts"), block_rows).alias("blocks0"), number(apart, block_rows).alias("blocks1")]
+    sizes += [F.greatest(number(n, 2 * block_rows), F.lit(1)).alias(f"parts{k}") for k, n in enumerate((apart + F.col("guests") - F.col("ball_guests"), apart + F.col("guests")))]
+    cells = staged(cells.select("d", "cell", "pivot", "first", "host_rows", "guest_rows", *sizes))
+    near = F.coalesce(_cosine("v", "pivot") >= _half(least), F.lit(False))
+    here = lambda df: df.join(cells, (F.col("dim") == F.col("d")) & (F.col("home") == F.col("cell"))).withColumn("ball", near)
+    hosts, guests = here(placed.select(*row)), here(visits)
     salt = F.xxhash64("c")
-    block, part = F.pmod(salt, F.col("blocks")).cast("int"), F.pmod(F.xxhash64(salt), F.col("parts")).cast("int")
-    hosts = placed.join(cells, (F.col("dim") == F.col("d")) & (F.col("home") == F.col("cell"))).withColumn("block", block).withColumn("part", part)
-    row = ["c", "rows", "v", "d", "cell"]
-    host = hosts.select(*row, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"))
-    beside = hosts.where("block > 0").select(*row, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), "part", F.lit(False).alias("home"))
-    visit = placed.select("c", "rows", "v", "dim", F.explode("later").alias("to")).join(cells, (F.col("dim") == F.col("d")) & (F.col("to") == F.col("cell")))
-    visit = visit.select(*row, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(False).alias("home"))
-    met = host.unionByName(beside).unionByName(visit).withColumn("within", F.col("part") == 0)  # a block's own pairs are one part's
-    return staged(met.groupBy("d", "cell", "block", "part").applyInArrow(_verify(least), "c bigint, n bigint, root bigint"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def visiting(df: DataFrame, kind: int) -> DataFrame:
+        """Rows that meet all blocks of a kind."""
+        some = df.where(F.col(f"blocks{kind}") > 0)
+        return some.select("c", "rows", "v", "d", "cell", F.lit(kind).alias("kind"), upto(F.col(f"blocks{kind}")).alias("block"), _part(kind, salt).alias("part"), F.lit(False).alias("home"))
+
+    own = []
+    for kind in (0, 1):
+        some = hosts.where(F.col("ball") == (kind == 0)).withColumn("block", F.pmod(salt, F.col(f"blocks{kind}")).cast("int"))
+        own.append(some.select("c", "rows", "v", "d", "cell", F.lit(kind).alias("kind"), "block", upto(F.col(f"parts{kind}")).alias("part"), F.lit(True).alias("home")))
+        if kind:
+            own.append(some.where("block > 0").select("c", "rows", "v", "d", "cell", F.lit(kind).alias("kind"), upto(F.col("block")).alias("block"), _part(kind, salt).alias("part"), F.lit(False).alias("home")))
+    met = own + [visiting(hosts.where("NOT ball"), 0), visiting(guests.where("NOT ball"), 0), visiting(guests, 1)]
+    whole = met[0]
+    for some in met[1:]:
+        whole = whole.unionByName(some)
+    # The pairs within a block are those of one part; within a ball they are sums.
+    whole = whole.withColumn("within", (F.col("part") == 0) & (F.col("kind") == 1))
+    found = whole.groupBy("d", "cell", "kind", "block", "part").applyInArrow(_verify(least), "c bigint, n bigint, root bigint")
+    sums = hosts.where("ball").select("c", (F.col("host_rows") - F.col("rows") + F.col("guest_rows")).alias("n"), F.col("first").alias("root"))
+    sums = sums.unionByName(guests.where("ball").select("c", F.col("host_rows").alias("n"), F.col("first").alias("root")))
+    return staged(found.unionByName(sums.where("n > 0")))
+
+
+def _part(kind: int, salt: Column) -> Column:
+    return F.pmod(F.xxhash64(salt), F.col(f"parts{kind}")).cast("int")
+
+
+def _cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def _half(least: float) -> float:
+    """The cosine of half the limit's angle, and a little for rounding: what is that near to one vector is linked among itself."""
+    return ((1 + max(least, -1.0)) / 2) ** 0.5 + 1e-9 if least < 1 else 2.0
+
+
+def _balls(hosts: DataFrame, visits: DataFrame, hot: DataFrame, least: float) -> DataFrame:
+    """(d, cell, pivot, first, ball_hosts, host_rows, ball_guests, guest_rows) of hot cells: the pivot is the vector with the least hash, its
+    ball the hosts and guests within half the limit's angle."""
+    key = (F.col("dim") == F.col("d")) & (F.col("home") == F.col("cell"))
+    order = F.struct(F.xxhash64("c"), "c")
+    pivots = staged(hosts.join(hot, key).groupBy("d", "cell").agg(F.min_by("v", order).alias("pivot"), F.min_by("c", order).alias("first")))
+    near = lambda df, n, w: df.join(pivots, key).where(_cosine("v", "pivot") >= _half(least)).groupBy("d", "cell").agg(F.count("*").alias(n), F.sum("rows").alias(w))
+    own, met = near(hosts, "ball_hosts", "host_rows"), near(visits, "ball_guests", "guest_rows")
+    return staged(pivots.join(own, ["d", "cell"], "left").join(met, ["d", "cell"], "left"))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, recall: float = RECALL, block_rows: int = BLOCK_ROWS) -> DataFrame:

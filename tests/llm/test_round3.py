@@ -229,6 +229,20 @@ def test_near_vectors_equal_all_pairs(spark, block_rows, monkeypatch):
         assert got == want
 
 
+def test_a_hot_group_of_near_copies_is_summed(spark):
+    """A group over several cells, vectors around it and far away, copies of some; blocks of 50 rows."""
+    r = np.random.default_rng(10)
+    middle = r.standard_normal(24)
+    middle /= np.linalg.norm(middle)
+    near = [(middle + s * r.standard_normal(24)).tolist() for s in r.choice([0.005, 0.02, 0.03, 0.06, 0.09], 600, p=[0.3, 0.3, 0.2, 0.1, 0.1])]
+    rows = list(enumerate(near + near[:40] + [v for _, v in noisy_groups(3, 60, 3)]))
+    frame = vectors(spark, rows).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = Counter(tuple(x) for x in near_vectors.near_vectors(frame, block_rows=50).collect())
+    want = plain_links([(x.vec_id, x.embedding) for x in frame.collect()])
+    found, there = sum(k[1] * n for k, n in got.items()), sum(k[1] * n for k, n in want.items())
+    assert 0.97 * there <= found <= there and (found < there or got == want)
+
+
 def test_near_vectors_of_none(spark):
     assert near_vectors.near_vectors(vectors(spark, [(1, [1.0])]).limit(0)).count() == 0
     assert values(near_vectors.near_vectors(vectors(spark, [(1, [1.0]), (2, None)]))) == [(1, 0, 1, True), (2, 0, 2, True)]
