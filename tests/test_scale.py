@@ -72,7 +72,7 @@ def test_waits_of_one_name_and_long_timeouts_are_linear(spark):
     events = ids.select(F.concat(F.lit("e"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.lit("one").alias("name"), F.lit(False).alias("acked"), second(F.col("id") * 3 + 1).alias("created_at"))
     began = time.time()
     found = workflow.first_event(waits, events).where("event_id = concat('e', lpad(wait_id, 6, '0'))").count()
-    assert found == n and time.time() - began < 20
+    assert found == n and time.time() - began < 60
 
 
 # --- credits ----------------------------------------------------------------
