@@ -11,8 +11,11 @@ one class. A pair of classes is linked when the sets' Jaccard similarity is at l
 2. A linked pair shares a token of both prefixes under any one order of all tokens: the tokens but
    for those behind which too few are left. Under the first order, rarest first, prefix tokens
    become posting lists. A posting tells the largest partner that the tokens from there on still
-   allow; a pair must be allowed both ways in the list of its first common token. Under two more
-   orders (rarest first, ties by other hashes) prefixes become bit sets that must meet as well.
+   allow; a pair must be allowed both ways in the list of its first common token. Two more orders, by
+   hash and the most frequent first, have longer prefixes, in which a linked pair shares a quarter of the
+   tokens that it must share. What an order lets pass goes to the next one: the order by hash drops pairs
+   with few common tokens, however rare, and the most frequent first those that have other templates
+   around common passages. Only what all three let pass is verified.
 3. In each list, every class is compared with the list's pivot, the class whose tokens are the most
    frequent: in a group of edited copies that is the text they come from. Links make components.
 4. What is left are postings that allow a partner in another component of their list: those pairs
@@ -58,8 +61,10 @@ OFTEN, MET = 1 / 32, 16
 COPIES = 1 / 1000
 #: Postings of a list that one salt takes.
 LIST = 1000
-#: Salts of the orders behind the first.
-ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Salt of the order by hash.
+SALT = 0x5851F42D4C957F2D
+#: A linked pair shares that part of its common tokens in the prefixes of the orders behind the first: 1 in ASKED.
+ASKED = 4
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -240,7 +245,7 @@ def _count(groups: int):
     return run
 
 
-CORE = "key bigint, n bigint, tokens binary, prefix array<bigint>, most array<bigint>, frequent double, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+CORE = "key bigint, n bigint, tokens binary, prefix array<bigint>, most array<bigint>, frequent double, asked bigint, hashed array<int>, common array<int>"
 
 
 def _need(n: np.ndarray) -> np.ndarray:
@@ -274,20 +279,23 @@ def _classify(table: pa.Table) -> pa.Table:
     ends = np.cumsum(np.bincount(of[use], minlength=len(keys)))
     prefix = split(tokens[order][use].view(np.int64), ends)
     most = split(most[use], ends)
-    bits = []
-    longest = n - _need(n) + 1
-    for salt in ORDERS:
-        order = np.lexsort((_mix(tokens ^ np.uint64(salt)), dfs, doc))
-        inside = alone[of] + within < longest[of]
-        bit = (_mix(tokens[order][inside]) >> np.uint64(57)).astype(np.int64)
-        mask = np.zeros((len(keys), 128), dtype=np.uint8)
-        mask[of[inside], bit] = 1
-        bits += list(np.ascontiguousarray(np.packbits(mask, axis=1)).view("<i8").reshape(-1, 2).T)
+    # The first common tokens, as many as the smaller ``asked`` of a pair, lie in both prefixes: behind the last of them are
+    # at most all but so many of the tokens that either one must share.
+    asked = np.maximum(_need(n) // ASKED, 1)
+    inside = alone[of] + within < (n - _need(n) + asked)[of]
+    ends = np.cumsum(np.bincount(of[inside], minlength=len(keys)))
+    hashed, common = (
+        split((tokens[order][inside] >> np.uint64(32)).astype(np.uint32).view(np.int32), ends) for order in (np.lexsort((_mix(tokens ^ np.uint64(SALT)), doc)), np.lexsort((tokens, -dfs, doc)))
+    )
     by_hash = tokens[np.lexsort((tokens, doc))]
+    # Tokens of a class with the same leading half count as one in those prefixes.
+    halves = by_hash >> np.uint64(32)
+    asked -= np.bincount(of[1:][(halves[1:] == halves[:-1]) & (of[1:] == of[:-1])], minlength=len(keys))
     frequent = np.bincount(doc, weights=np.log(dfs), minlength=len(keys)) / np.maximum(n, 1)
     columns = [
         pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in split(by_hash, np.cumsum(shared))], pa.binary()),
-        pa.array(prefix, pa.list_(pa.int64())), pa.array(most, pa.list_(pa.int64())), pa.array(frequent, pa.float64()), *(pa.array(x, pa.int64()) for x in bits),
+        pa.array(prefix, pa.list_(pa.int64())), pa.array(most, pa.list_(pa.int64())), pa.array(frequent, pa.float64()),
+        pa.array(asked, pa.int64()), pa.array(hashed, pa.list_(pa.int32())), pa.array(common, pa.list_(pa.int32())),
     ]
     return pa.Table.from_arrays(columns, names=[x.split()[0] for x in CORE.split(", ")])
 
@@ -313,27 +321,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], names=["a", "b"])
 
 
+def agreed(pairs: DataFrame, core: DataFrame, orders: tuple[str, ...] = ("hashed", "common")) -> DataFrame:
+    """The pairs (a, b) that share as much in their prefixes under each of the orders behind the first as linked ones do."""
+    side = F.struct("asked", *orders)
+    met = pairs.select("a", "b").join(core.select(F.col("key").alias("a"), side.alias("x")), "a").join(core.select(F.col("key").alias("b"), side.alias("y")), "b")
+    for order in orders:
+        met = met.where(F.size(F.array_intersect(f"x.{order}", f"y.{order}")) >= F.least("x.asked", "y.asked"))
+    return met.select("a", "b")
+
+
 def links(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     one = core.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = core.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return staged(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint"))
-
-
-_BITS = ["b0", "b1", "b2", "b3"]
+    return staged(agreed(pairs, core).join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint"))
 
 
 def _allowed(x: str, y: str):
     """Two postings of one token whose classes may be linked."""
-    meet = [f"(({x}.b{k} & {y}.b{k}) | ({x}.b{k + 1} & {y}.b{k + 1})) <> 0" for k in (0, 2)]
-    return F.expr(f"{y}.n <= {x}.most AND {x}.n <= {y}.most AND {' AND '.join(meet)}")
+    return F.expr(f"{y}.n <= {x}.most AND {x}.n <= {y}.most")
+
+
+def _meetings(listed: DataFrame, among: str = "true") -> DataFrame:
+    """(a, b), a < b: the classes with postings x in one list t that may be linked. Long lists are salted on one side."""
+    lengths = listed.groupBy("t").agg(F.count("*").alias("length")).where("length > 1").select("t", F.ceil(F.col("length") / LIST).alias("salts"))
+    salted = staged(listed.join(lengths, "t"))
+    one = salted.select("t", "x", F.pmod(F.xxhash64("x.key"), "salts").alias("salt"))
+    two = salted.select(F.col("t").alias("t2"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt2"))
+    met = one.join(two, (F.col("t") == F.col("t2")) & (F.col("salt") == F.col("salt2")) & F.expr(f"x.key < y.key AND ({among})") & _allowed("x", "y"))
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
 def linked_components(core: DataFrame) -> DataFrame:
     """(node, root): the classes with links to other classes, by class key."""
-    postings = core.select("key", "n", "frequent", *_BITS, F.explode(F.arrays_zip("prefix", "most")).alias("p"))
-    postings = postings.select(F.col("p.prefix").alias("t"), "key", "n", F.col("p.most").alias("most"), "frequent", *_BITS)
-    posting = F.struct("key", "n", "most", *_BITS)
+    postings = core.select("key", "n", "frequent", F.explode(F.arrays_zip("prefix", "most")).alias("p"))
+    postings = postings.select(F.col("p.prefix").alias("t"), "key", "n", F.col("p.most").alias("most"), "frequent")
+    posting = F.struct("key", "n", "most")
     # Every list's pivot.
     pivots = staged(postings.groupBy("t").agg(F.max_by(posting, F.struct("frequent", "key")).alias("y"), F.count("*").alias("length")).where("length > 1").select("t", "y"))
     met = postings.select("t", posting.alias("x")).join(pivots, "t").where(F.expr("x.key <> y.key") & _allowed("x", "y"))
@@ -355,9 +378,8 @@ def linked_components(core: DataFrame) -> DataFrame:
         (F.when(F.col("root") == F.col("small.root"), F.col("small2")).otherwise(F.col("small.least")) <= F.col("most"))
         & (F.col("n") <= F.when(F.col("root") == F.col("large.root"), F.col("large2")).otherwise(F.col("large.largest")))
     )
-    active = staged(active.select("t", F.struct("key", "n", "most", "root", *_BITS).alias("x")))
-    rest = active.join(active.select(F.col("t").alias("t2"), F.col("x").alias("y")), (F.col("t") == F.col("t2")) & F.expr("x.key < y.key AND x.root <> y.root") & _allowed("x", "y"))
-    rest = rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    active = staged(active.select("t", F.struct("key", "n", "most", "root").alias("x")))
+    rest = _meetings(active, "x.root <> y.root").join(tried, ["a", "b"], "left_anti")
     more = links(rest, core)
     return roots if more.isEmpty() else staged(components(found.union(more)))
 
@@ -391,17 +413,16 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return out.select(F.col("id").alias(id_col), "text_hash", F.col("root").alias("group"))
 
 
+def candidates(core: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that the first order lets pass."""
+    postings = core.select("key", "n", F.explode(F.arrays_zip("prefix", "most")).alias("p"))
+    return _meetings(postings.select(F.col("p.prefix").alias("t"), F.struct("key", "n", F.col("p.most").alias("most")).alias("x")))
+
+
 def linked_pairs(core: DataFrame) -> DataFrame:
     """(a, b), a < b: every link between classes, those inside a component too. Unlike linked_components(),
-    the work follows the number of pairs, as the result does. Long lists are salted on one side."""
-    postings = core.select("key", "n", *_BITS, F.explode(F.arrays_zip("prefix", "most")).alias("p"))
-    postings = postings.select(F.col("p.prefix").alias("t"), F.struct("key", "n", F.col("p.most").alias("most"), *_BITS).alias("x"))
-    lengths = postings.groupBy("t").agg(F.count("*").alias("length")).where("length > 1").select("t", F.ceil(F.col("length") / LIST).alias("salts"))
-    listed = staged(postings.join(lengths, "t"))
-    one = listed.select("t", "x", F.pmod(F.xxhash64("x.key"), "salts").alias("salt"))
-    two = listed.select(F.col("t").alias("t2"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt2"))
-    met = one.join(two, (F.col("t") == F.col("t2")) & (F.col("salt") == F.col("salt2")) & F.expr("x.key < y.key") & _allowed("x", "y"))
-    return links(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), core)
+    the work follows the number of pairs, as the result does."""
+    return links(candidates(core), core)
 
 
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:

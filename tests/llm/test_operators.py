@@ -178,6 +178,34 @@ def test_near_links_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(texts) + 1 and max(want.values()) > 20
 
 
+def test_every_order_cuts_candidates(spark):
+    """Texts of whole passages: common articles in other templates, rare passages in common, and near copies."""
+    r = random.Random(4)
+    passage = [vocabulary_text(5000 + i, 40) for i in range(200)]
+    texts = {}
+    for i in range(60):  # a template of five passages that ten texts share, and five passages that two share
+        template, article = i % 6, i // 2
+        texts[i] = " ".join(passage[template * 5 : template * 5 + 5] + passage[30 + article * 5 : 35 + article * 5])
+    for i in range(100, 140):  # any eight of the passages
+        texts[i] = " ".join(r.sample(passage, 8))
+    for i in range(200, 220):  # a word of a text changed
+        w = texts[i - 100].split()
+        w[r.randrange(len(w))] = "changed"
+        texts[i] = " ".join(w)
+    frame = docs(spark, texts)
+    core = common.staged(near_dup.candidates_core(frame, common.staged(near_dup.classes(frame)), "doc_id", "text"))
+    pairs = common.staged(near_dup.candidates(core))
+    passed = {orders: {tuple(x) for x in near_dup.agreed(pairs, core, orders).collect()} for orders in [(), ("hashed",), ("common",), ("hashed", "common")]}
+    key = {r.doc_id: near_dup._key(near_dup.shingles(r.text)) for r in frame.collect()}
+    sets = brute_sets(texts)
+    linked = {tuple(sorted((key[a], key[b]))) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    print({orders: len(found) for orders, found in passed.items()}, len(linked))
+    one, two, both = passed[("hashed",)], passed[("common",)], passed[("hashed", "common")]
+    assert both == one & two and linked <= both and len(linked) >= 20
+    assert len(both) < min(len(one), len(two)) and max(len(one), len(two)) < len(passed[()])
+    assert {tuple(x) for x in near_dup.linked_pairs(core).collect()} == linked
+
+
 def test_near_duplicates_in_many_groups(spark, monkeypatch):
     texts = near_texts()
     frame = docs(spark, texts)
