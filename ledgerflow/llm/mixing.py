@@ -4,9 +4,9 @@ A document's rank within its source is a hash of its id, then a hash of id and t
 a row. Words are summed by source and hash bucket; the bucket where a source's budget runs out is
 split into finer buckets, and only that one, until it holds one hash; where several rows have that
 hash, the next key goes on from there. A document below its source's threshold is taken once more than
-the whole repeats its source is owed; the rest of the work is a filter. Nothing is sorted, and thresholds
-are nested: a larger budget takes all that a smaller one takes. So a source ends less than one
-document below its target, whatever ids repeat.
+the whole repeats its source is owed; the rest of the work is a filter. The document at which the budget runs
+out is taken if that comes nearer to the target. Nothing is sorted, and thresholds are nested: a larger budget
+takes all that a smaller one takes. So a source ends within half a document of its target, whatever ids repeat.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; null ids
 share their first hash; of rows with the same id and text, which are alike, any may be the ones taken,
@@ -102,7 +102,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def _threshold(narrow: DataFrame, goal: DataFrame, at: int, side) -> DataFrame:
     """``goal`` with the threshold of one more key: of the rows that equal all thresholds of the keys before, those
-    below it fit in what is left. ``done``: no other row has the threshold's value."""
+    below it fit in what is left, but for the last one, of which half does. ``done``: no other row has the threshold's value."""
     key, limit = KEYS[at], f"below_{KEYS[at]}"
     goal = goal.withColumn("settled", F.col("done"))
     bits = HASH_BITS
@@ -119,13 +119,14 @@ def _threshold(narrow: DataFrame, goal: DataFrame, at: int, side) -> DataFrame:
         cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("src").orderBy("cell"))).withColumnRenamed("src", "s")
         met = cells.join(side(goal.select("src", "left")), F.col("src").eqNullSafe(F.col("s")))
         # The boundary: the first cell that the budget does not cover whole.
-        boundary = F.struct("cell", (F.col("upto") - F.col("words")).alias("before"), "first", (F.col("first") == F.col("last")).alias("single"), (F.col("rows") == 1).alias("alone"))
+        boundary = F.struct("cell", "words", (F.col("upto") - F.col("words")).alias("before"), "first", (F.col("first") == F.col("last")).alias("single"), (F.col("rows") == 1).alias("alone"))
         edge = met.where(F.col("upto") > F.col("left")).groupBy("src").agg(F.min_by(boundary, "cell").alias("edge")).withColumnRenamed("src", "s")
         joined = goal.join(side(edge), F.col("src").eqNullSafe(F.col("s")), "left")
         covered = F.col("edge").isNull() & ~F.col("settled")
+        nearer = F.col("edge.alone") & (F.col("edge.words") < 2 * (F.col("left") - F.col("edge.before")))
         found = {
             "left": F.when(F.col("edge").isNull(), F.col("left")).otherwise(F.col("left") - F.col("edge.before")),
-            limit: F.when(covered, F.col(limit) + F.lit(width << LEVEL_BITS)).when(F.col("edge").isNull(), F.col(limit)).when(F.col("edge.single"), F.col("edge.first")).otherwise(F.col("edge.cell") * width),
+            limit: F.when(covered, F.col(limit) + F.lit(width << LEVEL_BITS)).when(F.col("edge").isNull(), F.col(limit)).when(F.col("edge.single"), F.col("edge.first") + nearer.cast("bigint")).otherwise(F.col("edge.cell") * width),
             "settled": F.col("settled") | F.coalesce(F.col("edge.single"), F.lit(True)),
             "done": F.col("done") | covered | F.coalesce(F.col("edge.alone"), F.lit(False)),
         }
@@ -152,7 +153,7 @@ goals AS (SELECT src, source_size, CASE WHEN level * weight <= cap OR cap / weig
 
 def mix_sql(documents: str = "documents") -> str:
     """DuckDB SQL for mix(): a document is taken once more if the running words of its source, in order of
-    the hashes, stay within what the whole repeats leave."""
+    the hashes, stay within what the whole repeats leave, or go beyond it by less than half the document."""
     digits = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)".format
     name = "coalesce(CAST(doc_id AS VARCHAR), '')"
     return f"""
@@ -163,5 +164,5 @@ met AS (SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN fl
                sum(d.size) OVER (PARTITION BY d.src ORDER BY d.h, d.h2 ROWS UNBOUNDED PRECEDING) AS upto
         FROM docs d JOIN goals g ON d.src IS NOT DISTINCT FROM g.src)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN upto <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN upto <= target - whole * source_size OR upto - size < target - whole * source_size AND size < 2 * (target - whole * source_size - (upto - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM met"""

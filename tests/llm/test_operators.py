@@ -527,7 +527,7 @@ def test_mixing_meets_its_targets(spark):
         assert math.isclose(r.target, target[s], rel_tol=1e-9, abs_tol=1e-6)
         taken[s] += r.taken
     largest = max(size.values())
-    assert all(target[s] - largest <= taken[s] <= target[s] + 1e-6 for s in by_source)
+    assert all(abs(target[s] - taken[s]) <= largest / 2 + 1e-6 for s in by_source)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame.repartition(7)).collect()))
 
 
@@ -538,7 +538,7 @@ def test_mixing_splits_repeated_ids(spark):
     taken = Counter()
     for r in mixing.mix(frame).collect():
         taken[{1: "a", None: "b", 3: "c"}[r.doc_id]] += r.taken
-    assert all(target[s] - 10 < taken[s] <= target[s] + 1e-6 for s in target)
+    assert all(abs(target[s] - taken[s]) <= 5 + 1e-6 for s in target)
     assert set(mixing.mix(frame, keep=True).columns) == {*frame.columns, mixing.MIX}
 
 
