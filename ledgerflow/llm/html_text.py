@@ -5,19 +5,25 @@ count. Of other elements, a name, a role or the words of a class or id may say t
 advert, a form or comments; whether they are left out is decided by what they hold: little of the page's
 text, mostly links, and not the page's only marked article. So a wrapper named for its sidebar stays, and
 comments in an article go. Where a page marks its article, the article's other lines are its text; of several marked parts all
-count, but where one holds others, either its own lines or theirs, whichever are more text. Where it doesn't, the page is paired with the one nearest by URL path on its
-host that has other lines (the neighbour in path order that shares more of the path), both pages' lines are aligned by
-longest common subsequence, and the lines they share are deleted. Differencing alone would also
-delete paragraphs that two neighbouring articles share, so marked articles are never cut by it.
+count, but where one holds others, either its own lines or theirs, whichever are more text.
 
-Neighbours come from a range partitioning of (host, path), so a host may hold any share of the pages.
+Every page is then paired with the one nearest by URL path on its host that has other lines (the neighbour in path order that
+shares more of the path), both pages' lines are aligned by longest common subsequence, and of the lines left so far those
+that they share are deleted. Two neighbouring articles may share paragraphs, so a mark protects its own lines from
+this, but for lines that the markup speaks against as well: those that are mostly links and no heading, and those of a small
+element whose words leave it open whether it belongs to the article. These go if they are shared, unless the nearest page
+has half of the protected lines too: it then repeats the article and says nothing about it.
+
+Neighbours come from a range partitioning of (host, path), so a host may hold any share of the pages. Pages of a host with
+equal lines are aligned once. Pages are read twice, for their lines and for their text, so that no text is written down;
+an input that differs between two reads (a limit without an order) keeps all rows of the second, and pages that the first lacked aren't cut.
 
 Defined results: null html gives an empty text; a null url is a host and path of its own, both
-empty; a page whose lines are all on its neighbour is not cut; copies on a host are cut alike; rows that
+empty; a page whose lines are all on its neighbour is not cut; copies on a host are cut alike; a marked part without protected lines is not cut; rows that
 repeat an id each give a row; an empty table gives none. A tag that doesn't end before the next one starts
 ends there; an element whose content is no text (a button, a video) and that is never closed ends at
 the next block. Reading takes time in proportion to a page's length, whatever its markup; aligning, to
-that and to how often both pages repeat lines. Only the id, url and html columns are read.
+that and, where both pages repeat lines, to a 64th of the product of how many lines they have in common. Only the id, url and html columns are read.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -62,6 +69,7 @@ MARKS = LIKELY | MAYBE
 BESIDE = frozenset("list box block bar buttons links area section thread wrapper container inner outer header title form".split())
 CONTAINERS = frozenset("div ul ol dl table fieldset details center hgroup section form".split())
 WHOLE = frozenset("article main body html".split())
+HEADINGS = tuple("h1 h2 h3 h4 h5 h6".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar toolbar".split())
 MAIN_MARKS = frozenset("article articlebody article-body article-content post post-body post-content entry entry-content story story-body main-content".split())
@@ -142,9 +150,9 @@ def _left_out(node: _Node, whole: _Node) -> bool:
     return node.doubt == MAYBE_SO and not node.parts and share <= LITTLE and node.links >= HALF * node.chars
 
 
-def _judge(nodes: list[_Node], found: list[tuple[str, int, int]]) -> list[tuple[str, int, bool]]:
-    """(text, level, left out) of each line: ``nodes`` in page order, the first the page; ``found`` (text, node, characters in links)."""
-    for text, at, links in found:
+def _judge(nodes: list[_Node], found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, bool, bool]]:
+    """(text, level, left out, protected by a mark) of each line: ``nodes`` in page order, the first the page; ``found`` (text, node, characters in links, heading)."""
+    for text, at, links, _ in found:
         nodes[at].chars += len(text)
         nodes[at].links += links
     for node in reversed(nodes[1:]):
@@ -160,7 +168,7 @@ def _judge(nodes: list[_Node], found: list[tuple[str, int, int]]) -> list[tuple[
     part = [0] * len(nodes)
     for i, node in enumerate(nodes[1:], 1):
         part[i] = i if node.level and not node.out else part[node.above]
-    for text, at, _ in found:
+    for text, at, _, _ in found:
         if not nodes[at].out and part[at]:
             nodes[part[at]].own += len(text)
     within = [0] * len(nodes)
@@ -173,12 +181,25 @@ def _judge(nodes: list[_Node], found: list[tuple[str, int, int]]) -> list[tuple[
         if part[i] == i:
             settled[i] = settled[part[nodes[i].above]] or taken[part[nodes[i].above]]
             taken[i] = not settled[i] and nodes[i].own > within[i]
-    return [(text, nodes[part[at]].level if taken[part[at]] else 0, nodes[at].out) for text, at, _ in found]
+    # Elements in a part that may be something else, and hold little.
+    open_ = [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        open_[i] = part[i] != i and (open_[node.above] or node.doubt != NO and not node.parts and node.chars <= LITTLE * nodes[0].chars)
+    lines = []
+    for text, at, links, heading in found:
+        level = nodes[part[at]].level if taken[part[at]] else 0
+        lines.append((text, level, nodes[at].out, level > 0 and not open_[at] and (heading or links < HALF * len(text))))
+    return lines
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, level of marking, left out) of each block with text, in page order; the level is 0 outside the parts that are taken as the article."""
-    found: list[tuple[str, int, int]] = []
+    return [line[:3] for line in _lines(page)]
+
+
+def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """The same, and whether a mark protects the line from differencing."""
+    found: list[tuple[str, int, int, bool]] = []
     nodes = [_Node(0, NO, False, 0)]
     stack: list[tuple[str, int, int]] = []  # open blocks, and inline elements that something is said about: name, node, level of marking
     linked, in_link = 0, False  # characters in links since the block began
@@ -192,7 +213,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            found.append((text, stack[-1][1] if stack else 0, min(linked, len(text))))
+            found.append((text, stack[-1][1] if stack else 0, min(linked, len(text)), linked > 0 and any(opened[h] for h in HEADINGS)))
         linked = 0
 
     def push(name: str, doubt: int, level: int) -> None:
@@ -277,9 +298,51 @@ def _closes(name: str, top: str) -> bool:
     return name == top or name in ("dt", "dd") and top in ("dt", "dd") or name in ("td", "th", "tr") and top in ("td", "th") or name in ("tbody", "tfoot") and top in ("td", "th", "tr")
 
 
+#: So many pairs of equal lines are listed at once.
+PAIRS = 1 << 18
+
+
 def common(own: list[int], other: list[int]) -> list[int]:
-    """Places in ``own`` of a longest common subsequence with ``other``: its matches in order, and the
-    longest chain of them that rises in both (Hunt and Szymanski)."""
+    """Places in ``own`` of a longest common subsequence with ``other``. Lines at both ends that are equal belong to one, and
+    lines that only one page has to none. Where what is left has too many pairs to list, ``own`` is
+    halved, and ``other`` cut where both halves together have most in common (Hirschberg)."""
+    least = min(len(own), len(other))
+    head = next((i for i in range(least) if own[i] != other[i]), least)
+    tail = next((i for i in range(least - head) if own[-1 - i] != other[-1 - i]), least - head)
+    end = len(own) - tail
+    counts = Counter(other[head : len(other) - tail])
+    at = [i for i in range(head, end) if own[i] in counts]
+    mine = [own[i] for i in at]
+    both = set(mine)
+    theirs = [x for x in other[head : len(other) - tail] if x in both]
+    if len(mine) < 2 or sum(counts[x] for x in mine) <= PAIRS:
+        found = _chain(mine, theirs)
+    else:
+        half = len(mine) // 2
+        cut = int(np.argmax(_lengths(mine[:half], theirs) + _lengths(mine[half:][::-1], theirs[::-1])[::-1]))
+        found = common(mine[:half], theirs[:cut]) + [half + i for i in common(mine[half:], theirs[cut:])]
+    return [*range(head), *(at[i] for i in found), *range(end, len(own))]
+
+
+def _lengths(own: list[int], other: list[int]) -> np.ndarray:
+    """How long a longest common subsequence of ``own`` and the first 0, 1, 2, ... lines of ``other`` is: a bit a line of ``other``, which is off
+    where the length grows; one row of the table after the other (Hyyrö)."""
+    where: dict[int, list[int]] = {}
+    for j, x in enumerate(other):
+        where.setdefault(x, []).append(j)
+    bits = lambda x: int.from_bytes(np.packbits(np.bincount(where[x], minlength=len(other)).astype(bool), bitorder="little").tobytes(), "little")
+    often = {x: bits(x) for x, places in where.items() if len(places) > 64}
+    whole = row = (1 << len(other)) - 1
+    for x in own:
+        if x in where:
+            met = row & (often[x] if x in often else sum(1 << j for j in where[x]))
+            row = ((row + met) | (row - met)) & whole
+    grows = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)] == 0
+    return np.concatenate([[0], np.cumsum(grows)])
+
+
+def _chain(own: list[int], other: list[int]) -> list[int]:
+    """The same from all pairs of equal lines, in order: the longest chain of them that rises in both (Hunt and Szymanski)."""
     where: dict[int, list[int]] = {}
     for j, x in enumerate(other):
         where.setdefault(x, []).append(j)
@@ -305,37 +368,52 @@ def common(own: list[int], other: list[int]) -> list[int]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marked, blocks, at, hashes = [], [], [], []
+        blocks, at, hashes = [], [], []
         for page in batch.column(1):
-            lines = lines_of(page.as_py() or "")
-            best = any(level for _, level, out in lines if not out)
-            kept = [i for i, (_, level, out) in enumerate(lines) if not out and (level > 0) == best]
-            marked.append(best)
+            lines = _lines(page.as_py() or "")
+            best = any(level for _, level, out, _ in lines if not out)
+            kept = [i for i, (_, level, out, _) in enumerate(lines) if not out and (level > 0) == best]
+            alone = best and not any(lines[i][3] for i in kept)
             blocks.append([lines[i][0] for i in kept])
-            at.append(kept if not best else None)
-            hashes.append([xxhash.xxh3_64_intdigest(text) - (1 << 63) for text, _, _ in lines])
-        columns = [batch.column(0), batch.column(2), pa.array(marked), pa.array(blocks, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "marked", "blocks", "at", "lines"])
+            at.append([-1 - i if alone or lines[i][3] else i for i in kept])
+            hashes.append([xxhash.xxh3_64_intdigest(line[0]) - (1 << 63) for line in lines])
+        columns = [batch.column(0), batch.column(2), pa.array(blocks, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "blocks", "at", "lines"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shared = []
+        for own, other in zip(batch.column("lines").to_pylist(), batch.column("near_lines").to_pylist(), strict=True):
+            places = common(own, other or [])
+            shared.append(places if len(places) < len(own) else [])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array(shared, pa.list_(pa.int32()))], names=["host", "key", "shared"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``at`` has the place of each block among the page's lines, or of a protected one -1 less it."""
     for batch in batches:
-        text = []
-        for blocks, at, own, other in zip(*(batch.column(c).to_pylist() for c in ("blocks", "at", "lines", "other")), strict=True):
-            shared = set(common(own, other or []))
-            if len(shared) == len(own):
+        text, n_shared = [], []
+        for blocks, at, places in zip(*(batch.column(c).to_pylist() for c in ("blocks", "at", "shared")), strict=True):
+            shared = set(places or ())
+            n_shared.append(len(shared))
+            firm = [-1 - i in shared for i in at if i < 0]
+            if firm and 2 * sum(firm) >= len(firm):
                 shared = set()
             text.append("\n\n".join(b for b, i in zip(blocks, at, strict=True) if i not in shared))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(n_shared, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_shared"])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
     """(host, path, key) -> (host, key, near): the key of the nearest page by path on the host that has another
-    key, null if there is none. Pages of one key are one class with one result: the nearest to any of them."""
+    key, null if there is none. Pages of one key are one class with one result: the nearest to any of them.
+    What else ``pages`` has must follow from the key; it comes along, and the near one's as near_NAME."""
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "key"]
-    dealt = staged(pages.select(*order).distinct().repartitionByRange(n, *order).select(*order, F.spark_partition_id().alias("pid")))
-    place = F.struct(*order)
+    more = [c for c in pages.columns if c not in order]
+    dealt = staged(pages.select(*order, *more).distinct().repartitionByRange(n, *order).select(*order, *more, F.spark_partition_id().alias("pid")))
+    place = F.struct(*order, *more)
     # One row a partition: what lies just before and just behind it.
     edges = dealt.groupBy("pid").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     edges = edges.select(F.col("pid").alias("p"), F.lag("last").over(Window.orderBy("pid")).alias("ahead"), F.lead("first").over(Window.orderBy("pid")).alias("behind"))
@@ -350,28 +428,25 @@ def neighbours(pages: DataFrame) -> DataFrame:
     # Where pages of one key lie side by side, the first meets what is before them and the last what is behind.
     for side in ("prev", "next"):
         near = near.withColumn(side, F.when(F.col(f"{side}.key") != F.col("key"), F.col(side)))
-    met = [F.struct((-shared(side)).alias("far"), F.lit(i).alias("side"), F.col("path"), F.col(f"{side}.key").alias("near")) for i, side in enumerate(("prev", "next"))]
-    return near.groupBy("host", "key").agg(F.min(F.least(*met)).alias("m")).select("host", "key", "m.near")
+    met = [F.struct((-shared(side)).alias("far"), F.lit(i).alias("side"), F.col("path"), F.col(f"{side}.key").alias("near"), *(F.col(f"{side}.{c}").alias(f"near_{c}") for c in more)) for i, side in enumerate(("prev", "next"))]
+    classes = near.groupBy("host", "key").agg(F.min(F.least(*met)).alias("m"), *(F.first(c).alias(c) for c in more))
+    return classes.select("host", "key", "m.near", *more, *(f"m.near_{c}" for c in more))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text): a row a page."""
-    schema = "page_id bigint, url string, marked boolean, blocks array<string>, at array<int>, lines array<bigint>"
+    """(page_id, url, text, n_shared): a row a page, with the number of its lines that it shares with the page nearest to it (0 if it shares all)."""
+    schema = "page_id bigint, url string, blocks array<string>, at array<int>, lines array<bigint>"
     parsed = df.select(F.col(id_col).cast("bigint"), F.col(html_col), F.col(url_col)).mapInArrow(_parse, schema)
     address = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    pages = staged(parsed.withColumn("host", host).withColumn("path", path).withColumn("key", F.xxhash64("lines")))
-    marked = pages.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    plain = pages.where("NOT marked").select("page_id", "url", "blocks", "at", "lines", "host", "path", "key")
-    if plain.isEmpty():
-        return marked
-    near = neighbours(pages).select(F.col("host").alias("h"), F.col("key").alias("k"), "near")
-    other = pages.select(F.col("key").alias("o"), F.col("lines").alias("other")).dropDuplicates(["o"])
-    met = plain.join(near, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), "left").join(other, F.col("near") == F.col("o"), "left")
-    cut = met.select("page_id", "url", "blocks", "at", "lines", "other").mapInArrow(_cut, "page_id bigint, url string, text string")
-    return marked.unionByName(cut)
+    pages = parsed.withColumn("host", host).withColumn("path", path).withColumn("key", F.xxhash64("lines"))
+    near = neighbours(staged(pages.select("host", "path", "key", "lines")))
+    # Staged, so that both sides of the join are plain exchanges and hot classes are split.
+    aligned = staged(near.select("host", "key", "lines", "near_lines").mapInArrow(_align, "host string, key bigint, shared array<int>"))
+    met = pages.select("page_id", "url", "blocks", "at", "host", "key").join(aligned.hint("merge"), ["host", "key"], "left")
+    return met.select("page_id", "url", "blocks", "at", "shared").mapInArrow(_cut, "page_id bigint, url string, text string, n_shared bigint")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    return main_text(df).withColumn("n_chars", F.length("text").cast("bigint"))
+    return main_text(df).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_shared")

@@ -314,6 +314,87 @@ def test_html_marks_drop_little_text_only(html, want):
     assert [t.replace(LONG_TEXT.strip(), "L") for t, level, out in lines if not out and (level > 0) == marked] == want
 
 
+def site(*rows):
+    """Marked pages of one host: (path, html of the article)."""
+    return [(i, f"http://a.example/{path}", f"<nav>Menu {i}</nav><article>{body}</article><footer>Foot</footer>") for i, (path, body) in enumerate(rows)]
+
+
+SHARED = "<p>Both articles say this.</p><h2><a href='x'>Part</a></h2><ul><li><a href='f'>Share it</a><li><a href='s'>Source</a> of all that is said here</ul><div class='house-notice-text'>We ask for money</div>"
+
+
+def test_html_marked_pages_are_differenced(spark):
+    """A shared line of a marked article goes where the markup speaks against it too; the article's own words stay."""
+    from ledgerflow.llm import html_text
+
+    own = lambda i: "".join(f"<p>{i} {k} {LONG_TEXT}</p>" for k in range(4))
+    other = "<ul><li><a href='o'>Only here</a></ul><div class='house-notice-text'>Only here too</div>"
+    rows = site(("x/1", own(1) + SHARED), ("x/2", own(2) + SHARED + other), ("y/1", own(3) + other), ("y/2", own(3) + other + "<p>Again</p>"), ("z/1", "<a href='1'>One</a>"), ("z/2", "<a href='1'>One</a><p><a href='2'>Two</a>"))
+    got = {r.page_id: r for r in html_text.digest(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    words = lambda i: [f"{i} {k} {LONG_TEXT}".strip() for k in range(4)]
+    both = ["Both articles say this.", "Part", "Source of all that is said here"]
+    want = {
+        0: words(1) + both,
+        1: words(2) + both + ["Only here", "Only here too"],
+        2: words(3) + ["Only here", "Only here too"],  # the nearest page repeats the article
+        3: words(3) + ["Only here", "Only here too", "Again"],
+        4: ["One"],  # marked, and nothing but links
+        5: ["One", "Two"],
+    }
+    assert {i: r.text.split("\n\n") for i, r in got.items()} == want
+    assert {i: (r.n_chars, r.n_shared) for i, r in got.items()} == {i: (len(r.text), n) for (i, r), n in zip(sorted(got.items()), (6, 6, 7, 7, 2, 2), strict=True)}
+
+
+def test_html_every_page_is_aligned(spark, data):
+    """The whole table against pairs and alignments by hand; every page of it marks its article."""
+    from ledgerflow.llm import html_text, registry
+
+    rows = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()
+    seen = {r.page_id: (re.match(r"[^:]+://([^/?#]*)([^?#]*)", r.url).groups(), tuple(t for t, _, _ in html_text.lines_of(r.html))) for r in rows}
+    lines_at = {}
+    for place, lines in seen.values():
+        lines_at.setdefault(place, set()).add(lines)
+
+    def deep(a, b):
+        a, b = a.split("/"), b.split("/")
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 1 << 20)
+
+    def longest(a, b):
+        t = [0] * (len(b) + 1)
+        for x in a:
+            before, t = t, [0]
+            for j, y in enumerate(b):
+                t.append(before[j] + 1 if x == y else max(t[-1], before[j + 1]))
+        return t[-1]
+
+    order = sorted(lines_at)
+    got = {r.page_id: r.n_shared for r in registry.queries()["op3_html_text"](spark, data).collect()}
+    assert got.keys() == seen.keys() and sum(got.values()) > 0
+    for page_id, (place, own) in seen.items():
+        i = order.index(place)
+        beside = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][0] == place[0]]
+        near = max(beside, key=lambda p: deep(p[1], place[1]), default=None)  # noqa: B023
+        # Of several pages at one place, those are the nearest to each other, and any of them may be to others.
+        others = lines_at[place] - {own} or lines_at.get(near, {()})
+        assert got[page_id] in {longest(own, other) for other in others}
+
+
+def test_html_alignment_of_pages_that_repeat_lines(monkeypatch):
+    """Two pages with one line ten thousand times: all pairs are too many to list."""
+    from ledgerflow.llm import html_text
+
+    r = random.Random(5)
+    a, b = ([0 if r.random() < 0.8 else r.randint(1, 10**9) for _ in range(10_000)] for _ in range(2))
+    began = time.perf_counter()
+    assert len(html_text.common(a, b)) == min(a.count(0), b.count(0)) and time.perf_counter() - began < 20
+    for pairs in (0, 8):
+        monkeypatch.setattr(html_text, "PAIRS", pairs)
+        for _ in range(100):
+            a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 40))] for _ in range(2))
+            found = html_text.common(a, b)
+            rest = iter(b)
+            assert found == sorted(set(found)) and all(a[i] in rest for i in found) and len(found) == len(html_text._chain(a, b))
+
+
 # --- lines ------------------------------------------------------------------
 
 
